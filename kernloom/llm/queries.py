@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import secrets
+from kernloom.llm import secrets, sharding
 from kernloom.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": lambda spark, d: sharding.op2_sharding(documents(spark, d)),
         "op9_secret_scan": lambda spark, d: secrets.op9_secret_scan(documents(spark, d)),
     }
 
