@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import fingerprints, secrets, sharding
+from kernloom.llm import fingerprints, language_id, secrets, sharding
 from kernloom.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": lambda spark, d: sharding.op2_sharding(documents(spark, d)),
+        "op4_language_id": lambda spark, d: language_id.op4_language_id(documents(spark, d)),
         "op5_document_fingerprints": lambda spark, d: fingerprints.op5_document_fingerprints(documents(spark, d)),
         "op9_secret_scan": lambda spark, d: secrets.op9_secret_scan(documents(spark, d)),
     }
