@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import fingerprints, language_id, secrets, sharding, simhash
+from kernloom.llm import fingerprints, language_id, packing, secrets, sharding, simhash
 from kernloom.llm.common import documents
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": lambda spark, d: language_id.op4_language_id(documents(spark, d)),
         "op5_document_fingerprints": lambda spark, d: fingerprints.op5_document_fingerprints(documents(spark, d)),
         "op7_simhash": lambda spark, d: simhash.op7_simhash(documents(spark, d)),
+        "op8_packing": lambda spark, d: packing.op8_packing(documents(spark, d)),
         "op9_secret_scan": lambda spark, d: secrets.op9_secret_scan(documents(spark, d)),
     }
 
