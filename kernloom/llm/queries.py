@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import fingerprints, language_id, packing, secrets, sharding, simhash, toxicity
+from kernloom.llm import fingerprints, language_id, packing, secrets, sharding, simhash, toxicity, urls
 from kernloom.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_url_filter": lambda spark, d: urls.op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
         "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op2_sharding": lambda spark, d: sharding.op2_sharding(documents(spark, d)),
         "op4_language_id": lambda spark, d: language_id.op4_language_id(documents(spark, d)),
