@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import fingerprints, language_id, packing, secrets, sharding, simhash, toxicity, urls
+from kernloom.llm import decontaminate, fingerprints, language_id, packing, secrets, sharding, simhash, toxicity, urls
 from kernloom.llm.common import documents
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": lambda spark, d: urls.op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
         "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op2_sharding": lambda spark, d: sharding.op2_sharding(documents(spark, d)),
+        "op3_decontamination": lambda spark, d: decontaminate.op3_decontamination(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op4_language_id": lambda spark, d: language_id.op4_language_id(documents(spark, d)),
         "op5_document_fingerprints": lambda spark, d: fingerprints.op5_document_fingerprints(documents(spark, d)),
         "op7_simhash": lambda spark, d: simhash.op7_simhash(documents(spark, d)),
