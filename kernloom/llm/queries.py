@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import decontaminate, fingerprints, language_id, packing, secrets, sharding, simhash, toxicity, urls
+from kernloom.llm import decontaminate, fingerprints, language_id, language_model, packing, secrets, sharding, simhash, toxicity, urls
 from kernloom.llm.common import documents
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": lambda spark, d: decontaminate.op3_decontamination(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
         "op4_language_id": lambda spark, d: language_id.op4_language_id(documents(spark, d)),
         "op5_document_fingerprints": lambda spark, d: fingerprints.op5_document_fingerprints(documents(spark, d)),
+        "op6_lm_scoring": lambda spark, d: language_model.op6_lm_scoring(documents(spark, d)),
         "op7_simhash": lambda spark, d: simhash.op7_simhash(documents(spark, d)),
         "op8_packing": lambda spark, d: packing.op8_packing(documents(spark, d)),
         "op9_secret_scan": lambda spark, d: secrets.op9_secret_scan(documents(spark, d)),
