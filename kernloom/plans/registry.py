@@ -5,15 +5,601 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kernloom.functions import rand
+from kernloom.operators import evaluate, kernel, lasso, library, prep, regions, results, splitting
+from kernloom.plans import adapters as ad
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+ALPHAS = [1.2, 0.6, 0.2]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(name: str):
+    return F.round(F.col(name), 6).alias(name)
+
+
+def a(sql: str) -> str:
+    return f"WITH {ad.A_SQL} {sql}"
+
+
+def b(sql: str) -> str:
+    return f"WITH {ad.B_SQL} {sql}"
+
+
+def c(sql: str) -> str:
+    return f"WITH {ad.C_SQL} {sql}"
+
+
+def e(sql: str) -> str:
+    return f"WITH {ad.E_SQL} {sql}"
+
+
+def lib(sql: str) -> str:
+    return f"WITH {ad.L_SQL} {sql}"
+
+
+# --- libraries -------------------------------------------------------------------------------
+
+
+@query("library_search", lib("SELECT DISTINCT library, \"group\", contains(lower(\"group\"), 'ring') OR contains(lower(\"group\"), 'bolt') AS key_terms_in, contains(lower(\"group\"), 'red') AS blacklist_in FROM lib WHERE NOT contains(lower(\"group\"), 'small')"))
+def _(spark, d):
+    return library.check_groups(ad.library(spark, d), ["Ring", "bolt"], "red", "Small")
+
+
+@query("library_summary", lib("SELECT library, count(*) AS n_groups, CAST(sum(CAST(contains(lower(\"group\"), 'ring') AS INT)) AS BIGINT) AS n_key_terms, CAST(sum(CAST(contains(lower(\"group\"), 'red') AS INT)) AS BIGINT) AS n_blacklist FROM (SELECT DISTINCT library, \"group\" FROM lib) GROUP BY library"))
+def _(spark, d):
+    return library.find_candidates(ad.library(spark, d), "Human", "ring", "red")
+
+
+@query("library_overlap", lib("SELECT \"group\", gene FROM lib WHERE library = 'ECONOMY' AND NOT contains(lower(\"group\"), 'red') AND \"group\" IN (SELECT \"group\" FROM lib WHERE library = 'ECONOMY' AND gene IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1 HAVING count(DISTINCT gene) >= 2)"))
+def _(spark, d):
+    genes = spark.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "gene string")
+    return library.gene_groupings(ad.library(spark, d), "ECONOMY", "human", "", "red", 2, genes)
+
+
+# --- regions ---------------------------------------------------------------------------------
+
+
+@query("promoter_regions", e('SELECT chr, ps AS start, pe AS "end", strand, gene_name, tss FROM prom'))
+def _(spark, d):
+    return regions.promoters(ad.e_annotation(spark, d), 60, 40)
+
+
+@query("parse_regions", e('SELECT feature, chr, s AS start, e AS "end" FROM reg'))
+def _(spark, d):
+    return regions.parse_regions(ad.e_features(spark, d))
+
+
+@query("region_overlap", e("SELECT DISTINCT feature, gene_name FROM reg JOIN prom ON reg.chr = prom.chr AND greatest(reg.s, ps) <= least(reg.e, pe)"))
+def _(spark, d):
+    return regions.overlap_join(regions.parse_regions(ad.e_features(spark, d)), regions.promoters(ad.e_annotation(spark, d), 60, 40), 5000)
+
+
+@query("region_groupings", e('SELECT g."group", x.feature FROM (SELECT DISTINCT "group" FROM anno) g LEFT JOIN (SELECT DISTINCT "group", feature FROM reg JOIN prom ON reg.chr = prom.chr AND greatest(reg.s, ps) <= least(reg.e, pe)) x ON g."group" = x."group"'))
+def _(spark, d):
+    return regions.region_groupings(ad.e_annotation(spark, d), ad.e_sets(spark, d), ad.e_features(spark, d), 60, 40)
+
+
+# --- features, splits, samples ---------------------------------------------------------------
+
+
+@query("filter_features", b('SELECT "group", feature FROM gB WHERE feature IN (SELECT feature FROM fB) AND "group" IN (SELECT "group" FROM gB GROUP BY 1 HAVING count(*) >= 2)'))
+def _(spark, d):
+    return splitting.filter_groups(ad.b_features(spark, d), ad.b_groups(spark, d)).select("group", "feature")
+
+
+@query("kept_features", b("SELECT feature FROM fB WHERE feature IN (SELECT feature FROM gB)"))
+def _(spark, d):
+    return splitting.kept_features(ad.b_features(spark, d), ad.b_groups(spark, d))
+
+
+@query("stratified_split_binary", a("SELECT * FROM split2"))
+def _(spark, d):
+    return ad.a_split(spark, d)
+
+
+@query("stratified_split_multiclass", a("SELECT * FROM splitm"))
+def _(spark, d):
+    return splitting.multiclass_split(ad.a_cells(spark, d, True))
+
+
+@query("split_class_cap_median", b(", t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('cap1:' || cell_id), cell_id) AS rn FROM splitb WHERE split = 'train') SELECT cell_id, label, split FROM t WHERE rn <= (SELECT floor(median(n)) FROM (SELECT count(*) AS n FROM t GROUP BY label)) UNION ALL SELECT cell_id, label, split FROM splitb WHERE split = 'test'"))
+def _(spark, d):
+    return splitting.multiclass_split(ad.b_cells(spark, d), class_threshold="median")
+
+
+@query("split_given_complement", a("SELECT cell_id, label, CASE WHEN cell_id % 3 = 0 THEN 'train' ELSE 'test' END AS split FROM cells2"))
+def _(spark, d):
+    cells = ad.a_cells(spark, d)
+    return splitting.complement_split(cells, cells.where("cell_id % 3 = 0"))
+
+
+@query("train_first_order", a("SELECT *, row_number() OVER (ORDER BY CASE WHEN split = 'test' THEN 1 ELSE 0 END, cell_id) - 1 AS pos FROM split2"))
+def _(spark, d):
+    return splitting.train_first(ad.a_split(spark, d))
+
+
+@query("optimal_d", b("SELECT label, count(*) AS n, CAST(greatest(100, floor(sqrt(count(*)) * ln(ln(count(*))))) AS BIGINT) AS d FROM cellsb GROUP BY label"))
+def _(spark, d):
+    return ad.b_cells(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("d", splitting.calculate_d(F.col("n")))
+
+
+@query("median_run_size", b("SELECT median((SELECT count(*) FROM splitb WHERE split = 'test') + 1.5 * n) AS median_size FROM (SELECT count(*) AS n FROM splitb WHERE split = 'train' GROUP BY label)"))
+def _(spark, d):
+    return splitting.median_run_size(splitting.stratified_split(ad.b_cells(spark, d)))
+
+
+@query("small_classes", "SELECT c_nationkey AS label, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) < 60")
+def _(spark, d):
+    return splitting.small_classes(ad.table(spark, d, "customer").select(F.col("c_nationkey").alias("label")), 60)
+
+
+@query("sample_cells", a("SELECT cell_id, label FROM cells2 ORDER BY md5('sample1:' || cell_id), cell_id LIMIT 50"))
+def _(spark, d):
+    return splitting.sample_cells(ad.a_cells(spark, d), 50)
+
+
+@query("disjoint_batches", a("SELECT cell_id, CAST(batch AS INT) AS batch FROM batch2"))
+def _(spark, d):
+    return splitting.batches(ad.a_split(spark, d).where("split = 'train'"), 4, 20).select("cell_id", "batch")
+
+
+@query("stratified_folds", a("SELECT cell_id, label, split, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('fold1:' || cell_id), cell_id) - 1) % 4 AS INT) AS fold FROM splitm WHERE split = 'train'"))
+def _(spark, d):
+    return splitting.folds(ad.a_split(spark, d, True), 4)
+
+
+@query("fold_sizes", a("SELECT label, fold, count(*) AS n FROM (SELECT label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('fold1:' || cell_id), cell_id) - 1) % 4 AS INT) AS fold FROM splitm WHERE split = 'train') GROUP BY 1, 2"))
+def _(spark, d):
+    return splitting.folds(ad.a_split(spark, d, True), 4).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("class_balanced_train", a(", t AS (SELECT cell_id, label FROM splitm WHERE split = 'train'), n AS (SELECT label AS class, count(*) AS n FROM t GROUP BY 1), o AS (SELECT class, cell_id, n, row_number() OVER (PARTITION BY class ORDER BY md5('others1:' || cell_id), cell_id) AS rn FROM t JOIN n ON label <> class) SELECT label AS class, cell_id FROM t UNION ALL SELECT class, cell_id FROM o WHERE rn <= floor(n * CAST(1.5 AS DOUBLE))"))
+def _(spark, d):
+    return splitting.class_train(ad.a_split(spark, d, True))
+
+
+@query("labels_in_both_splits", a("SELECT DISTINCT label FROM splitm WHERE split = 'train' INTERSECT SELECT label FROM splitm WHERE split = 'test'"))
+def _(spark, d):
+    return splitting.labels_in_both(ad.a_split(spark, d, True))
+
+
+@query("modality_consistency", a("SELECT s.cell_id, s.split, s.label, x.side FROM split2 s JOIN (SELECT 'left' AS side UNION ALL SELECT 'right') x ON true WHERE x.side = 'left' AND s.cell_id % 50 = 0 UNION ALL SELECT cell_id, split, 'x', 'right' FROM split2 WHERE cell_id % 50 = 0"))
+def _(spark, d):
+    cells = ad.a_split(spark, d)
+    return splitting.consistency(cells, cells.withColumn("label", F.when(F.col("cell_id") % 50 == 0, "x").otherwise(F.col("label"))))
+
+
+# --- preprocessing ---------------------------------------------------------------------------
+
+
+@query("feature_variance", b("SELECT feature, round(sum(value * value) / n - (sum(value) / n) * (sum(value) / n), 6) AS variance FROM mB, (SELECT count(*) AS n FROM cellsb) GROUP BY feature, n"))
+def _(spark, d):
+    return prep.feature_variance(ad.b_matrix(spark, d), ad.b_cells(spark, d).count()).select("feature", r6("variance"))
+
+
+@query("zero_variance_cells", b("SELECT cell_id FROM cellsb WHERE cell_id NOT IN (SELECT cell_id FROM mB)"))
+def _(spark, d):
+    n = ad.b_features(spark, d).count()
+    return prep.zero_variance_cells(ad.b_matrix(spark, d), ad.b_cells(spark, d), n).select("cell_id")
+
+
+_B_STATS = ", n AS (SELECT count(*) AS n FROM splitb WHERE split = 'train'), st AS (SELECT feature, sum({v}) / n AS mean, sum(value * value) / n - (sum(value) / n) * (sum(value) / n) AS var FROM mB JOIN splitb USING (cell_id), n WHERE split = 'train' GROUP BY feature, n)"
+
+
+@query("scaled_matrix", b(_B_STATS.format(v="value") + " SELECT cell_id, feature, round((value - mean) / sqrt(var), 6) AS value FROM mB JOIN st USING (feature) WHERE var > 1e-5"))
+def _(spark, d):
+    cells = splitting.stratified_split(ad.b_cells(spark, d))
+    return prep.process(ad.b_matrix(spark, d), cells).select("cell_id", "feature", r6("value"))
+
+
+@query("log1p_scaled_matrix", b(_B_STATS.format(v="ln(1 + value)") + " SELECT cell_id, feature, round((ln(1 + value) - mean) / sqrt(var), 6) AS value FROM mB JOIN st USING (feature) WHERE var > 1e-5"))
+def _(spark, d):
+    cells = splitting.stratified_split(ad.b_cells(spark, d))
+    return prep.process(ad.b_matrix(spark, d), cells, transform_data=True).select("cell_id", "feature", r6("value"))
+
+
+@query("log1p_transform", b(_B_STATS.format(v="value") + " SELECT cell_id, feature, round(ln(1 + value), 6) AS value FROM mB JOIN st USING (feature) WHERE var > 1e-5"))
+def _(spark, d):
+    cells = splitting.stratified_split(ad.b_cells(spark, d))
+    return prep.process(ad.b_matrix(spark, d), cells, scale_data=False, transform_data=True).select("cell_id", "feature", r6("value"))
+
+
+@query("add_ones", c("SELECT * FROM mC UNION ALL SELECT cell_id, '__one__', CAST(1 AS DOUBLE) FROM cellsc"))
+def _(spark, d):
+    return prep.add_ones(ad.c_matrix(spark, d), ad.c_split(spark, d))
+
+
+_IDF = "(SELECT feature, ln(1 + (1 + (SELECT count(*) FROM splitc{w})) / CAST(1 + count(*) FILTER (value > 0) AS DOUBLE)) AS idf FROM mC JOIN splitc USING (cell_id){w} GROUP BY feature)"
+
+
+@query("tfidf_normalize", c(f"SELECT cell_id, feature, round(value * idf, 6) AS value FROM mC JOIN {_IDF.format(w='')} i USING (feature)"))
+def _(spark, d):
+    return prep.tfidf(ad.c_matrix(spark, d), ad.c_split(spark, d)).select("cell_id", "feature", r6("value"))
+
+
+@query("tfidf_filter", c("SELECT feature FROM mC GROUP BY feature HAVING sum(value) > 0"))
+def _(spark, d):
+    return prep.tfidf(ad.c_matrix(spark, d), ad.c_split(spark, d), "filter")
+
+
+_TRAIN = " WHERE split = 'train'"
+
+
+@query("tfidf_train_test", c(f"SELECT cell_id, feature, round(value * idf, 6) AS value FROM mC JOIN {_IDF.format(w=_TRAIN)} i USING (feature)"))
+def _(spark, d):
+    return prep.tfidf_train_test(ad.c_matrix(spark, d), ad.c_split(spark, d)).select("cell_id", "feature", r6("value"))
+
+
+@query("tfidf_dataset", c(f"SELECT cell_id, feature, round(value * CASE WHEN split = 'train' THEN o.idf ELSE i.idf END, 6) AS value FROM mC JOIN splitc USING (cell_id) JOIN {_IDF.format(w='')} i USING (feature) LEFT JOIN {_IDF.format(w=_TRAIN)} o USING (feature)"))
+def _(spark, d):
+    return prep.tfidf_dataset(ad.c_matrix(spark, d), ad.c_split(spark, d), True).select("cell_id", "feature", r6("value"))
+
+
+@query("group_feature_sample", b('SELECT "group", feature FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY md5(\'features1:\' || "group" || \':\' || feature), "group" || \':\' || feature) AS rn FROM gB) WHERE rn <= 3'))
+def _(spark, d):
+    return prep.sample_features(ad.b_groups(spark, d), 3).select("group", "feature")
+
+
+@query("group_vectors", a('SELECT cell_id, split, "group", CAST(i AS INT) AS i, round(x, 6) AS x FROM vec2'))
+def _(spark, d):
+    rows = ad.a_vectors(spark, d).select("cell_id", "split", "group", F.posexplode("x").alias("i", "x"))
+    return rows.select("cell_id", "split", "group", "i", r6("x"))
+
+
+@query("svd_reduced")
+def _(spark, d):
+    return prep.reduce_vectors(ad.a_vectors(spark, d, lo=0, hi=1), "svd").select("cell_id", "split", "x")
+
+
+@query("pca_reduced")
+def _(spark, d):
+    return prep.reduce_vectors(ad.a_vectors(spark, d, lo=0, hi=1), "pca").select("cell_id", "split", "x")
+
+
+# --- kernel widths and random features -------------------------------------------------------
+
+
+def _batched(spark, d):
+    vectors = ad.a_vectors(spark, d).where("split = 'train'")
+    cells = vectors.select("cell_id").distinct()
+    return vectors.join(F.broadcast(splitting.batches(cells, 4, 20)), "cell_id")
+
+
+_PAIRS = '(SELECT p."group", p.batch, p.cell_id AS a, q.cell_id AS b, {e} AS distance FROM (SELECT * FROM vec2 JOIN batch2 USING (cell_id)) p JOIN (SELECT * FROM vec2 JOIN batch2 USING (cell_id)) q ON p."group" = q."group" AND p.batch = q.batch AND p.i = q.i AND p.cell_id < q.cell_id GROUP BY 1, 2, 3, 4)'
+_DISTANCE_SQL = {
+    "euclidean": "sqrt(sum((p.x - q.x) * (p.x - q.x)))",
+    "sqeuclidean": "sum((p.x - q.x) * (p.x - q.x))",
+    "cityblock": "sum(abs(p.x - q.x))",
+    "chebyshev": "max(abs(p.x - q.x))",
+    "cosine": "1 - sum(p.x * q.x) / sqrt(sum(p.x * p.x) * sum(q.x * q.x))",
+    "correlation": "1 - corr(p.x, q.x)",
+    "canberra": "sum(abs(p.x - q.x) / (abs(p.x) + abs(q.x)))",
+    "braycurtis": "sum(abs(p.x - q.x)) / sum(abs(p.x + q.x))",
+    "hamming": "avg(CASE WHEN p.x <> q.x THEN 1.0 ELSE 0.0 END)",
+    "jaccard": "CAST(count(*) FILTER (p.x <> q.x AND (p.x <> 0 OR q.x <> 0)) AS DOUBLE) / count(*) FILTER (p.x <> 0 OR q.x <> 0)",
+    "minkowski": "sqrt(sum((p.x - q.x) * (p.x - q.x)))",
+}
+
+
+def _distance(metric: str) -> None:
+    @query(f"pairwise_distance_{metric}", a(f'SELECT "group", CAST(batch AS INT) AS batch, a, b, round(distance, 6) AS distance FROM {_PAIRS.format(e=_DISTANCE_SQL[metric])}'))
+    def _(spark, d):
+        return kernel.pair_distances(_batched(spark, d), metric).select("group", "batch", "a", "b", r6("distance"))
+
+
+for _m in _DISTANCE_SQL:
+    _distance(_m)
+
+_SIGMA = f'sg AS (SELECT "group", greatest(avg(d), 0.1) AS sigma FROM (SELECT "group", batch, avg(distance) AS d FROM {_PAIRS.format(e=_DISTANCE_SQL["euclidean"])} GROUP BY 1, 2) GROUP BY 1)'
+
+
+@query("group_sigma", a(f', {_SIGMA} SELECT "group", CAST(substr("group", 2) AS INT) AS group_ord, round(sigma, 6) AS sigma FROM sg'))
+def _(spark, d):
+    return kernel.estimate_sigma(ad.a_vectors(spark, d), n_batches=4, batch_size=20).select("group", "group_ord", r6("sigma"))
+
+
+def _u(seed: str) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || \"group\" || ':' || i || ':' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
+
+
+_DRAWS = {
+    "gaussian": f"sqrt(-2.0 * ln({_u('w1a')})) * cos(2 * pi() * {_u('w1b')}) / (2 * sigma)",
+    "laplacian": f"tan(pi() * ({_u('w1')} - 0.5)) / (2 * sigma)",
+    "cauchy": f"-sign({_u('w1')} - 0.5) * ln(1.0 - 2 * abs({_u('w1')} - 0.5)) * 0.5 * sqrt(1 / (2 * sigma * sigma))",
+}
+_W = '(SELECT "group", i, j, {e} AS w FROM sg, range(0, 8) t(i), range(0, 3) s(j))'
+
+
+def _weights(name: str) -> None:
+    @query(f"rff_weights_{name}", a(f', {_SIGMA} SELECT "group", CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(w, 5) AS w FROM {_W.format(e=_DRAWS[name])}'))
+    def _(spark, d):
+        vectors = ad.a_vectors(spark, d)
+        sigma = kernel.estimate_sigma(vectors, n_batches=4, batch_size=20)
+        sizes = vectors.groupBy("group").agg(F.max(F.size("x")).cast("bigint").alias("n"))
+        return kernel.directions(sigma, sizes, 3, name).select("group", "i", "j", F.round("w", 5).alias("w"))
+
+
+for _m in _DRAWS:
+    _weights(_m)
+
+_PROJ = f'pr AS (SELECT cell_id, split, v."group", j, sum(x * w) AS s FROM vec2 v JOIN {_W.format(e=_DRAWS["gaussian"])} w ON v."group" = w."group" AND v.i = w.i GROUP BY 1, 2, 3, 4)'
+_Z = 'z AS (SELECT cell_id, split, "group", j, cos(s) * sqrt(1.0 / 3) AS v FROM pr UNION ALL SELECT cell_id, split, "group", j + 3, sin(s) * sqrt(1.0 / 3) FROM pr)'
+
+
+def _z(spark, d, multi=False, width=3):
+    return kernel.calculate_z(ad.a_vectors(spark, d, multi), width, n_batches=4, batch_size=20)[0]
+
+
+@query("z_matrix", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, split, "group", CAST(j AS INT) AS j, round(v, 5) AS v FROM z'))
+def _(spark, d):
+    rows = _z(spark, d).select("cell_id", "split", "group", F.posexplode("z").alias("j", "v"))
+    return rows.select("cell_id", "split", "group", "j", F.round("v", 5).alias("v"))
+
+
+@query("z_guard", a("SELECT cell_id FROM cells2 WHERE cell_id % 100 = 7"))
+def _(spark, d):
+    z = _z(spark, d).where("group_ord = 0")
+    broken = F.when(F.col("cell_id") % 100 == 7, F.array(F.lit(float("nan")), F.lit(1.0))).otherwise(F.col("z"))
+    return kernel.bad_rows(z.withColumn("z", broken)).select("cell_id")
+
+
+@query("combine_concat", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, CASE WHEN g < 4 THEN \'m1-b\' ELSE \'m2-b\' END || g AS "group", CAST(g AS INT) AS group_ord, round(n, 6) AS norm FROM (SELECT cell_id, CAST(substr("group", 2) AS INT) AS g, sqrt(sum(v * v)) AS n FROM z GROUP BY 1, 2)'))
+def _(spark, d):
+    z = _z(spark, d)
+    first, second = z.where("group_ord < 4"), z.where("group_ord >= 4").withColumn("group_ord", F.col("group_ord") - 4)
+    norm = F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v))
+    return kernel.combine([first, second], ["m1", "m2"]).select("cell_id", "group", "group_ord", F.round(norm, 6).alias("norm"))
+
+
+@query("combine_sum", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT p.cell_id, \'m1-\' || p."group" AS "group", CAST(p.j AS INT) AS j, round(p.v + q.v, 5) AS v FROM z p JOIN z q ON p.cell_id = q.cell_id AND p.j = q.j AND CAST(substr(p."group", 2) AS INT) + 4 = CAST(substr(q."group", 2) AS INT)'))
+def _(spark, d):
+    z = _z(spark, d)
+    first, second = z.where("group_ord < 4"), z.where("group_ord >= 4").withColumn("group_ord", F.col("group_ord") - 4)
+    rows = kernel.combine([first, second], ["m1", "m2"], "sum").select("cell_id", "group", F.posexplode("z").alias("j", "v"))
+    return rows.select("cell_id", "group", "j", F.round("v", 5).alias("v"))
+
+
+@query("non_empty_cells", b("SELECT cell_id, label FROM cellsb WHERE cell_id IN (SELECT cell_id FROM mB)"))
+def _(spark, d):
+    return kernel.non_empty_cells([ad.b_matrix(spark, d)], ad.b_cells(spark, d))
+
+
+# --- models ----------------------------------------------------------------------------------
+
+
+def _model(spark, d, width=8):
+    cells = ad.a_split(spark, d)
+    return _z(spark, d, width=width), cells
+
+
+@query("group_gram", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT "group", CAST(j AS INT) AS j, round(sum(v * CASE WHEN label = \'a\' THEN 1 ELSE -1 END), 4) AS zy FROM z JOIN cells2 USING (cell_id) WHERE split = \'train\' GROUP BY 1, 2'))
+def _(spark, d):
+    y = F.array(F.when(F.col("label") == "a", 1.0).otherwise(-1.0))
+    sums = lasso.gather_sums(_z(spark, d), ad.a_split(spark, d).where("split = 'train'").select("cell_id", y.alias("y")))
+    rows = [(g, j, float(round(sums.zy[i * 6 + j, 0], 4))) for i, g in enumerate(sums.groups) for j in range(6)]
+    return spark.createDataFrame(rows, "group string, j int, zy double")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Split, scale, widths, random features, group lasso at three alphas, summary."""
+    z, cells = _model(spark, sf_dir)
+    out = evaluate.run(z, cells, ALPHAS)
+    return results.summary(out["metrics"], out["weights"])
+
+
+QUERIES["run_summary"] = flagship
+
+
+@query("run_predictions")
+def _(spark, d):
+    return evaluate.run(*_model(spark, d), ALPHAS)["predictions"]
+
+
+@query("group_lasso_weights")
+def _(spark, d):
+    return evaluate.run(*_model(spark, d), ALPHAS)["weights"]
+
+
+@query("lasso_kkt")
+def _(spark, d):
+    z, cells = _model(spark, d)
+    y = F.array(F.when(F.col("label") == "a", 1.0).otherwise(-1.0))
+    sums = lasso.gather_sums(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
+    rows = [(x, lasso.kkt_residual(sums, lasso.solve(sums, x)[0], x)) for x in ALPHAS]
+    return spark.createDataFrame(rows, "alpha double, residual double")
+
+
+@query("one_v_rest")
+def _(spark, d):
+    return evaluate.one_v_rest(_z(spark, d, True, 8), ad.a_split(spark, d, True), [0.6, 0.2])["multiclass"]
+
+
+@query("optimize_alpha")
+def _(spark, d):
+    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d)
+    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups), 4, n_batches=4, batch_size=20)[0]
+    best = evaluate.optimize_alpha(make, ad.a_split(spark, d), [0.2, 0.6], k=2)
+    return spark.createDataFrame([(best,)], "alpha double")
+
+
+@query("optimize_sparsity")
+def _(spark, d):
+    z, cells = _model(spark, d)
+    y = F.array(F.when(F.col("label") == "a", 1.0).otherwise(-1.0))
+    sums = lasso.gather_sums(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
+    found, best = evaluate.optimize_sparsity(sums, target=3)
+    return spark.createDataFrame([(a_, n, a_ == best) for a_, n in found.items()], "alpha double, n_selected int, best boolean")
+
+
+# --- metrics on fixed scores -----------------------------------------------------------------
+
+_SCORE = "sc AS (SELECT vec_id AS cell_id, CASE WHEN label < 5 THEN 'a' ELSE 'b' END AS observed, round(1 / (1 + exp(-(CAST(embedding[1] AS DOUBLE) * 4 + CAST(embedding[2] AS DOUBLE) * 2))), 3) AS prob FROM embeddings), pd AS (SELECT *, CASE WHEN prob > 0.5 THEN 'a' ELSE 'b' END AS predicted FROM sc)"
+
+
+def _scores(spark, d):
+    s = F.get("embedding", F.lit(0)).cast("double") * 4 + F.get("embedding", F.lit(1)).cast("double") * 2
+    rows = ad.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.round(1 / (1 + F.exp(-s)), 3).alias("p"))
+    return evaluate.predict(rows, ad.a_cells(spark, d), ("a", "b"))
+
+
+@query("predict_binary", f"WITH {_SCORE} SELECT cell_id, observed, predicted, prob FROM pd")
+def _(spark, d):
+    return _scores(spark, d)
+
+
+_AUC = "(SELECT (sum(r) FILTER (observed = 'a') - count(*) FILTER (observed = 'a') * (count(*) FILTER (observed = 'a') + 1) / 2.0) / (count(*) FILTER (observed = 'a') * count(*) FILTER (observed = 'b')) AS auroc FROM (SELECT observed, (rank() OVER (ORDER BY prob) + rank() OVER (ORDER BY prob) + count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS r FROM pd))"
+
+
+@query("auroc", f"WITH {_SCORE} SELECT round(auroc, 9) AS auroc FROM {_AUC}")
+def _(spark, d):
+    return evaluate.auroc(_scores(spark, d).withColumn("pos", F.col("observed") == "a")).select(F.round("auroc", 9).alias("auroc"))
+
+
+@query("binary_metrics", f"WITH {_SCORE}, k AS (SELECT CAST(count(*) FILTER (observed = 'a' AND predicted = 'a') AS DOUBLE) AS tp, count(*) FILTER (observed = 'b' AND predicted = 'a') AS fp, count(*) FILTER (observed = 'a' AND predicted = 'b') AS fn, count(*) AS n FROM pd) SELECT 'AUROC' AS metric, round(auroc, 9) AS value FROM {_AUC} UNION ALL SELECT 'Accuracy', round((n - fp - fn) / CAST(n AS DOUBLE), 9) FROM k UNION ALL SELECT 'F1-Score', round(2 * tp / (2 * tp + fp + fn), 9) FROM k UNION ALL SELECT 'Precision', round(tp / (tp + fp), 9) FROM k UNION ALL SELECT 'Recall', round(tp / (tp + fn), 9) FROM k")
+def _(spark, d):
+    return evaluate.binary_metrics(_scores(spark, d), "a").select("metric", F.round("value", 9).alias("value"))
+
+
+@query("confusion_matrix", f"WITH {_SCORE}, l AS (SELECT DISTINCT observed AS x FROM pd) SELECT o.x AS observed, p.x AS predicted, (SELECT count(*) FROM pd WHERE pd.observed = o.x AND pd.predicted = p.x) AS n FROM l o, l p")
+def _(spark, d):
+    return results.confusion_matrix(_scores(spark, d))
+
+
+@query("macro_f1", f"WITH {_SCORE} SELECT round(avg(2.0 * t / (o + p)), 9) AS macro_f1 FROM (SELECT x, count(*) FILTER (observed = x AND predicted = x) AS t, count(*) FILTER (observed = x) AS o, count(*) FILTER (predicted = x) AS p FROM pd, (SELECT 'a' AS x UNION ALL SELECT 'b') GROUP BY x)")
+def _(spark, d):
+    return evaluate.macro_f1(_scores(spark, d)).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+_PT = "pt AS (SELECT vec_id AS cell_id, 'c' || i AS class, round(1 / (1 + exp(-CAST(embedding[i + 1] AS DOUBLE) * 4)), 1) AS p FROM embeddings, range(0, 4) t(i))"
+
+
+def _class_probs(spark, d):
+    rows = ad.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "v"))
+    return rows.select("cell_id", F.concat(F.lit("c"), F.col("i").cast("string")).alias("class"), F.round(1 / (1 + F.exp(-F.col("v").cast("double") * 4)), 1).alias("p"))
+
+
+@query("prob_table_argmax", f"WITH {_PT}, m AS (SELECT cell_id, max(p) AS p_max FROM pt GROUP BY 1) SELECT cell_id, string_agg(class, ' and ' ORDER BY class) AS prediction, p_max, p_max <= 0.5 AS low_conf FROM pt JOIN m USING (cell_id) WHERE p = p_max GROUP BY cell_id, p_max")
+def _(spark, d):
+    return evaluate.prob_table(_class_probs(spark, d))
+
+
+# --- result relations ------------------------------------------------------------------------
+
+_WT = "wt AS (SELECT CAST(o_custkey % 4 AS DOUBLE) / 2 AS alpha, o_orderpriority AS \"group\", o_orderstatus AS class, CAST(count(*) FILTER (o_totalprice > 300000) AS DOUBLE) AS kernel_weight FROM orders GROUP BY 1, 2, 3)"
+
+
+def _weight_frame(spark, d):
+    rows = ad.table(spark, d, "orders")
+    return rows.groupBy(
+        ((F.col("o_custkey") % 4).cast("double") / 2).alias("alpha"), F.col("o_orderpriority").alias("group"), F.col("o_orderstatus").alias("class")
+    ).agg(F.sum((F.col("o_totalprice") > 300000).cast("double")).alias("kernel_weight"))
+
+
+@query("selection", f'WITH {_WT} SELECT alpha, "group", class, CAST(sum(CASE WHEN kernel_weight > 0 THEN 1 ELSE 0 END) AS BIGINT) AS selection FROM wt GROUP BY 1, 2, 3')
+def _(spark, d):
+    return results.selection(_weight_frame(spark, d))
+
+
+@query("groups_per_alpha", f'WITH {_WT}, s AS (SELECT alpha, "group", class, sum(CASE WHEN kernel_weight > 0 THEN 1 ELSE 0 END) AS selection FROM wt GROUP BY 1, 2, 3) SELECT alpha, avg(selection) AS mean_selection, CAST(sum(selection) AS BIGINT) AS n_selected FROM s GROUP BY alpha')
+def _(spark, d):
+    return results.groups_per_alpha(results.selection(_weight_frame(spark, d)))
+
+
+@query("top_groups", f'WITH {_WT} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY kernel_weight DESC, "group") AS INT) AS rank FROM wt WHERE alpha = (SELECT min(alpha) FROM wt)) WHERE rank <= 2')
+def _(spark, d):
+    return results.top_groups(_weight_frame(spark, d), 2)
+
+
+@query("weights_scaled", f'WITH {_WT}, t AS (SELECT "group", CAST(row_number() OVER (ORDER BY sum(kernel_weight) DESC, "group") AS INT) AS group_rank FROM wt GROUP BY 1) SELECT "group", alpha, class, CASE WHEN max(kernel_weight) OVER (PARTITION BY class) > 0 THEN kernel_weight / max(kernel_weight) OVER (PARTITION BY class) ELSE 0 END AS kernel_weight, group_rank FROM wt JOIN t USING ("group") WHERE group_rank <= 3')
+def _(spark, d):
+    return results.weights_heatmap(_weight_frame(spark, d), 3, True)
+
+
+@query("weights_sorted", f"WITH {_WT} SELECT * FROM wt")
+def _(spark, d):
+    return results.sort_groups(_weight_frame(spark, d))
+
+
+_MT = "mt AS (SELECT CAST(c_nationkey % 5 AS DOUBLE) / 10 AS alpha, c_mktsegment AS class, round(avg(c_acctbal) / 10000, 6) AS \"AUROC\", round(max(c_acctbal) / 10000, 6) AS \"Accuracy\" FROM customer GROUP BY 1, 2)"
+
+
+def _metric_frame(spark, d):
+    rows = ad.table(spark, d, "customer").groupBy(((F.col("c_nationkey") % 5).cast("double") / 10).alias("alpha"), F.col("c_mktsegment").alias("class"))
+    return rows.agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("AUROC"), F.round(F.max("c_acctbal") / 10000, 6).alias("Accuracy"))
+
+
+@query("metrics_long", f"WITH {_MT} SELECT alpha, class, 'AUROC' AS metric, \"AUROC\" AS value FROM mt UNION ALL SELECT alpha, class, 'Accuracy', \"Accuracy\" FROM mt")
+def _(spark, d):
+    return results.metrics_long(_metric_frame(spark, d))
+
+
+@query("metrics_many", f"WITH {_MT} SELECT alpha, class, 'AUROC' AS metric, \"AUROC\" AS value, 'one' AS key FROM mt UNION ALL SELECT alpha, class, 'Accuracy', \"Accuracy\", 'two' FROM mt")
+def _(spark, d):
+    long = results.metrics_long(_metric_frame(spark, d))
+    return results.many({"one": long.where("metric = 'AUROC'"), "two": long.where("metric = 'Accuracy'")})
+
+
+@query("weights_long", f'WITH {_WT} SELECT alpha, class, "group", kernel_weight FROM wt')
+def _(spark, d):
+    packed = _weight_frame(spark, d).groupBy("alpha", "class").agg(F.array_sort(F.collect_list(F.struct("group", "kernel_weight"))).alias("x"))
+    return results.weights_long(packed.select("alpha", "class", F.col("x.group").alias("groups"), F.col("x.kernel_weight").alias("norms")))
+
+
+@query("summary_top_group", f"WITH {_WT}, a1 AS (SELECT alpha, class, count(*) FILTER (kernel_weight <> 0) AS n_selected FROM wt GROUP BY 1, 2), tp AS (SELECT alpha, class, \"group\", row_number() OVER (PARTITION BY alpha, class ORDER BY kernel_weight DESC, \"group\") AS rn FROM wt) SELECT a1.alpha, a1.class, a1.alpha / 10 AS auroc, n_selected, CASE WHEN n_selected > 0 THEN \"group\" ELSE 'No groups selected' END AS top_group FROM a1 JOIN tp ON a1.alpha = tp.alpha AND a1.class = tp.class AND rn = 1")
+def _(spark, d):
+    weights = _weight_frame(spark, d)
+    metrics = weights.select("alpha", "class").distinct().select("alpha", "class", F.lit("AUROC").alias("metric"), (F.col("alpha") / 10).alias("value"))
+    return results.summary(metrics, weights)
+
+
+@query("per_model_summary", f"WITH {_MT} SELECT class, \"AUROC\", \"Accuracy\" FROM mt WHERE alpha = 0.2")
+def _(spark, d):
+    return evaluate.per_model_summary(results.metrics_long(_metric_frame(spark, d)), 0.2).select("class", "AUROC", "Accuracy")
+
+
+@query("cv_best_alpha", f'WITH {_WT} SELECT alpha, avg(kernel_weight) AS mean FROM wt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1')
+def _(spark, d):
+    return evaluate.best_alpha(_weight_frame(spark, d).select("alpha", F.col("kernel_weight").alias("value")))
+
+
+@query("format_group_names", "SELECT DISTINCT n_name AS name, 'Nation ' || split_part(n_name, '_', 2) AS shown FROM nation")
+def _(spark, d):
+    names = ad.table(spark, d, "nation").select(F.col("n_name").alias("name")).distinct()
+    return names.select("name", results.format_group_names(F.col("name"), ["drop"]).alias("shown"))
+
+
+@query("metric_plot", f"WITH {_MT} SELECT alpha, \"AUROC\" AS value, CASE WHEN (SELECT min(\"AUROC\") FROM mt) < 0.5 THEN 0.0::DOUBLE ELSE 0.6::DOUBLE END AS y_floor FROM mt")
+def _(spark, d):
+    return results.metric_plot(_metric_frame(spark, d), "AUROC")
+
+
+@query("group_embedding")
+def _(spark, d):
+    return results.group_embedding(ad.b_matrix(spark, d), splitting.stratified_split(ad.b_cells(spark, d)), ad.b_groups(spark, d), ["Brand#1", "Brand#2"])
+
+
+@query("random_draws", "SELECT o_orderkey, round(sqrt(-2.0 * ln(((('0x' || substr(md5('sa:' || o_orderkey), 1, 8))::BIGINT + 0.5) / 4294967296.0))) * cos(2 * pi() * ((('0x' || substr(md5('sb:' || o_orderkey), 1, 8))::BIGINT + 0.5) / 4294967296.0)), 6) AS n FROM orders")
+def _(spark, d):
+    return ad.table(spark, d, "orders").select("o_orderkey", F.round(rand.normal("s", F.col("o_orderkey")), 6).alias("n"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
