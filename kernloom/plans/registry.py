@@ -341,7 +341,9 @@ _Z = 'z AS (SELECT cell_id, split, "group", j, cos(s) * sqrt(1.0 / 3) AS v FROM
 
 
 def _z(spark, d, multi=False, width=3):
-    return kernel.calculate_z(ad.a_vectors(spark, d, multi), width, n_batches=4, batch_size=20)[0]
+    # widths, directions and models all read the vectors, and every alpha and class reads Z
+    vectors = ad.a_vectors(spark, d, multi).persist()
+    return kernel.calculate_z(vectors, width, n_batches=4, batch_size=20)[0].persist()
 
 
 @query("z_matrix", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, split, "group", CAST(j AS INT) AS j, round(v, 5) AS v FROM z'))
@@ -430,8 +432,8 @@ def _(spark, d):
 
 @query("optimize_alpha")
 def _(spark, d):
-    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d)
-    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups), 4, n_batches=4, batch_size=20)[0]
+    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d).persist()
+    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups).persist(), 4, n_batches=4, batch_size=20)[0]
     best = evaluate.optimize_alpha(make, ad.a_split(spark, d), [0.2, 0.6], k=2)
     return spark.createDataFrame([(best,)], "alpha double")
 
