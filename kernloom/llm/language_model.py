@@ -111,9 +111,21 @@ class Vocabulary:
 
 
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals and the ``LOCAL`` most frequent words of a staged table (word, n)."""
+    """Totals and the most frequent words of a staged table (word, n), ``LOCAL`` at most.
+
+    Counts of words by steps of the logarithm of n tell down to which n at most ``LOCAL`` words
+    reach; only those come to the driver, where a top-k would send as many from each task.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(LOCAL).collect()]
+    step = F.floor(F.log2("n") * 64)
+    steps = sorted(((r["b"], r["v"], r["m"]) for r in counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("m")).collect()), reverse=True)
+    least, held = None, 0
+    for _, words_in, lowest in steps:
+        held += words_in
+        if held > LOCAL:
+            break
+        least = lowest
+    top = [] if least is None else sorted(((r[0], r[1]) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
     # the end token is always among the head words
     at = next((i for i, (w, _) in enumerate(top) if w == END), None)
     if at is not None and at >= HEAD:
@@ -242,7 +254,7 @@ def _coded(texts: Iterator, coder: _Coder, most: int) -> Iterator[tuple[np.ndarr
     codes, sizes, held = [], [], []
     for text in texts:
         w = words(text)
-        codes += [coder[x] for x in w]
+        codes.extend(map(coder.__getitem__, w))
         codes.append(end)
         sizes.append(len(w) + 1)
         held.append(w)
@@ -315,8 +327,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, flat
                 known += np.add.reduceat(codes < local, starts, dtype=np.int64).tolist()
                 bases += np.add.reduceat(base[codes], starts).tolist()
                 scores += np.add.reduceat(logs, starts).tolist()
-                for w in held:
-                    other = Counter(x for x in w if coder[x] >= LOCAL)
+                for w, start in zip(held, starts):
+                    other = Counter([w[i] for i in np.flatnonzero(codes[start : start + len(w)] >= LOCAL)])
                     rare.append([x.decode("utf-8", "surrogatepass") for x in other])
                     times.append(list(other.values()))
             yield pa.RecordBatch.from_arrays(
