@@ -1,0 +1,250 @@
+"""Near copies: all pairs of documents whose sets of five-word shingles have a Jaccard
+similarity of ``SIMILAR`` (four fifths) at least, found without a bit limit.
+
+Words are those of the text lower-cased in A-Z; a shingle is the XXH64 (seed 42) of five words,
+or of the whole text where it has fewer. Rows of equal sets are one node.
+
+Candidates come from a prefix filter: with the shingles of all sets in one common order, two
+sets of similarity 4/5 share a shingle among the first n - ceil(4n/5) + 1 of each. Any order
+is right; this one puts shingles that are frequent in a sample last, so that few sets meet.
+Pairs are tested in two rounds: each set with the least node of each shingle that it shares,
+then all pairs of a shared shingle which the first round has not put into one component.
+A pair is dropped early only by its sizes or by the parities of its shingles in 1024 buckets,
+which differ in no more places than the sets do; what is left is compared shingle by shingle.
+
+Nulls and texts without words have the empty set, and are copies of each other. Repeated rows
+and ids are separate documents. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kernloom.llm.common import staged
+from kernloom.llm.components import components
+
+WIDTH = 5
+SAMPLE = 4000  # documents that the order of shingles is learnt from; no pair depends on it
+BUCKETS = 1024
+FEW = 2_000_000  # candidates up to which their ids go to the texts; beyond, the texts are shuffled
+_MEET = 400_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct shingles of a whole text, ascending."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(w) <= WIDTH:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(w), 42)] if w else [], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b"%b %b %b %b %b" % x, 42) for x in zip(w, w[1:], w[2:], w[3:], w[4:])), np.uint64, len(w) - WIDTH + 1))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of 4/5 at least."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def parities(found: np.ndarray) -> bytes:
+    odd = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones (in the sample) first."""
+    n = len(found)
+    if not n:
+        return found
+    k = np.ones(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        k = np.where(common[at] == found, count[at], 1)
+    return found[np.argsort(k, kind="stable")[: n - -(-4 * n // 5) + 1]]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+def common_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in two texts or more of a sample of fixed size, ascending, with their counts."""
+    n = docs.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], ["shingle"])
+
+    some = docs.select(text_col).sample(False, min(1.0, SAMPLE / max(n, 1)), 7).mapInArrow(run, "shingle long")
+    found = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    common, count = found["shingle"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(common)
+    return common[order], count[order]
+
+
+def with_prints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with _node (hash of the set), _n (its size), _odd (parities) and _prefix."""
+    common, count = common_shingles(docs, text_col)
+    at = docs.columns.index(text_col)
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField("_node", T.LongType()), T.StructField("_n", T.IntegerType()), T.StructField("_odd", T.BinaryType()), T.StructField("_prefix", T.ArrayType(T.LongType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, odd, first = [], [], [], []
+            for text in batch.column(at):
+                found = shingles(text.as_py())
+                node.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
+                n.append(len(found))
+                odd.append(parities(found))
+                first.append(prefix(found, common, count))
+            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(odd, pa.binary()), _lists(first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of rows sorted by the first, cut only where its value changes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n > _MEET and held[0].column(0)[0] != batch.column(0)[-1]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            yield [c.combine_chunks() for c in table.slice(0, cut).columns]
+            held = table.slice(cut).to_batches()
+            n -= cut
+    if n:
+        yield [c.combine_chunks() for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(shingle, node, n, pivot, pivot_n) of prefix shingles that two nodes or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, n in _whole_groups(batches):
+            shingle, node, n = shingle.to_numpy(), node.to_numpy(), n.to_numpy()
+            order = np.lexsort((node, shingle))
+            shingle, node, n = shingle[order], node[order], n[order]
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])])
+            shingle, node, n = shingle[new], node[new], n[new]
+            starts = _starts(shingle)
+            sizes = np.diff(np.append(starts, len(shingle)))
+            first, many = np.repeat(starts, sizes), np.repeat(sizes > 1, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (shingle, node, n, node[first], n[first])], ["shingle", "node", "n", "pivot", "pivot_n"])
+
+    meet = rows.select(F.explode("_prefix").alias("shingle"), F.col("_node").alias("node"), F.col("_n").alias("n"))
+    return meet.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "shingle long, node long, n int, pivot long, pivot_n int")
+
+
+def _bits(odd: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(odd.to_pylist()), np.uint64).reshape(-1, BUCKETS // 64)
+
+
+def _can_be(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sets of similarity 4/5 differ in a ninth of their common size at most."""
+    return 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n.astype(np.int64) + m
+
+
+def _star_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    pairs = shared.where("node <> pivot and 5 * least(n, pivot_n) >= 4 * greatest(n, pivot_n)").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = _can_be(_bits(batch.column(2)), _bits(batch.column(4)), batch.column(3).to_numpy(), batch.column(5).to_numpy())
+                yield batch.select([0, 1]).filter(pa.array(keep))
+
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("odd").alias(f"odd_{end}"), F.col("n").alias(f"n_{end}")), end)
+    return pairs.select("a", "b", "odd_a", "n_a", "odd_b", "n_b").mapInArrow(run, "a long, b long")
+
+
+def _other_pairs(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs that share a shingle and are in different components."""
+    named = shared.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    dealt = named.join(mixed, "shingle").join(nodes.select("node", "odd"), "node").select("shingle", "node", "n", "root", "odd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, node, n, root, odd in _whole_groups(batches):
+            shingle, node, n, root, bits = shingle.to_numpy(), node.to_numpy(), n.to_numpy(), root.to_numpy(), _bits(odd)
+            starts = _starts(shingle)
+            sizes = np.diff(np.append(starts, len(shingle)))
+            i, end, shift = np.arange(len(shingle)), np.repeat(starts + sizes, sizes), 0
+            while len(i):
+                shift += 1
+                i = i[i + shift < end[i]]
+                j = i + shift
+                near = (root[i] != root[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+                x, y = i[near], j[near]
+                near = _can_be(bits[x], bits[y], n[x], n[y])
+                x, y = node[x[near]], node[y[near]]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return dealt.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long").distinct()
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t.as_py()) for t in batch.column(1)])], ["node", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("first.row").alias("_row")), "node")
+    ends = staged(ends, "copies-ends")
+    ends = F.broadcast(ends) if ends.count() <= FEW else ends
+    found = staged(rows.select("_row", text_col).join(ends, "_row").select("node", text_col).mapInArrow(sets, "node long, found array<long>"), "copies-sets")
+    both = pairs.join(found.toDF("a", "found_a"), "a").join(found.toDF("b", "found_b"), "b")
+    return both.select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``component_id`` and ``stays`` (true for exactly one row of each component)."""
+    rows = staged(with_prints(docs, text_col).withColumn("_row", F.monotonically_increasing_id()), "copies-rows")
+    # the least id, nulls last; the row number tells repeated ids apart
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
+    nodes = rows.groupBy(F.col("_node").alias("node")).agg(first.alias("first"), F.min("_n").alias("n"), F.min("_odd").alias("odd"), F.count(F.lit(1)).alias("rows"))
+    nodes = staged(nodes, "copies-nodes")
+    shared = staged(_shared(rows), "copies-shared")
+    links = staged(_compared(staged(_star_pairs(shared, nodes), "copies-pairs"), nodes, rows, text_col), "copies-links")
+    roots = staged(components(links), "copies-components")
+    more = _compared(staged(_other_pairs(shared, nodes, roots), "copies-pairs"), nodes, rows, text_col)
+    roots = staged(components(links.unionByName(more)), "copies-components")
+    # roots belong to their own components
+    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = member.join(nodes.select("node", "first"), "node")
+    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("node", "least")
+    groups = nodes.where("rows > 1").select("node", F.col("first").alias("own")).join(linked, "node", "full")
+    groups = groups.select(F.col("node").alias("_node"), F.coalesce("least", "own").alias("least"))
+    return rows.join(groups, "_node", "left").select(
+        *[F.col(c) for c in docs.columns],
+        F.coalesce("least.id", id_col).alias("component_id"),
+        F.coalesce(F.col("least.row") == F.col("_row"), F.lit(True)).alias("stays"),
+    )

@@ -1,0 +1,82 @@
+import random
+
+import corpus_pipeline as C
+
+from kernloom.llm import near_copies as N
+
+
+def sets_of(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(texts):
+    sets, parent = [sets_of(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def planted():
+    """Chains of edits around the limit, one common passage, short texts, odd ones."""
+    rng = random.Random(4)
+    draw = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage, texts = draw(60), [None, "", " ", "a b", "A B", "a b c d e", "a b c d e f"]
+    for _ in range(40):
+        now = draw(rng.choice([5, 9, 30, 120, 400])) + passage * rng.randrange(2)
+        for _ in range(rng.randrange(1, 6)):
+            texts.append(" ".join(now))
+            for _ in range(rng.randrange(1, max(2, len(now) // 40 + 2))):
+                now[rng.randrange(len(now))] = f"x{rng.randrange(4000)}"
+    base = draw(100)
+    for _ in range(60):  # a large group, whose members differ from each other more than from the base
+        now = list(base)
+        now[rng.randrange(20, 80)] = "y%d" % rng.randrange(9999)
+        now[rng.randrange(20, 80)] = "y%d" % rng.randrange(9999)
+        texts.append(" ".join(now))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_stage_is_brute_force(spark):
+    texts = planted()
+    want = brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in N.near_copies(docs).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == want
+    kept = sorted(r.doc_id for r in C.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(set(want)) and len(kept) < len({frozenset(sets_of(t)) for t in texts})
+
+
+def test_prefixes_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 4, 5, 9, 10, 50):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 60, n // 12).astype(np.uint64)]))
+            common = np.sort(rng.choice(a, len(a) // 2, replace=False))
+            count = rng.integers(2, 9, len(common))
+            if len(b) and N.similar(a, b):
+                assert set(N.prefix(a, common, count).tolist()) & set(N.prefix(b, common, count).tolist())
+                x, y = (np.frombuffer(N.parities(s), np.uint64)[None] for s in (a, b))
+                assert N._can_be(x, y, np.array([len(a)]), np.array([len(b)])).all()
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(7, "a b c", "k"), (7, "A b c", "k"), (None, None, ""), (None, "", "q"), (3, "x", None)], "doc_id bigint, text string, lang string")
+    rows = N.near_copies(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 0), (3, 3), (7, 7), (7, 7)]
+    assert sum(r.stays for r in rows) == 3
+    assert N.near_copies(docs.limit(0)).count() == 0
