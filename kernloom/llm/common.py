@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, else the context's
-    checkpoint folder, else (local runs and tests only) a temporary folder."""
+    checkpoint folder, else (local masters only) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="kernloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -31,6 +33,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers that may be broadcast; beyond it both sides are shuffled.
+FEW = 500_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

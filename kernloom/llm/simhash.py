@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kernloom.llm.common import staged
+from kernloom.llm.common import broadcast_if_few, staged
 from kernloom.llm.components import components
 
 BITS = 3
@@ -193,6 +193,39 @@ def _further(fp: Column, key: Column) -> Column:
     )
 
 
+def cells(rows: DataFrame, by: str, split: int) -> DataFrame:
+    """``rows`` (key, ...) with ``part``, in groups of bounded size: a key of more than ``split`` rows
+    is dealt into parts by a hash of ``by``, and every two parts meet under a key of their own.
+    Keys of the input are under 2**41, the cell's number goes above."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > split)
+    sizes = broadcast_if_few(staged(sizes, "group-sizes"))
+    parts = F.ceil(F.col("__size") / split)
+    own = F.pmod(F.xxhash64(by), parts)
+    meet = F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda x: F.least(x, own) * parts + F.greatest(x, own) + 1)
+    out = rows.join(sizes, "key", "left").withColumns({"part": F.coalesce(own, F.lit(0).cast("bigint")), "__cell": F.explode(F.coalesce(meet, F.array(F.lit(0).cast("bigint"))))})
+    return out.withColumn("key", F.col("key") + F.shiftleft("__cell", 41)).drop("__size", "__cell")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[list[pa.Array]]:
+    """Columns of rows sorted by the first (a key), cut only where its value changes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n > most and held[0].column(0)[0] != batch.column(0)[-1]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            yield [c.combine_chunks() for c in table.slice(0, cut).columns]
+            held = table.slice(cut).to_batches()
+            n -= cut
+    if n:
+        yield [c.combine_chunks() for c in pa.Table.from_batches(held).combine_chunks().columns]
+
+
 def links(nodes: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints ``nodes.simhash`` within ``bits``."""
     if bits > 3:
@@ -205,25 +238,13 @@ def links(nodes: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
     hung = hung.select("simhash", F.explode(keys).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f, n = [], [], 0
-
-        def found(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = group_links(k, f, bits)
+        for key, print_ in whole_groups(batches):
+            a, b = group_links(key.to_numpy(), print_.to_numpy().view(np.uint64), bits)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            held_k.append(batch.column(0).to_numpy())
-            held_f.append(batch.column(1).to_numpy().view(np.uint64))
-            n += batch.num_rows
-            if n > 400_000 and held_k[0][0] != held_k[-1][-1]:
-                k, f = np.concatenate(held_k), np.concatenate(held_f)
-                cut = int(np.searchsorted(k, k[-1]))  # the last node may go on
-                yield from found(k[:cut], f[:cut])
-                held_k, held_f, n = [k[cut:]], [f[cut:]], len(k) - cut
-        if n:
-            yield from found(np.concatenate(held_k), np.concatenate(held_f))
-
+    # fingerprints that share a mask of both levels may still be many: they meet in cells
+    hung = cells(hung, "simhash", split)
     dealt = hung.select("key", "simhash").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -1,9 +1,9 @@
 import corpus_pipeline as C
 import numpy as np
 
-from kernloom.llm import decontaminate, language_id, packing, simhash
+from kernloom.llm import decontaminate, language_id, packing
+from tests.llm.test_copies import brute as brute_copies
 from tests.llm.test_secrets import brute
-from tests.llm.test_simhash import brute_components
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ def test_run_is_brute_force(spark):
     letters = language_id._Letters()
     docs = {d: t for d, t in docs.items() if len(language_id.gram_codes(t, letters))}
     ids = sorted(docs)
-    labels = brute_components([simhash.fingerprint(docs[d]) for d in ids])
+    labels = brute_copies([docs[d] for d in ids])
     docs = {d: docs[d] for i, d in enumerate(ids) if labels[i] == i}
     plain = [decontaminate.folded(t) for _, t in items]
     docs = {d: t for d, t in docs.items() if not any(p in decontaminate.folded(t) for p in plain)}
