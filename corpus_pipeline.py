@@ -1,6 +1,6 @@
 """A corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-Language ID, near-dedup by five-word shingles, benchmark decontamination, secret scans, best-fit packing.
+Language ID, SimHash near-dedup, benchmark decontamination, secret scans, best-fit packing.
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the
 last return the columns of ``documents``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernloom.llm import decontaminate, language_id, near_copies, packing, secrets
+from kernloom.llm import copies, decontaminate, language_id, packing, secrets
 from kernloom.llm.common import documents, staged
 
 
@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id. Groups are linked by a Jaccard
-    similarity of five-word shingles of 0.8 at least."""
-    return near_copies.near_copies(docs).where("stays").select(*docs.columns)
+    """One document of each group stays: the one with the least id. Groups are linked by SimHash and
+    a Jaccard similarity of five-word shingles of 0.8 at least."""
+    return copies.near_copies(docs).where("stays").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
