@@ -2,13 +2,21 @@
 
 All pieces of one length are alike, so the packing problem is a histogram of at most
 ``capacity`` counts, whatever the corpus. The driver solves it by bin completion: around the
-largest length left, the undominated fillings of the gap are enumerated (an exact single
-length dominates all others; else the least waste first, then the largest lengths), each
-applied to as many sequences as the counts allow; branches whose waste can't beat the best
-solution so far are cut. The incumbent is best-fit decreasing. The search stops at the lower
-bound or after ``nodes`` fillings. Pieces are then matched to places by their rank within
-their length, which comes from counts per task and length: no group of equal lengths is
-gathered anywhere.
+largest length left, the undominated fillings of the gap are enumerated lazily, the least
+waste first. (A filling is dominated if a length left out can replace a part of it: one that
+is larger than that part and still fits, or as large as several together.) Each is applied to
+as many sequences as the counts allow, then to a single one; branches whose waste can't beat
+the best solution so far are cut. The incumbent is best-fit decreasing.
+
+The search ends when the lower bound is reached or every branch is cut: then no packing has
+fewer sequences. It also ends after ``nodes`` fillings; then up to ``repairs`` times the
+sequences that have waste are taken out with some full ones, completed anew around their
+largest lengths, and kept if no worse. Where that doesn't reach the lower bound either, the
+gap between ``sequences`` and ``least_sequences`` (two columns) tells how far the optimum can
+be. Neither limit drops a piece.
+
+Pieces are then matched to places by their rank within their length, which comes from counts
+per task and length: no group of equal lengths is gathered anywhere.
 
 Tokens: a document's ids, then the separator id. Longer documents are cut from the end, so
 all pieces but the first are full. Null texts are empty (one separator). Null and repeated
@@ -18,6 +26,7 @@ ids are separate documents. An empty table gives no pieces. Texts are tokenized
 from __future__ import annotations
 
 import json
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +41,8 @@ from pyspark.sql import functions as F
 from kernloom.llm.common import staged
 
 CAPACITY = 2048
-NODES = 6_000
+NODES, REPAIRS = 20_000, 25_000
+SINGLES = 200  # sequences of one pattern that repairs may take apart
 SEPARATOR = 0
 
 
@@ -51,8 +61,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """text -> ids (uint32 array), the same as ``tokenizers`` gives for the file without special
-    tokens. Byte-level BPE whose merges are in id order runs in the faster ``tiktoken``."""
+    """text -> ids (uint32 array), the same as ``tokenizers`` gives for the file with
+    add_special_tokens=False: added tokens that the text spells out have their own ids. Byte-level
+    BPE whose merges are in id order runs in the faster ``tiktoken``."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -60,20 +71,21 @@ def encoder(vocabulary: str):
     vocab = model["vocab"]
     ordered = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    added = spec.get("added_tokens", [])
+    plain = plain and all(t.get("special") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added)
     if model.get("type") == "BPE" and plain and ordered and not model.get("ignore_merges"):
         import tiktoken
 
         alphabet = _byte_alphabet()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
         # the split pattern of byte-level pre-tokenizers, a fixed value
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: fast.encode_to_numpy(text, disallowed_special=())
+        fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -150,14 +162,57 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _fillings(left: np.ndarray, gap: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap``, best first, at most ``width``; () if nothing fits.
-
-    An exact single length dominates all others. Then the two largest lengths vary and the
-    rest is filled from above; fillings of less waste go first, then those of larger lengths.
-    """
-    if gap < len(left) and left[gap]:
-        return [(gap,)]
+def _dominated(filling: tuple[int, ...], waste: int, others: int) -> bool:
+    """Whether one of the lengths left out (bits of ``others``) can take the place of one or more of
+    the filling's: larger than these and still fitting, or as large as several."""
+    some = several = 0  # bits: sums of one or more of the filling's lengths, of two or more
+    for x in filling:
+        several |= several << x | some << x
+        some |= some << x | 1 << x
+    wider, reach = some << 1 if waste else 0, 1
+    while reach < waste:  # sums and up to ``waste`` more
+        step = min(reach, waste - reach)
+        wider |= wider << step
+        reach += step
+    return bool(others & (several | wider))
+
+
+def _of_sums(lengths: list[int], counts: list[int], gap: int, least: int = 0) -> Iterator[tuple[int, ...]]:
+    """All choices of ``lengths`` (descending, each ``counts`` times at most) of a sum from ``least``
+    to ``gap``, larger sums first. Suffixes know the sums that they can make, so there are no dead ends."""
+    reach, keep = [1], (1 << gap + 1) - 1
+    for x, n in zip(reversed(lengths), reversed(counts)):
+        out = now = reach[-1]
+        for _ in range(min(n, gap // x)):
+            now = now << x & keep
+            out |= now
+        reach.append(out)
+    reach.reverse()
+    for total in range(gap, max(least, 0) - 1, -1):
+        if not reach[0] >> total & 1:
+            continue
+        stack = [(0, total, ())]
+        while stack:
+            i, rest, chosen = stack.pop()
+            while rest:  # the next length that may take part
+                x = lengths[i]
+                if x <= rest:
+                    ways = [k for k in range(1, min(counts[i], rest // x) + 1) if reach[i + 1] >> rest - k * x & 1]
+                    without = reach[i + 1] >> rest & 1
+                    if ways:
+                        if without:
+                            stack.append((i + 1, rest, chosen))
+                        for k in ways[:-1]:
+                            stack.append((i + 1, rest - k * x, chosen + (x,) * k))
+                        k = ways[-1]
+                        rest, chosen = rest - k * x, chosen + (x,) * k
+                i += 1
+            yield chosen
+
+
+def _quick(left: np.ndarray, gap: int, width: int = 4) -> list[tuple[int, ...]]:
+    """A few good fillings without an enumeration: the two largest lengths vary, the rest is filled
+    from above; less waste first, then larger lengths."""
     there = np.flatnonzero(left[: gap + 1])
     if not len(there):
         return [()]
@@ -166,7 +221,6 @@ def _fillings(left: np.ndarray, gap: int, width: int) -> list[tuple[int, ...]]:
     below = np.maximum.accumulate(below)
 
     def filled(key: tuple[int, ...]) -> tuple[int, ...]:
-        """``key`` and what fits after it, from above."""
         room, top, out, used = gap - sum(key), key[-1], list(key), Counter(key)
         while room > 0:
             c = int(below[min(room, top)])
@@ -183,62 +237,149 @@ def _fillings(left: np.ndarray, gap: int, width: int) -> list[tuple[int, ...]]:
     first = there[::-1]
     second = below[np.minimum(gap - first, first)]
     second = np.where((second == first) & (left[first] < 2), below[np.maximum(np.minimum(gap - first, first) - 1, 0)], second)
-    waste = gap - first - second
-    order = np.argsort(waste, kind="stable")[:width]
+    order = np.argsort(gap - first - second, kind="stable")[:width]
     found = {filled((int(first[i]), int(second[i])) if second[i] else (int(first[i]),)) for i in order}
-    if all(sum(f) < gap for f in found):
-        for a in first[:24]:
-            b = first[first <= min(gap - int(a), int(a))]
-            if not len(b):
-                continue
-            rest = gap - int(a) - b
-            short = rest - below[np.minimum(rest, b)]
-            for i in np.argsort(short, kind="stable")[:2]:
-                if b[i] != a or left[a] > 1:
-                    found.add(filled((int(a), int(b[i]))))
-            if any(sum(f) == gap for f in found):
-                break
-    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))[:width]
+    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, width: int = 4) -> list[Pattern]:
-    """Branch and bound; [(lengths, how many sequences)], never worse than best fit."""
-    counts = {int(k): int(n) for k, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    best_n, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    start = np.zeros(capacity + 1, np.int64)
-    for k, n in counts.items():
-        start[k] = n
-    # depth first; a node is (counts left, sequences used, waste, patterns as a linked list)
-    stack: list[tuple] = [(start, 0, 0, None)]
-    budget = nodes
-    while stack and budget and best_n > bound:
-        left, used, waste, path = stack.pop()
-        if waste > (best_n - 1) * capacity - total:
-            continue
-        there = np.flatnonzero(left)
-        if not len(there):
-            if used < best_n:
-                best_n, best = used, []
-                while path:
-                    best.append(path[0])
-                    path = path[1]
-            continue
-        budget -= 1
-        largest = int(there[-1])
+def fillings(left: np.ndarray, gap: int, slack: int = CAPACITY) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``gap`` from ``left`` that waste ``slack`` at most, good ones first; ()
+    if nothing fits. An exact single length dominates all others."""
+    if gap < len(left) and left[gap] and gap:
+        yield (gap,)
+        return
+    there = np.flatnonzero(left[: gap + 1])[::-1]
+    if not len(there):
+        yield ()
+        return
+    bits = 0
+    for x in there.tolist():
+        bits |= 1 << x
+    seen: set = set()
+
+    def kept(some: Iterator[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+        for f in some:
+            if not f or f in seen or sum(f) < gap - slack:
+                continue
+            seen.add(f)
+            others = bits
+            for x, n in Counter(f).items():
+                if n >= left[x]:
+                    others &= ~(1 << x)
+            # what still fits beside a filling makes it dominated, too
+            waste = gap - sum(f)
+            if not others & ((1 << waste + 1) - 1) and not _dominated(f, waste, others):
+                yield f
+
+    yield from kept(_quick(left, gap))
+    yield from kept(_of_sums(there.tolist(), left[there].tolist(), gap, gap - slack))
+
+
+def _branch_and_bound(start: np.ndarray, best_n: int, bound: int, capacity: int, nodes: int) -> list[Pattern] | None:
+    """A packing in fewer than ``best_n`` sequences, the best one found; None if there is none."""
+    total = int((start * np.arange(len(start))).sum())
+    best = None
+
+    def opened(left: np.ndarray, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """The largest length with each filling, as often as the counts allow and once."""
+        largest = int(np.flatnonzero(left)[-1])
         without = left.copy()
         without[largest] -= 1
-        children = []
-        for filling in _fillings(without, capacity - largest, width):
-            need = Counter((largest, *filling))
-            times = min(int(left[k]) // m for k, m in need.items())
-            after = left.copy()
-            for k, m in need.items():
-                after[k] -= m * times
-            lost = (capacity - largest - sum(filling)) * times
-            children.append((after, used + times, waste + lost, (((largest, *filling), times), path)))
-        stack.extend(reversed(children))
+        for f in fillings(without, capacity - largest, (best_n - 1) * capacity - total - waste):
+            most = min(int(left[k]) // m for k, m in Counter((largest, *f)).items())
+            yield from (((largest, *f), n) for n in ((most, 1) if most > 1 else (1,)))
+
+    # depth first; a frame is (counts left, sequences used, waste, patterns as a linked list, branches)
+    stack = [(start, 0, 0, None, opened(start, 0))]
+    while stack and nodes and best_n > bound:
+        left, used, waste, path, branches = stack[-1]
+        found = next(branches, None)
+        if found is None:
+            stack.pop()
+            continue
+        nodes -= 1
+        lengths, times = found
+        used, waste = used + times, waste + (capacity - sum(lengths)) * times
+        if waste > (best_n - 1) * capacity - total:
+            continue
+        left, path = left.copy(), (found, path)
+        for k, m in Counter(lengths).items():
+            left[k] -= m * times
+        if left.any():
+            stack.append((left, used, waste, path, opened(left, waste)))
+        elif used < best_n:
+            best_n, best = used, []
+            while path:
+                best.append(path[0])
+                path = path[1]
+    return best
+
+
+def _completed(items: list[int], capacity: int, rng: random.Random) -> list[tuple[int, ...]]:
+    """Sequences around the largest length left, each with one of its fullest fillings."""
+    left, out = Counter(items), []
+    while left:
+        largest = max(left)
+        left[largest] -= 1
+        lengths = sorted((x for x, n in left.items() if n and x <= capacity - largest), reverse=True)
+        best: list[tuple[int, ...]] = []
+        for f in _of_sums(lengths, [left[x] for x in lengths], capacity - largest):
+            if best and (sum(f) < sum(best[0]) or len(best) >= 6):
+                break
+            best.append(f)
+        filling = rng.choice(best)
+        left -= Counter(filling)
+        left += Counter()
+        out.append((largest, *filling))
+    return out
+
+
+def _repaired(patterns: list[Pattern], bound: int, capacity: int, repairs: int) -> list[Pattern]:
+    """``patterns`` after up to ``repairs`` partial completions; never more sequences."""
+    rng = random.Random(5)
+    bins = {w: [tuple(sorted(p, reverse=True)) for p, n in patterns for _ in range(min(n, SINGLES)) if (sum(p) < capacity) == w] for w in (True, False)}
+    rest = [(p, n - SINGLES) for p, n in patterns if n > SINGLES]
+    total = sum(n for _, n in patterns)
+
+    def drawn(from_: list, most: int) -> list:
+        out = []
+        for _ in range(min(len(from_), most)):
+            i = rng.randrange(len(from_))
+            from_[i], from_[-1] = from_[-1], from_[i]
+            out.append(from_.pop())
+        return out
+
+    for turn in range(repairs):
+        if total <= bound:
+            break
+        some = drawn(bins[True], rng.randint(2, 8)) + drawn(bins[False], rng.randint(2, 12 if turn % 8 else 30))
+        items = [x for p in some for x in p]
+        if turn % 8:
+            new = [tuple(sorted(p, reverse=True)) for p in _completed(items, capacity, rng)]
+        else:  # all ways to save a sequence among these
+            start = np.bincount(items, minlength=capacity + 1)
+            found = _branch_and_bound(start, len(some), -(-sum(items) // capacity), capacity, 400)
+            new = [tuple(sorted(p, reverse=True)) for p, n in found for _ in range(n)] if found else some
+        rank = lambda x: (-len(x), sum(sum(p) ** 2 for p in x))
+        if rank(new) < rank(some):
+            new = some
+        total += len(new) - len(some)
+        for p in new:
+            bins[sum(p) < capacity].append(p)
+    return [*rest, *Counter(bins[True] + bins[False]).items()]
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, repairs: int = REPAIRS) -> list[Pattern]:
+    """[(lengths, how many sequences)], never worse than best fit."""
+    counts = {int(k): int(n) for k, n in counts.items() if n}
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    best_n = sum(n for _, n in best)
+    if best_n > bound:
+        start = np.zeros(capacity + 1, np.int64)
+        for k, n in counts.items():
+            start[k] = n
+        best = _branch_and_bound(start, best_n, bound, capacity, nodes) or best
+        best = _repaired(best, bound, capacity, repairs)
     return best
 
 
@@ -259,15 +400,17 @@ def places(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """``pieces`` (length, _task, _rank and others) with sequence_id and offset."""
+    """``pieces`` (length, _task, _rank and others) with sequence_id, offset, sequences (their number)
+    and least_sequences (a lower bound of any packing's)."""
     pieces = staged(pieces, "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = places(complete_bins(histogram, capacity, nodes))
+    patterns = complete_bins(histogram, capacity, nodes)
+    table = places(patterns)
     by_task = pieces.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("length", "_task", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
     rows = pieces.join(base, ["length", "_task"]).withColumn("_k", F.col("_base") + F.col("_rank"))
-    kept = [c for c in pieces.columns if c not in ("_task", "_rank", "sequence_id", "offset")]
+    kept = [c for c in pieces.columns if c not in ("_task", "_rank", "sequence_id", "offset", "sequences", "least_sequences")]
     rows = rows.select(*kept, F.col("length").alias("_length"), "_k")
     fields = rows.select(*kept).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["sequence_id long", "offset long"])
@@ -283,7 +426,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
             offset = table["offset"][at] + nth % table["times"][at] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumns(
+        {
+            "sequences": F.lit(sum(n for _, n in patterns)).cast("bigint"),
+            "least_sequences": F.lit(lower_bound(histogram, capacity) if histogram else 0).cast("bigint"),
+        }
+    )
 
 
 def op8_packing(docs: DataFrame) -> DataFrame:

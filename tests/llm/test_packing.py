@@ -65,9 +65,8 @@ def test_encoder_equals_tokenizers():
 
     path = K.default_vocabulary()
     slow, fast = Tokenizer.from_file(path), K.encoder(path)
-    slow.encode_special_tokens = True
     rng = random.Random(2)
-    texts = ["a b  c\u0085 d", "I'll  we've\r\n\t x  ", "😀é日本語 1234½ <|endoftext|>", "z" * 5000, "é" * 3000]
+    texts = ["a b  c\u0085 d", "I'll  we've\r\n\t x  ", "😀é日本語 1234½ <|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x<|endof", "z" * 5000, "é" * 3000]
     texts += ["".join(rng.choice("aé .\n\t'0x‘😀​") for _ in range(200)) for _ in range(200)]
     for t in texts:
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids, t
@@ -100,12 +99,53 @@ def test_packing_in_spark(spark):
     assert K.op8_packing(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("gap", [1, 5, 17])
-def test_fillings_fit(gap):
+@pytest.mark.parametrize("gap", [1, 5, 17, 24])
+def test_fillings_are_the_undominated_ones(gap):
     left = np.zeros(41, np.int64)
     left[[2, 3, 7, 11]] = [1, 2, 1, 1]
-    for f in K._fillings(left, gap, 4):
-        assert sum(f) <= gap and all(Counter(f)[x] <= left[x] for x in f)
     pool = [2, 3, 3, 7, 11]
-    most = max(sum(c) for k in range(len(pool) + 1) for c in combinations(pool, k) if sum(c) <= gap)
-    assert max(sum(f) for f in K._fillings(left, gap, 4)) == most
+    every = {tuple(sorted(c, reverse=True)) for k in range(1, 6) for c in combinations(pool, k) if sum(c) <= gap}
+
+    def parts(c):  # ways to deal some of c into groups
+        if not c:
+            yield []
+            return
+        for rest in parts(c[1:]):
+            for i in range(len(rest)):
+                yield [*rest[:i], [*rest[i], c[0]], *rest[i + 1 :]]
+            yield [*rest, [c[0]]]
+
+    def dominated(c):
+        for o in every - {c}:
+            for groups in parts(list(c)):  # every group under a length of its own
+                sums, room = sorted(map(sum, groups), reverse=True), sorted(o, reverse=True)
+                if len(sums) <= len(room) and all(a <= b for a, b in zip(sums, room)):
+                    return True
+        return False
+
+    found = list(K.fillings(left, gap))
+    assert len(found) == len(set(found))
+    best = {tuple(sorted(f, reverse=True)) for f in found}
+    assert best <= (every or {()})
+    kept = {c for c in every if not dominated(c)}
+    assert kept <= best or best == {(gap,)} or not every  # none that is needed is left out
+
+
+@pytest.mark.parametrize("n, k, seed", [(100, 3, 1), (100, 3, 2), (400, 3, 1), (1000, 3, 1), (300, 4, 1)])
+def test_planted_packings_are_reached(n, k, seed):
+    rng, sizes = random.Random(seed), []
+    while len(sizes) < n * k:
+        cuts = [0, *sorted(rng.sample(range(1, 2048), k - 1)), 2048]
+        parts = [b - a for a, b in zip(cuts, cuts[1:])]
+        sizes += parts if min(parts) >= 100 else []
+    counts = Counter(sizes)
+    assert valid(K.complete_bins(counts), counts, 2048) == n
+
+
+def test_choices_of_sums():
+    lengths, counts = [9, 5, 4, 1], [1, 2, 3, 2]
+    pool = [x for x, n in zip(lengths, counts) for _ in range(n)]
+    want = {tuple(sorted(c, reverse=True)) for k in range(len(pool) + 1) for c in combinations(pool, k) if 10 <= sum(c) <= 18}
+    got = [tuple(sorted(c, reverse=True)) for c in K._of_sums(lengths, counts, 18, 10)]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [sum(c) for c in got] == sorted(map(sum, got), reverse=True)
