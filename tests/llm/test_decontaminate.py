@@ -37,7 +37,7 @@ def test_find_is_brute_force():
     got = D.find(texts, index)
     for t, g in zip(texts, got):
         plain = D.folded(t)
-        want = {item for item, w, k in zip(index.items, index.texts, index.budgets) if distance_inside(w, plain) <= k}
+        want = {item for own in index.of for item, w, k in zip(own.items, own.texts, own.budgets) if distance_inside(w, plain) <= k}
         want |= {item for item, s in index.short if s in plain}
         assert set(g) == want
     assert got[2] == {90: (0, 0, 9)}
@@ -65,3 +65,48 @@ def test_spark(spark):
     assert sorted(r.doc_id for r in D.without_leaks(docs, bench).collect()) == [2, 4]
     assert D.op3_decontamination(docs.limit(0), bench).count() == 0
     assert D.without_leaks(docs, bench.limit(0)).count() == 5
+
+
+def test_no_edit_budget_is_missed_at_any_length():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    for length in [*range(16, 41), 160, 199]:
+        assert length + 1 - (int(length * D.SHARE) + 1) * D.q_of(length) >= 1
+        missed = 0
+        for trial in range(25):
+            item = "".join(rng.choice(letters[:26]) for _ in range(length))
+            k, now = int(length * D.SHARE), list(item)
+            for e in range(k):  # spread, so that they cut as many q-grams as they can
+                at = min((2 * e + 1) * length // (2 * k), len(now) - 1)
+                way = rng.randrange(3)
+                if way == 0:
+                    now[at] = "#"
+                elif way == 1:
+                    now.insert(at, "#")
+                else:
+                    del now[at]
+            text = "".join(rng.choice(letters) for _ in range(300)) + "|" + "".join(now) + "|" + "".join(rng.choice(letters) for _ in range(300))
+            got = D.find([text], D.build_index([(7, item)]))[0]
+            missed += 7 not in got or got[7][0] > k
+        assert not missed, length
+
+
+def test_common_grams_are_expanded_part_by_part():
+    real = D.HITS
+    items = [(i, "the same words again and again in every item " * 3 + f"item number {i}") for i in range(30)]
+    texts = ["x " + "the same words again and again in every item " * 40 + "item number 3", "nothing here at all, or nearly so"]
+    want = D.find(texts, D.build_index(items))
+    try:
+        D.HITS = 500
+        assert D.find(texts, D.build_index(items)) == want and want[0] and not want[1]
+    finally:
+        D.HITS = real
+
+
+def test_gram_hashes_tell_grams():
+    codes = D.codes_of("abcabcabcxabcabd")
+    for q in range(1, 9):
+        h = D.gram_hashes(codes, q)
+        grams = [tuple(codes[i : i + q]) for i in range(len(codes) - q + 1)]
+        assert len(h) == len(grams) and len(set(h.tolist())) == len(set(grams))
+        assert len(set(zip(h.tolist(), grams))) == len(set(grams))
