@@ -9,9 +9,12 @@ words in a long text count as much as in a short one. Windows inherit the label
 document in training.
 
 Training sees a bounded sample of labelled rows: ``DOCS`` documents per label at most (least
-hash of the id) and of their windows ``CLEAN_WINDOWS`` and ``TOXIC_WINDOWS`` at most. Ids of
-the sample are broadcast (2 * ``DOCS`` rows at most); windows come to the driver, cut to
-``WINDOW`` words of ``WORD`` characters. Scoring covers all rows and whole texts.
+hash of the id). One in five of them, by another hash of the id, sets the bias; of the distinct
+windows of the others ``CLEAN_WINDOWS`` and ``TOXIC_WINDOWS`` at most train the vectors. The
+bias puts the threshold where it separates best the whole documents left out, each counting as
+many times as its label has training documents for one in the sample. Ids of the sample are
+broadcast (2 * ``DOCS`` rows at most); windows of ``WINDOW`` words and one score a document
+come to the driver. Scoring covers all rows and whole texts.
 
 Null and empty texts score as the bias alone. A document labelled twice counts as toxic if
 any label says so; null labels and ids are ignored. Without a label of either kind all scores
@@ -31,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernloom.llm.common import crc_mod
+from kernloom.llm.common import crc_mod, staged
 
-WINDOW, PLACES, WORD = 200, 40, 64
+WINDOW, PLACES = 200, 40
 DOCS = 5000
 CLEAN_WINDOWS, TOXIC_WINDOWS = 5_000, 2_500
 BUCKETS, DIM, ROUNDS, RATE, DECAY = 1 << 17, 4, 55, 0.2, 4e-6
-LEAST = 20  # windows in which a bucket must occur to get a vector
+RARE = 375  # a bucket must occur in one of so many windows, and in two, to get a vector
 THRESHOLD = 0.7
-CLEAN_WEIGHT = 20  # clean windows outnumber toxic ones outside the sample, and a text has its highest
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -48,8 +50,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def buckets_of(word: str) -> list[int]:
-    """Hashed buckets of a word: itself, then its n-grams. Long words keep ``WORD`` characters
-    per n-gram pass, all of them pass by pass."""
+    """Hashed buckets of a word: itself, then its n-grams."""
     marked = f"<{word}>"
     grams = [marked]
     for n in (3, 4, 5):
@@ -86,25 +87,23 @@ class Scorer:
         return self.model.bias + best
 
 
-def train(windows: list[list[str]], labels: list[int]) -> Model:
-    """The model of four fifths of the windows, its bias set on the fifth left out: there the
-    threshold separates best, clean windows counting ``CLEAN_WEIGHT`` times."""
-    model = _fit([w for i, w in enumerate(windows) if i % 5], [y for i, y in enumerate(labels) if i % 5])
-    score = Scorer(model)
-    held = sorted((score.logit(" ".join(w)), y) for w, y in zip(windows[::5], labels[::5]))
-    toxic = np.array([y for _, y in held])
+def centred(model: Model, scored: list[tuple[float, int, float]]) -> Model:
+    """The model with the bias at which the threshold separates best (by F1) documents given as
+    (logit, label, weight); unchanged without documents of either label."""
+    scored = sorted(scored)
+    logits, toxic, weight = (np.array([x[i] for x in scored], float) for i in range(3))
+    hits, all_toxic = toxic * weight, float((toxic * weight).sum())
     if not 0 < toxic.sum() < len(toxic):
         return model
-    logits = np.array([x for x, _ in held])
-    hit = toxic.sum() - np.cumsum(toxic)  # of a cut after each place
-    wrong = CLEAN_WEIGHT * ((len(toxic) - toxic.sum()) - np.cumsum(1 - toxic))
-    f1 = 2 * hit / np.maximum(hit + wrong + toxic.sum(), 1)
+    hit = all_toxic - np.cumsum(hits)  # of a cut after each place
+    wrong = ((1 - toxic) * weight).sum() - np.cumsum((1 - toxic) * weight)
+    f1 = 2 * hit / np.maximum(hit + wrong + all_toxic, 1e-9)
     good = logits[:-1][f1[:-1] >= f1[:-1].max() - 0.003]
     cut = (good[0] + good[-1]) / 2
     return Model(model.weight, model.bias + float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
 
 
-def _fit(windows: list[list[str]], labels: list[int]) -> Model:
+def train(windows: list[list[str]], labels: list[int]) -> Model:
     """Full-batch Adam on bucket vectors and softmax together."""
     windows = [list(dict.fromkeys(x)) for x in windows]
     count = np.array([len(x) for x in windows])  # distinct words
@@ -120,7 +119,7 @@ def _fit(windows: list[list[str]], labels: list[int]) -> Model:
     held = np.array([len(x) for x in windows])
     of_word = np.repeat(np.arange(len(size)), size)
     # buckets of too few windows get no vector, and words without any stand for nothing
-    seen = np.bincount(flat, weights=np.bincount(token, minlength=len(size))[of_word], minlength=BUCKETS) >= LEAST
+    seen = np.bincount(flat, weights=np.bincount(token, minlength=len(size))[of_word], minlength=BUCKETS) >= max(2, len(windows) // RARE)
     kept = seen[flat]
     kept[np.cumsum(size) - size] |= ~np.logical_or.reduceat(kept, np.cumsum(size) - size)
     flat, of_word = flat[kept], of_word[kept]
@@ -167,9 +166,12 @@ def _fit(windows: list[list[str]], labels: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", docs_per_label: int = DOCS) -> Model:
     """The model of the labelled rows among ``docs`` (doc_id, text)."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y"))
-    marks = marks.withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
-    ids = [(r[0], int(r[1] > 0)) for y in (0, 1) for r in marks.where((F.col("y") > 0) == F.lit(bool(y))).orderBy("h").limit(docs_per_label).select("doc_id", "y").collect()]
+    marks = marks.select("doc_id", (F.col("y") > 0).cast("int").alias("y"), F.xxhash64("doc_id", F.lit("sample")).alias("h"))
+    ids = [(r[0], y) for y in (0, 1) for r in marks.where(F.col("y") == y).orderBy("h", "doc_id").limit(docs_per_label).select("doc_id").collect()]
+    all_of = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = {y: n / min(n, docs_per_label) for y, n in all_of.items()}
     spark = docs.sparkSession
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("left out")), F.lit(5)) == 0
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))  # at most 2 * docs_per_label rows
     rows = docs.select("doc_id", "text").join(chosen, "doc_id")
 
@@ -179,20 +181,28 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", docs_per
             for doc_id, text, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = words_of(text)
                 for at in range(0, len(found), WINDOW):
-                    part = " ".join(w[:WORD] for w in found[at : at + WINDOW])
-                    out.append((y, zlib.crc32(f"{doc_id}:{at}".encode()), part))
+                    out.append((y, zlib.crc32(f"{doc_id}:{at}".encode()), " ".join(found[at : at + WINDOW])))
             y, h, part = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(h, pa.int64()), pa.array(part, pa.string())], ["y", "h", "part"])
 
-    windows = rows.select("doc_id", "text", "y").mapInArrow(cut, "y int, h long, part string")
-    windows = windows.persist()
+    windows = rows.where(~fold).select("doc_id", "text", "y").mapInArrow(cut, "y int, h long, part string").distinct()
+    windows = staged(windows, "toxicity-windows")
     found, marks_of = [], []
     for y, most in ((0, CLEAN_WINDOWS), (1, TOXIC_WINDOWS)):
         for r in windows.where(F.col("y") == y).orderBy("h", "part").limit(most).select("part").collect():
             found.append(r[0].split(" "))
             marks_of.append(y)
-    windows.unpersist()
-    return train(found, marks_of)
+    model = train(found, marks_of)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(model)
+        for batch in batches:
+            found = pa.array([score.logit(t.as_py()) for t in batch.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2)], ["doc_id", "logit", "y"])
+
+    scored = rows.where(fold).select("doc_id", "text", "y").mapInArrow(logits, "doc_id long, logit double, y int")
+    scored = scored.groupBy("doc_id", "y").agg(F.max("logit").alias("logit")).collect()  # a row for each id of the sample at most
+    return centred(model, [(r["logit"], r["y"], weight[r["y"]]) for r in scored])
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
