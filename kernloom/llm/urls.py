@@ -7,10 +7,11 @@ sites link to), and from blocked seeds against them (a site that links to blocke
 host's seed value is the share of its pages that rules allow or block; a host is blocked if
 its distrust less its trust, in units of a seed's own value, is ``LIMIT`` or more.
 
-Links are the absolute hrefs of the page. They are summed to weighted host edges before
+Links are the page's hrefs with a host (a scheme may lack). They are summed to weighted host edges before
 anything else moves, so a host with a third of all pages is one row; both walks are one table
 of edges with a direction, and each round is one join and one sum, written to the shared
-folder every few rounds.
+folder every few rounds. Rounds go on until what is still to come can change no value by
+``TOLERANCE``, ``ROUNDS`` at most (at that number a walk has 1e-7 of its weight left).
 
 Null urls and urls without ``://`` have empty host and path, no rule fits them, and they are
 allowed. Null pages have no links. Repeated rows get repeated results; an empty table gives
@@ -34,8 +35,9 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-ROUNDS, DAMPING, LIMIT, STAGE_EVERY = 9, 0.85, 0.5, 3
-LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+ROUNDS, DAMPING, LIMIT, STAGE_EVERY = 100, 0.85, 0.5, 4
+TOLERANCE = 1e-4
+LINK = r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -62,11 +64,12 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> t
 def host_edges(pages: DataFrame, host: Column, html_col: str = "html") -> DataFrame:
     """(src, dst, n): links between different hosts, summed."""
     found = F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1))
-    links = pages.select(host.alias("src"), F.explode(found).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
+    links = pages.select(host.alias("src"), F.explode(found).alias("to"))
+    links = links.select("src", host_of(F.regexp_replace("to", "^//", "any://")).alias("dst"))
     return links.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) in units of a seed's own value. ``seeds``: host, allowed, blocked."""
     edges = staged(edges, "host-edges")
     both = edges.select(F.lit(0).alias("way"), "src", "dst", "n").unionByName(
@@ -77,12 +80,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     start = seeds.select("host", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("allowed").alias("v")), F.struct(F.lit(1).alias("way"), F.col("blocked").alias("v")))).alias("s"))
     start = staged(start.select("host", "s.way", "s.v").where("v > 0"), "host-seeds")
     now = start
-    if not edges.isEmpty():
-        for i in range(rounds):
-            moved = now.select("way", F.col("host").alias("src"), "v").join(both, ["way", "src"]).select(F.col("dst").alias("host"), "way", (F.col("v") * F.col("w") * damping).alias("v"))
-            now = start.unionByName(moved).groupBy("host", "way").agg(F.sum("v").alias("v"))
-            if i % STAGE_EVERY == STAGE_EVERY - 1:
-                now = staged(now, "host-values")
+    for i in range(0 if edges.isEmpty() else rounds):
+        moved = now.select("way", F.col("host").alias("src"), "v").join(both, ["way", "src"]).select(F.col("dst").alias("host"), "way", (F.col("v") * F.col("w") * damping).alias("v"))
+        before, now = now, start.unionByName(moved).groupBy("host", "way").agg(F.sum("v").alias("v"))
+        if i % STAGE_EVERY == STAGE_EVERY - 1:
+            now = staged(now, "host-values")
+            # values only grow; the rounds to come add at most damping / (1 - damping) of the last change
+            old = before.select("host", "way", F.col("v").alias("o"))
+            change = now.join(old, ["host", "way"], "left").agg(F.sum(F.col("v") - F.coalesce("o", F.lit(0.0)))).first()[0]
+            if (change or 0.0) * damping / (1 - damping) < tolerance:
+                break
     value = lambda way: F.coalesce(F.sum(F.when(F.col("way") == way, F.col("v"))), F.lit(0.0))
     return now.groupBy("host").agg(value(0).alias("trust"), value(1).alias("distrust"))
 
