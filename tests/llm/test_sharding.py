@@ -46,3 +46,22 @@ def test_small_and_null(spark, rows):
     out = op2_sharding(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(out) == len(rows)
     assert sorted(r.size for r in out) == sorted(len((t or "").encode()) + 16 for _, t in rows)
+
+
+def test_one_row_repeated_and_null_ids_are_parted(spark):
+    rows = [(7, "same " * 9)] * 6000 + [(None, "none " * 9)] * 6000 + [(i, f"other {i} " * 5) for i in range(100, 4100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    out = op2_sharding(df).collect()
+    holds(out, rows, 40, 0.08)
+    assert len({r.shard for r in out if r.doc_id == 7}) > 8
+
+
+def test_groups_that_fit_stay_whole(spark):
+    # groups of a thirtieth of a shard have several samples each, and stay together
+    rows = [(i, f"group {i // 10} " * 5) for i in range(12000)]
+    out = op2_sharding(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    where = defaultdict(set)
+    for r in out:
+        where[r.doc_id // 10].add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+    holds(out, rows, 40, 0.08)
