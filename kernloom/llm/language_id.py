@@ -8,8 +8,8 @@ least distance wins, ties by the language's name. The score is 1 minus the dista
 greatest possible one.
 
 Language profiles are counted on a bounded sample of labelled training documents:
-``per_language`` whole documents for each language, those with the least hash of their id.
-Counting at the executors, one row of counts per task and language n-gram; the driver gets
+about ``per_language`` whole documents for each language, those whose id's hash is in the
+language's share (all, where it has fewer). Rows of one id are drawn together. Counting at the executors, one row of counts per task and language n-gram; the driver gets
 profiles of ``depth`` entries per language.
 
 Null texts and texts without a letter are ``und``, score 0. Rows with a null language or a
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kernloom.llm.common import crc_mod
+from kernloom.llm.common import broadcast_if_few, crc_mod, staged
 
 DEPTH = 300
 PER_LANGUAGE = 2000
@@ -92,14 +92,11 @@ def learn_profiles(
 ) -> dict[str, np.ndarray]:
     """Profiles of the languages in ``docs``."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    # ids first: the sample is chosen on narrow rows, so that no long text is sorted
-    order = Window.partitionBy("l").orderBy("h", "i")
-    ids = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    chosen = ids.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language)
-    # per_language rows for each language at most
-    sample = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).join(
-        F.broadcast(chosen.select("i", "l").distinct()), ["i", "l"], "left_semi"
-    )
+    named = rows.select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    # one row a language; no group of ids is ranked in one place
+    sizes = broadcast_if_few(staged(named.groupBy("l").agg(F.count(F.lit(1)).alias("n")), "language-sizes"))
+    drawn = F.pmod(F.xxhash64("i", F.lit("sample")), F.lit(1 << 40)) < F.lit(float(per_language << 40)) / F.col("n")
+    sample = named.join(sizes, "l").where(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _Letters()
