@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kernloom/{spark.sparkContext.applicationId}"
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Remove the tables that this application has staged. Results are read lazily from them: call
+    it when they have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -28,7 +39,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The schema is given on reading, so that empty tables keep it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kernloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

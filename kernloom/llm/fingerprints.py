@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kernloom.llm.common import count_not_after, long_array, staged
+from kernloom.llm.common import broadcast_if_few, count_not_after, long_array, staged
 
 _FIRST = -(1 << 63)
 #: Rows of one bucket of neighbours; there are at most MOST_BUCKETS of them.
 BUCKET_ROWS, MOST_BUCKETS = 500, 20_000
-#: Fingerprints (8 bytes each) that may be broadcast; beyond it the join shuffles.
+#: Ids (8 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -49,17 +49,17 @@ def digest(canon: Column) -> Column:
 
 def exact_groups(docs: DataFrame, prints: DataFrame, text_col: str = "text") -> DataFrame:
     """``prints`` (doc_id, fingerprint, ...) with class_id (least doc_id of equal canonical
-    forms) and copies. ``docs`` is read once more, for documents in shared buckets only."""
+    forms) and copies. ``docs`` is read once more; only documents whose id is in a shared bucket
+    are brought to their canonical form again."""
     shared = (
         prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("class_id")).where("copies > 1")
     )
     shared = staged(shared, "fingerprint-buckets")
-    lane = F.substring("fingerprint", 1, 16)
-    keys = shared.select(lane.alias("lane"))
-    if shared.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = docs.select("doc_id", canonical(F.col(text_col)).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    texts = texts.withColumn("lane", lane).join(keys, "lane", "left_semi")
+    ids = prints.join(shared.select("fingerprint"), "fingerprint", "left_semi").select("doc_id").distinct()
+    ids = staged(ids.withColumnRenamed("doc_id", "_shared"), "fingerprint-ids")
+    ids = broadcast_if_few(ids, BROADCAST_KEYS)
+    texts = docs.select("doc_id", text_col).join(ids, F.col("doc_id").eqNullSafe(F.col("_shared")), "left_semi")
+    texts = texts.select("doc_id", canonical(F.col(text_col)).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     compared = texts.groupBy("fingerprint").agg(
         (F.min(F.col("canon").cast("binary")) == F.max(F.col("canon").cast("binary"))).alias("same")
     )
