@@ -53,7 +53,19 @@ def broadcast_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows in an Arrow batch: texts of documents are long, and each task holds several copies of a batch.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session sends ``BATCH_ROWS`` rows at a time to Python, if it sent more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

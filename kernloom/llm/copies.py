@@ -14,8 +14,10 @@ compared, and linked from a similarity of 4/5.
 
 No group is expanded into its pairs. The first round verifies at most ``WAYS`` candidates a
 node, the nearest ones. The second round concerns nodes that have more candidates than that,
-and verifies all of those that the first round has not put into one component. Groups under a
-mask that hold more than ``SPLIT`` nodes are dealt into cells of two parts each.
+and verifies all of those that the first round has not put into one component. A sketch goes
+first: the parities of a set's shingles in ``BUCKETS`` buckets differ in no more places than
+the sets do, so a pair that differs in too many can't be similar. Groups under a mask that
+hold more than ``SPLIT`` nodes are dealt into cells of two parts each.
 
 What the masks miss is missed: at a similarity of exactly 4/5 a pair is found with a chance of
 about 0.9, at 0.85 of 0.98, at 0.9 and more of 0.999 (README has measured figures).
@@ -45,7 +47,8 @@ PRINT, NEAR = 256, 52
 MASKS, MASK_BITS = 40, 16
 WAYS = 4
 SPLIT, SMALL = 20_000, 128
-SET_BYTES = 24_000_000  # sets up to this size are broadcast to the pairs; beyond, they are shuffled
+MEET = 50_000  # rows that a task holds at once, or those of one key
+BUCKETS = 1024
 _WORDS = PRINT // 64
 _U = np.uint64
 _GOLDEN, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -83,6 +86,11 @@ def wide_print(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found), bitorder="little")
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    odd = np.bincount((found % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
 def with_prints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with __node (hash of the set), __n (its size) and __print."""
     at = docs.columns.index(text_col)
@@ -102,8 +110,10 @@ def with_prints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _prints(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(-1, _WORDS)
+def _prints(column: pa.BinaryArray) -> np.ndarray:
+    """Words of equally long values: the fingerprint's, then those of a sketch, if there is one."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(_U).reshape(len(column), -1)
 
 
 def hung(nodes: DataFrame) -> DataFrame:
@@ -114,7 +124,7 @@ def hung(nodes: DataFrame) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 batch = big.slice(at, 2000)
-                bits = np.unpackbits(_prints(batch.column(2)).view(np.uint8), axis=1, bitorder="little")
+                bits = np.unpackbits(np.ascontiguousarray(_prints(batch.column(2))[:, :_WORDS]).view(np.uint8), axis=1, bitorder="little")
                 key = (bits[:, _CHOSEN].astype(np.int64) @ weights) + (np.arange(MASKS) << MASK_BITS)
                 each = pa.array(np.repeat(np.arange(len(key)), MASKS))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[c.take(each) for c in batch.columns]], ["key", "node", "n", "print", "root"])
@@ -186,6 +196,7 @@ def _masked_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, part: np.n
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     mask = _mask(key)
+    prints, odd = np.ascontiguousarray(prints[:, :_WORDS]), prints[:, _WORDS:]
     parted = np.repeat(np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts), sizes)
 
     def kept(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,6 +204,9 @@ def _masked_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, part: np.n
         if root is not None:
             good &= root[i] != root[j]
         i, j, d = i[good], j[good], d[good]
+        if odd.shape[1]:  # sets of similarity 4/5 differ in a ninth of their common size at most
+            good = 9 * _distance(odd[i], odd[j]) <= n[i] + n[j]
+            i, j, d = i[good], j[good], d[good]
         apart, first = prints[i] ^ prints[j], np.ones(len(i), bool)
         for t in range(int(mask[i].max(initial=0))):
             first &= (mask[i] <= t) | ((apart & _MARKS[t]) != 0).any(1)
@@ -218,7 +232,7 @@ def _over_groups(rows: DataFrame, found: Callable, schema: str) -> DataFrame:
     rows = cells(rows, "node", SPLIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, n, prints, root, part in whole_groups(batches):
+        for key, node, n, prints, root, part in whole_groups(batches, MEET):
             key, node, n, root, part = (x.to_numpy() for x in (key, node, n, root, part))
             yield from found(key, node, n.astype(np.int64), _prints(prints), part, root)
 
@@ -251,7 +265,7 @@ def nearest_candidates(nodes: DataFrame) -> DataFrame:
 
 
 def other_candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): all candidates among ``nodes`` whose roots differ."""
+    """(a, b, x, y): all candidates among ``nodes`` whose roots differ, and these."""
 
     def found(key, node, n, prints, part, root) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -261,34 +275,58 @@ def other_candidates(nodes: DataFrame) -> DataFrame:
             key, node, n, prints, part, root = (x[keep] for x in (key, node, n, prints, part, root))
             for i, j, _ in _masked_pairs(key, n, prints, part, root):
                 if len(i):
-                    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], root[i], root[j])], ["a", "b", "x", "y"])
 
-    return _over_groups(hung(nodes), found, "a long, b long")
+    return _over_groups(hung(nodes), found, "a long, b long, x long, y long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+def of_texts(ends: DataFrame, rows: DataFrame, text_col: str, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(node, found): ``made`` of the sets of the nodes in ``ends`` (node, __row)."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            found = [made(shingles(t.as_py())).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "found"])
 
+    ends = broadcast_if_few(staged(ends, "copies-ends"))
+    texts = rows.select("__row", F.col(text_col).alias("text")).join(ends, "__row").select("node", "text")
+    return staged(texts.mapInArrow(run, "node long, found binary"), "copies-sets")
+
+
+def _met(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, made: Callable[[np.ndarray], np.ndarray], good: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """The ``pairs`` (a, b, x, y) for which ``good`` holds of what is ``made`` of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column(2), batch.column(3))
-            keep = [similar(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)) for x, y in both]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            both = zip(batch.column(4), batch.column(5))
+            keep = [bool(good(np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U))) for a, b in both]
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = ends.join(nodes.select("node", F.col("first.row").alias("__row")), "node")
+    found = of_texts(ends, rows, text_col, made)
+    # both sides are shuffled at any size, so that small inputs have the plan of large ones
+    both = pairs.repartition("a").join(found.toDF("a", "found_a").repartition("a").hint("merge"), "a")
+    both = both.repartition("b").join(found.toDF("b", "found_b").repartition("b").hint("merge"), "b")
+    return both.select("a", "b", "x", "y", "found_a", "found_b").mapInArrow(run, "a long, b long, x long, y long")
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A set's parities and its size."""
+    return np.append(parities(found).view(_U), _U(len(found)))
+
+
+def can_be_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sketches allow a similarity of 4/5: the sets differ in a ninth of their common size at most."""
+    return 9 * int(_distance(a[:-1], b[:-1])) <= int(a[-1]) + int(b[-1])
+
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "n", F.col("first.row").alias("__row")), "node")
-    ends = staged(ends, "copies-ends")
-    size = ends.agg(F.coalesce(F.sum("n"), F.lit(0)) * 8).first()[0]
-    ends = broadcast_if_few(ends.select("node", "__row"))
-    found = staged(rows.select("__row", F.col(text_col).alias("text")).join(ends, "__row").select("node", "text").mapInArrow(sets, "node long, found binary"), "copies-sets")
-    side = (lambda df: F.broadcast(df)) if size <= SET_BYTES else (lambda df: df)
-    both = pairs.join(side(found.toDF("a", "found_a")), "a").join(side(found.toDF("b", "found_b")), "b")
-    return both.select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, sketched: bool = False) -> DataFrame:
+    """(x, y) of the ``pairs`` (a, b, x, y) whose whole sets are similar. Sketches of sets meet first
+    (unless the pairs come ``sketched``), whole sets only where these allow it."""
+    if not sketched:
+        pairs = staged(_met(pairs, nodes, rows, text_col, sketch, can_be_similar), "copies-pairs")
+    return _met(pairs, nodes, rows, text_col, lambda found: found, similar).select("x", "y")
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -302,15 +340,22 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     nodes = staged(nodes.withColumn("root", F.col("node")), "copies-nodes")
     near = staged(nearest_candidates(nodes.where("n > 0")), "copies-nearest")
     pairs = near.select("node", F.explode("nearest").alias("other"))
-    pairs = staged(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "copies-pairs")
-    links = staged(verified(pairs, nodes, rows, text_col), "copies-links")
-    roots = staged(components(links), "copies-components")
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = staged(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), "copies-pairs")
+    roots = staged(components(verified(pairs, nodes, rows, text_col).toDF("a", "b")), "copies-components")
     more = near.where(F.col("all") > F.size("nearest")).select("node")
     more = nodes.drop("root").join(more, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = staged(other_candidates(staged(more, "copies-more")), "copies-others")
-    if not others.isEmpty():
-        links = links.unionByName(staged(verified(others, nodes, rows, text_col), "copies-links"))
-        roots = staged(components(links), "copies-components")
+    more = staged(more.withColumn("__row", F.col("first.row")), "copies-more")
+    if not more.isEmpty():
+        odd = of_texts(more.select("node", "__row"), rows, text_col, parities)
+        more = more.join(odd, "node").withColumn("print", F.concat("print", "found"))
+        others = staged(other_candidates(more), "copies-others")
+        if not others.isEmpty():
+            # links between components of the first round: a graph of its own, of their roots
+            upper = staged(components(verified(others, nodes, rows, text_col, sketched=True).toDF("a", "b")), "copies-components")
+            above = upper.select(F.col("node").alias("root"), F.col("root").alias("__above"))
+            roots = roots.join(above, "root", "left").select("node", F.coalesce("__above", "root").alias("root"))
+            roots = staged(roots.unionByName(upper), "copies-components")
     # roots belong to their own components
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = member.join(nodes.select("node", "first"), "node")

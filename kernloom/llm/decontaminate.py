@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 Q, SHARE, WHOLE, WINDOW = 8, 0.1, 200, 160
 BLOCK = 4_000_000
-SLICE, OVERLAP = 1_500_000, 2048
+SLICE, OVERLAP = 300_000, 2048
 HITS = 1_000_000  # places times windows that are expanded at once
 _BITS = 20
 _U = np.uint64

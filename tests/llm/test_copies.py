@@ -102,6 +102,17 @@ def test_tree_and_masks_are_brute_force():
     assert len(found) == len(set(found)) and set(found) == set(share) and len(share) > 1000
 
 
+def test_parities_never_drop_a_similar_pair():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 9, 50, 400, 5000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 60, n // 12).astype(np.uint64)]))
+            if N.similar(a, b):
+                apart = np.bitwise_count(N.parities(a) ^ N.parities(b)).sum(dtype=int)
+                assert apart <= len(np.setxor1d(a, b)) and N.can_be_similar(N.sketch(a), N.sketch(b))
+
+
 def test_wide_print_brute():
     rng = np.random.default_rng(3)
     for size in (0, 1, 2, 300, 1000):
