@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernloom.llm import copies, decontaminate, language_id, packing, secrets
-from kernloom.llm.common import documents, staged
+from kernloom.llm.common import bounded_batches, documents, staged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
+    bounded_batches(spark)
     named = language_id.identify(docs, language_id.learn_profiles(docs), lang_out="_language", score_out="_likeness")
     return named.where(F.col("_language") != language_id.UNKNOWN).select(*docs.columns)
 
@@ -23,22 +24,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least id. Groups are linked by SimHash and
     a Jaccard similarity of five-word shingles of 0.8 at least."""
+    bounded_batches(spark)
     return copies.near_copies(docs).where("stays").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced."""
+    bounded_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.op8_packing(docs)
 
 
