@@ -59,7 +59,7 @@ def gather_sums(z: DataFrame, targets: DataFrame) -> Sums:
                 full = np.hstack([np.ones((len(a), 1)), a, y])
                 total = (0 if total is None else total) + full.T @ full
         if total is not None:
-            step = max(1, 1 << 17 // max(1, len(total)))
+            step = max(1, (1 << 17) // max(1, len(total)))
             for at in range(0, len(total), step):
                 yield pd.DataFrame({"at": [at], "x": [total[at : at + step].tobytes()]})
 

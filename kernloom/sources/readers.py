@@ -10,21 +10,21 @@ GTF_SCHEMA = "chr string, source string, feature string, start bigint, end bigin
 
 def read_gtf(spark: SparkSession, path: str, filter_to_coding: bool = False) -> DataFrame:
     """Nine tab-separated columns (gz by suffix), comment lines skipped, plus ``gene_name``: the
-    attribute's gene_name, else its gene_id up to the first dot. ``filter_to_coding`` keeps
+    attribute's gene_name, else its gene_id up to the first dot, else "NA". ``filter_to_coding`` keeps
     genes whose attributes say protein_coding."""
     rows = spark.read.csv(path, sep="\t", comment="#", schema=GTF_SCHEMA, quote="", ignoreLeadingWhiteSpace=False)
     name = F.nullif(F.regexp_extract("attribute", 'gene_name "([A-Za-z0-9_\\-\\[\\]^`\\\\]+)', 1), F.lit(""))
     gene = F.nullif(F.regexp_extract("attribute", 'gene_id "([A-Za-z0-9_\\-\\[\\]^`\\\\]+)', 1), F.lit(""))
     if filter_to_coding:
         rows = rows.where(F.col("attribute").contains("protein_coding") & (F.col("feature") == "gene"))
-    return rows.withColumn("gene_name", F.coalesce(name, gene))
+    return rows.withColumn("gene_name", F.coalesce(name, gene, F.lit("NA")))
 
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """(group, gene): one row per member; the second column of the file is skipped."""
     parts = F.split("value", "\t")
     rows = spark.read.text(path).where(F.trim("value") != "")
-    return rows.select(parts[0].alias("group"), F.explode(F.slice(parts, 3, 1_000_000)).alias("gene")).where("gene <> ''")
+    return rows.select(parts[0].alias("group"), F.explode(F.slice(parts, F.lit(3), F.greatest(F.size(parts), F.lit(1)))).alias("gene")).where("gene <> ''")
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
