@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,17 +16,26 @@ METRICS = ("AUROC", "Accuracy", "F1-Score", "Precision", "Recall")
 DEFAULT_ALPHAS = [round(a, 2) for a in np.linspace(1.9, 0.05, 10)]
 
 
-def linear_scores(z: DataFrame, w: np.ndarray, b: float, groups: list[str], width: int) -> DataFrame:
-    """(cell_id, p): sigmoid of the intercept plus the blocks' products. Groups without weight
-    are dropped before anything is read of them."""
-    spark = z.sparkSession
-    rows = [(g, [float(v) for v in w[i * width : (i + 1) * width]]) for i, g in enumerate(groups) if w[i * width : (i + 1) * width].any()]
-    coef = spark.createDataFrame(rows, "group string, coef array<double>")
-    dot = F.aggregate(F.zip_with("z", "coef", lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v)
-    parts = z.join(F.broadcast(coef), "group").groupBy("cell_id").agg(F.sum(dot).alias("s"))
-    cells = z.where(F.col("group") == groups[0]).select("cell_id")
-    score = F.coalesce("s", F.lit(0.0)) + F.lit(float(b))
-    return cells.join(parts, "cell_id", "left").select("cell_id", (1 / (1 + F.exp(-score))).alias("p"))
+def linear_scores(z: DataFrame, models: list[tuple[np.ndarray, float]], groups: list[str], width: int) -> DataFrame:
+    """(cell_id, model, p): sigmoid of the intercept plus the blocks' products, for every model in
+    one pass over Z: a matrix product per batch and group, then one sum by cell. Groups without
+    weight in all models are not read, but the first, which every cell has."""
+    heavy = [i for i in range(len(groups)) if i == 0 or any(w[i * width : (i + 1) * width].any() for w, _ in models)]
+    coef = {groups[i]: np.stack([w[i * width : (i + 1) * width] for w, _ in models], axis=1) for i in heavy}
+    sent = z.sparkSession.sparkContext.broadcast(coef)  # the size of the models
+    names = [f"s{k}" for k in range(len(models))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for g, rows in pdf.groupby("group", sort=False):
+                s = np.stack(rows["z"].to_numpy()) @ sent.value[g]
+                yield pd.concat([rows[["cell_id"]].reset_index(drop=True), pd.DataFrame(s, columns=names)], axis=1)
+
+    schema = f"cell_id {z.schema['cell_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    parts = z.where(F.col("group").isin(list(coef))).select("cell_id", "group", "z").mapInPandas(run, schema)
+    sums = parts.groupBy("cell_id").agg(*[F.sum(n).alias(n) for n in names])
+    each = F.array(*[F.struct(F.lit(k).alias("model"), (1 / (1 + F.exp(-(F.col(n) + F.lit(float(models[k][1])))))).alias("p")) for k, n in enumerate(names)])
+    return sums.select("cell_id", F.explode(each).alias("m")).select("cell_id", "m.model", "m.p")
 
 
 def predict(scores: DataFrame, cells: DataFrame, classes: tuple[str, str], by: list[str] = ()) -> DataFrame:
@@ -93,23 +103,25 @@ def classes_of(cells: DataFrame) -> tuple[str, str]:
 
 
 def run(z: DataFrame, cells: DataFrame, alphas: list[float], metrics: tuple[str, ...] = METRICS, norm_mode: str = "reference", sums: lasso.Sums | None = None, cls: str | None = None) -> dict[str, DataFrame]:
-    """Metrics, weights, predictions and timing for each alpha, from one pass of sums; the alphas
-    are solved from the largest down, each from the one before."""
+    """Metrics, weights, predictions and seconds of the solve for each alpha, from one pass of sums
+    and one pass of scores; the alphas are solved from the largest down, each from the one before."""
     spark = z.sparkSession
     classes = classes_of(cells)
     if sums is None:
         y = F.array(F.when(F.col("label") == classes[0], 1.0).otherwise(-1.0))
         sums = lasso.gather_sums(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
-    test_z, test = z.where("split = 'test'"), cells.where("split = 'test'")
-    predictions, weights, timing, w = None, [], [], None
-    for alpha in sorted(alphas, reverse=True):
+    alphas = sorted(alphas, reverse=True)
+    models, weights, timing, w = [], [], [], None
+    for alpha in alphas:
         began = time.time()
         w, b = lasso.solve(sums, alpha, start=w)
-        part = predict(linear_scores(test_z, w, b, sums.groups, sums.width), test, classes).withColumn("alpha", F.lit(float(alpha)))
-        predictions = part if predictions is None else predictions.unionByName(part)
+        models.append((w, b))
         norms = lasso.group_norms(w, sums.width, norm_mode)
         weights += [(float(alpha), g, i, float(x)) for i, (g, x) in enumerate(zip(sums.groups, norms))]
         timing.append((float(alpha), time.time() - began))
+    scores = linear_scores(z.where("split = 'test'"), models, sums.groups, sums.width)
+    alpha_of = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("model") + 1)
+    predictions = predict(scores.withColumn("alpha", alpha_of), cells.where("split = 'test'"), classes, ["alpha"])
     values = binary_metrics(predictions, classes[0], ["alpha"]).where(F.col("metric").isin(*metrics))
     out = {
         "metrics": values,
@@ -200,7 +212,8 @@ def best_alpha(table: DataFrame) -> DataFrame:
 def optimize_alpha(make_z: Callable[[DataFrame], DataFrame], cells: DataFrame, alphas: list[float] | None = None, k: int = 4, metric: str = "AUROC", early_stopping: bool = False, seed: str = "1", force_balance: bool = True) -> float | dict[str, float]:
     """The best alpha by k-fold cross-validation over training cells, or one per class where
     there are more than two. ``make_z`` makes Z of a fold's cells, so widths and scaling are
-    refit in each fold. Values not reached after an early stop are left out of the means."""
+    refit in each fold. One pass scores all alphas of a fold; values that come after an early stop
+    are left out of the means."""
     alphas = sorted(alphas or DEFAULT_ALPHAS)
     labels = [r[0] for r in cells.where("split = 'train'").select("label").distinct().orderBy("label").collect()]
     folded = splitting.folds(cells, k, seed).persist()

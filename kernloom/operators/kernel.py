@@ -137,8 +137,10 @@ def project(vectors: DataFrame, weights: DataFrame, d: int, most_mb: int = 256)
     schema = "cell_id long, split string, group string, group_ord int, z array<double>"
     for names in shares:
         w = {g: np.zeros((sizes[g], d)) for g in names}
-        for r in weights.where(F.col("group").isin(names)).toLocalIterator():
-            w[r["group"]][r["i"], r["j"]] = r["w"]
+        packed = weights.where(F.col("group").isin(names)).groupBy("group", "i").agg(F.array_sort(F.collect_list(F.struct("j", "w")))["w"].alias("w"))
+        for batch in packed.toArrow().to_batches():  # at most ``most_mb``, which is then sent to all
+            for g, i, row in zip(batch["group"].to_pylist(), batch["i"].to_pylist(), batch["w"]):
+                w[g][i] = row.values.to_numpy()
         sent = vectors.sparkSession.sparkContext.broadcast(w)
 
         def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -164,11 +166,12 @@ def check_finite(z: DataFrame) -> None:
         raise ValueError("Z holds NaN or infinite values")
 
 
-def calculate_z(vectors: DataFrame, d: int, kernel: str = "gaussian", metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", sigma: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(z, sigma) of all groups; sigma is reused if given."""
+def calculate_z(vectors: DataFrame, d: int, kernel: str = "gaussian", metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", sigma: DataFrame | None = None, n_features: int = 5000, group_sizes: DataFrame | None = None, widths_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(z, sigma) of all groups; sigma is reused if given. ``group_sizes`` (group, group_ord, n) holds
+    sizes before any sampling of features; widths come from ``widths_of`` if given."""
     sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).cast("bigint").alias("n"))
     if sigma is None:
-        sigma = estimate_sigma(vectors, metric, n_batches, batch_size, seed, group_sizes=sizes)
+        sigma = estimate_sigma(vectors if widths_of is None else widths_of, metric, n_batches, batch_size, seed, n_features, sizes if group_sizes is None else group_sizes)
     if not sigma.where("sigma <= 0").isEmpty():
         raise ValueError("sigma must be positive")
     return project(vectors, directions(sigma, sizes, d, kernel, seed), d), sigma

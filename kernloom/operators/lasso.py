@@ -8,7 +8,6 @@ runs accelerated proximal gradient with one distributed pass per iteration.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernloom.functions.sums import summed
+
 MOST_COLUMNS = 4096
 
 
@@ -43,39 +44,26 @@ def wide_rows(z: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def gather_sums(z: DataFrame, targets: DataFrame) -> Sums:
-    """``targets``: cell_id, y array<double> (one entry per target)."""
+    """``targets``: cell_id, y array<double> (one entry per target). ValueError without any
+    training row."""
     groups = [r["group"] for r in z.select("group", "group_ord").distinct().orderBy("group_ord").collect()]
-    width = z.select(F.size("z").alias("n")).first()["n"]
+    first = z.select(F.size("z").alias("n")).first()
+    if first is None:
+        raise ValueError("Z is empty")
+    width = first["n"]
     p = len(groups) * width
     if p > MOST_COLUMNS:
         raise ValueError(f"{p} columns: use fit_gradient")
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in parts:
-            if len(pdf):
-                a = np.stack(pdf["v"].to_numpy())
-                y = np.stack(pdf["y"].to_numpy())
-                full = np.hstack([np.ones((len(a), 1)), a, y])
-                total = (0 if total is None else total) + full.T @ full
-        if total is not None:
-            step = max(1, (1 << 17) // max(1, len(total)))
-            for at in range(0, len(total), step):
-                yield pd.DataFrame({"at": [at], "x": [total[at : at + step].tobytes()]})
-
-    def combine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for pdf in parts:
-            for at, x in zip(pdf["at"], pdf["x"]):
-                sums[at] = sums.get(at, 0) + np.frombuffer(x)
-        if sums:
-            yield pd.DataFrame({"at": list(sums), "x": [v.tobytes() for v in sums.values()]})
-
-    rows = wide_rows(z, targets).select("v", "y")
-    found = rows.mapInPandas(partial, "at long, x binary").repartition("at").mapInPandas(combine, "at long, x binary").collect()
-    flat = np.concatenate([np.frombuffer(r["x"]) for r in sorted(found, key=lambda r: r["at"])])
-    size = int(round(len(flat) ** 0.5))
-    m = flat.reshape(size, size)
+    def products(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        full = np.hstack([np.ones((len(pdf), 1)), np.stack(pdf["v"].to_numpy()), np.stack(pdf["y"].to_numpy())])
+        return {"m": full.T @ full}
+
+    found = summed(wide_rows(z, targets).select("v", "y"), products)
+    if not found:
+        raise ValueError("no training rows")
+    size = int(round(len(found["m"]) ** 0.5))
+    m = found["m"].reshape(size, size)
     return Sums(int(m[0, 0]), m[0, 1 : p + 1], m[0, p + 1 :], m[1 : p + 1, 1 : p + 1], m[1 : p + 1, p + 1 :], groups, width)
 
 
@@ -133,21 +121,18 @@ def kkt_residual(s: Sums, w: np.ndarray, alpha: float, target: int = 0) -> float
 def fit_gradient(z: DataFrame, targets: DataFrame, alpha: float, rounds: int = 100, target: int = 0) -> tuple[np.ndarray, float]:
     """The same model by accelerated proximal gradient; only vectors of the model's size move."""
     rows = wide_rows(z, targets).select("v", "y").persist()
+    if rows.isEmpty():
+        raise ValueError("no training rows")
     width = z.select(F.size("z").alias("n")).first()["n"]
 
-    def sums(w: np.ndarray, b: float) -> tuple[int, np.ndarray, float, np.ndarray]:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, g, r0, zy = 0, 0.0, 0.0, 0.0
-            for pdf in parts:
-                if len(pdf):
-                    a, y = np.stack(pdf["v"].to_numpy()), np.stack(pdf["y"].to_numpy())[:, target]
-                    r = a @ w + b - y
-                    n, g, r0, zy = n + len(a), g + a.T @ r, r0 + r.sum(), zy + a.T @ y
-            if n:
-                yield pd.DataFrame({"n": [n], "r": [float(r0)], "g": [g.tobytes()], "y": [zy.tobytes()]})
-
-        found = rows.mapInPandas(run, "n long, r double, g binary, y binary").collect()
-        return sum(r["n"] for r in found), sum(np.frombuffer(r["g"]) for r in found), sum(r["r"] for r in found), sum(np.frombuffer(r["y"]) for r in found)
+    def sums(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float, np.ndarray]:
+        def of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+            a, y = np.stack(pdf["v"].to_numpy()), np.stack(pdf["y"].to_numpy())[:, target]
+            r = a @ w + b - y
+            return {"n": np.array([len(a), r.sum()]), "g": a.T @ r, "y": a.T @ y}
+
+        found = summed(rows, of)
+        return found["n"][0], found["g"], found["n"][1], found["y"]
 
     p = rows.select(F.size("v").alias("n")).first()["n"]
     w, b = np.zeros(p), 0.0

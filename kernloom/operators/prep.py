@@ -3,7 +3,7 @@ log and z-score scaling, dense vectors per group, reductions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernloom.functions.rand import hash_rank
+from kernloom.functions.sums import summed
 
 LEAST_VARIANCE = 1e-5
 ONE = "__one__"
@@ -103,61 +104,64 @@ def sample_features(groups: DataFrame, n_features: int = 5000, seed: str = "1")
 
 
 def group_vectors(matrix: DataFrame, cells: DataFrame, groups: DataFrame, scale_data: bool = True, transform_data: bool = False, ones: bool = False) -> DataFrame:
-    """(cell_id, split, group, group_ord, x): dense processed vectors, features by name.
+    """(cell_id, split, group, group_ord, x): dense processed vectors, features by name."""
 
-    A group's statistics are arrays of its features, one row per group; each cell's entries are
-    a map that those arrays look up.
-    """
-    stats = train_stats(matrix, cells, transform_data)
+    def value(v: Column, s: Column) -> Column:
+        v = F.log1p(v) if transform_data else v
+        return (v - s["mean"]) / s["sd"] if scale_data else v
+
+    return _dense(matrix, cells, groups, train_stats(matrix, cells, transform_data), value, ones)
+
+
+def _dense(matrix: DataFrame, cells: DataFrame, groups: DataFrame, stats: DataFrame, value: Callable[[Column, Column], Column], ones: bool = False) -> DataFrame:
+    """A group's statistics are arrays of its features, one row per group; each cell's entries are
+    a map that those arrays look up. The join deals by group where the arrays are too large to
+    send whole, as Spark sees their size at run time."""
     per = groups.select("group", "group_ord", "feature").join(stats, "feature")
     per = per.groupBy("group", "group_ord").agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "sd"))).alias("stats"))
+    names = groups.select("group").distinct().agg(F.collect_set("group").alias("all"))  # one row of names
     entries = matrix.join(groups.select("group", "feature").distinct(), "feature").groupBy("cell_id", "group").agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")
     )
-    grid = cells.select("cell_id", "split").join(F.broadcast(per))  # n x G rows: the result's own shape
-    rows = grid.join(entries, ["cell_id", "group"], "left")
-
-    def value(s: Column) -> Column:
-        v = F.coalesce(F.try_element_at("m", s["feature"]), F.lit(0.0))
-        v = F.log1p(v) if transform_data else v
-        return (v - s["mean"]) / s["sd"] if scale_data else v
-
-    x = F.transform("stats", value)
+    grid = cells.select("cell_id", "split").join(F.broadcast(names)).select("cell_id", "split", F.explode("all").alias("group"))  # the result's own shape
+    rows = grid.join(entries, ["cell_id", "group"], "left").join(per, "group")
+    x = F.transform("stats", lambda s: value(F.coalesce(F.try_element_at("m", s["feature"]), F.lit(0.0)), s))
     if ones:
         x = F.concat(x, F.array(F.lit(1.0)))
     return rows.select("cell_id", "split", "group", "group_ord", x.alias("x"))
 
 
-def _gram(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, sums, Gram matrix) of the vectors ``x``; one partial result per task."""
+#: Numbers in the Gram matrices that one pass over the vectors sums up.
+PASS = 1 << 25
+
+
+def _gram(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """By group: (n, sums, Gram matrix) of the vectors ``x``."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, g = 0, 0.0, 0.0
-        for pdf in parts:
-            if len(pdf):
-                a = np.stack(pdf["x"].to_numpy())
-                n, s, g = n + len(a), s + a.sum(0), g + a.T @ a
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "g": [g.tobytes()]})
+    def of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        out = {}
+        for g, own in pdf.groupby("group", sort=False):
+            full = np.hstack([np.ones((len(own), 1)), np.stack(own["x"].to_numpy())])
+            out[g] = full.T @ full
+        return out
 
-    found = rows.select("x").mapInPandas(run, "n long, s binary, g binary").collect()
-    n = sum(r["n"] for r in found)
-    s = sum(np.frombuffer(r["s"]) for r in found)
-    p = len(s)
-    return n, s, sum(np.frombuffer(r["g"]) for r in found).reshape(p, p)
+    found = {}
+    for g, flat in summed(rows.select("group", "x"), of).items():
+        size = int(round(len(flat) ** 0.5))
+        m = flat.reshape(size, size)
+        found[g] = int(m[0, 0]), m[0, 1:], m[1:, 1:]
+    return found
 
 
-def pca_axes(rows: DataFrame, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def pca_axes(n: int, s: np.ndarray, g: np.ndarray, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(mean, axes[p, min(k, p)]) of training vectors, largest variance first."""
-    n, s, g = _gram(rows)
     mean = s / n
-    values, axes = np.linalg.eigh(g - n * np.outer(mean, mean))
+    _, axes = np.linalg.eigh(g - n * np.outer(mean, mean))
     return mean, axes[:, ::-1][:, : min(k, len(s))]
 
 
-def svd_axes(rows: DataFrame, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def svd_axes(n: int, s: np.ndarray, g: np.ndarray, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """(zeros, axes) of the uncentred vectors, the first axis dropped."""
-    _, s, g = _gram(rows)
     _, axes = np.linalg.eigh(g)
     return np.zeros(len(s)), axes[:, ::-1][:, 1 : min(k, len(s))]
 
@@ -173,13 +177,49 @@ def get_reduction(name: str | None):
 
 
 def reduce_vectors(vectors: DataFrame, name: str | None, k: int = 50) -> DataFrame:
-    """``vectors`` (one group) on the axes fit on training rows; axes have at most k columns."""
+    """Each group's vectors on the axes fit on its training rows; axes have at most k columns.
+    Groups are taken in shares whose Gram matrices have ``PASS`` numbers together. Vectors of a
+    group without training rows give no rows; a single feature under ``svd`` gives empty ones."""
     fit = get_reduction(name)
     if fit is None:
         return vectors
-    mean, axes = fit(vectors.where("split = 'train'"), k)
-    columns = F.array(*[F.array(*[F.lit(float(v)) for v in axes[:, j]]) for j in range(axes.shape[1])])
-    centred = F.zip_with("x", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
-    return vectors.withColumn("_c", centred).withColumn(
-        "x", F.transform(columns, lambda w: F.aggregate(F.zip_with("_c", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    ).drop("_c")
+    sizes = {r["group"]: r["n"] for r in vectors.groupBy("group").agg(F.max(F.size("x")).alias("n")).collect()}
+    shares: list[list[str]] = [[]]
+    room = PASS
+    for g in sorted(sizes):
+        need = (sizes[g] + 1) ** 2
+        if shares[-1] and need > room:
+            shares.append([])
+            room = PASS
+        shares[-1].append(g)
+        room -= need
+    out = None
+    for names in shares:
+        own = vectors.where(F.col("group").isin(names))
+        axes = {g: fit(*sums, k) for g, sums in _gram(own.where("split = 'train'")).items()}
+        sent = vectors.sparkSession.sparkContext.broadcast(axes)  # p x k numbers per group of a share
+
+        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for g, rows in pdf.groupby("group", sort=False):
+                    if g in sent.value:
+                        mean, at = sent.value[g]
+                        yield rows.assign(x=list((np.stack(rows["x"].to_numpy()) - mean) @ at))
+
+        part = own.mapInPandas(run, vectors.schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def long_form(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matrix, groups) whose features are the places of each group's vectors, in their order."""
+    name = F.concat_ws(":", "group", F.lpad(F.col("i").cast("string"), 7, "0"))
+    rows = vectors.select("cell_id", "group", "group_ord", F.posexplode("x").alias("i", "value"))
+    sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).alias("n")).where("n > 0")
+    places = sizes.select("group", "group_ord", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return rows.select("cell_id", name.alias("feature"), "value"), places.select("group", "group_ord", name.alias("feature"))
+
+
+def raw_vectors(matrix: DataFrame, cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cell_id, split, group, group_ord, x): dense raw vectors, features by name, none left out."""
+    return _dense(matrix, cells, groups, groups.select("feature").distinct().select("feature", F.lit(0.0).alias("mean"), F.lit(1.0).alias("sd")), lambda v, s: v)
