@@ -7,9 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernloom.operators import splitting
-
-KERNELS = ("gaussian", "laplacian", "cauchy")
+from kernloom.operators import kernel, prep, splitting
 
 
 @dataclass(frozen=True)
@@ -35,8 +33,11 @@ class Params:
     def __post_init__(self) -> None:
         if self.d is not None and (not isinstance(self.d, int) or self.d <= 0):
             raise ValueError("d must be a positive integer")
-        if self.kernel.lower() not in KERNELS:
-            raise ValueError(f"kernel must be one of {KERNELS}")
+        if self.kernel.lower() not in kernel.KERNELS:
+            raise ValueError(f"kernel must be one of {sorted(kernel.KERNELS)}")
+        if self.distance not in kernel.DISTANCES:
+            raise ValueError(f"distance must be one of {sorted(kernel.DISTANCES)}")
+        prep.get_reduction(self.reduction)
         if not 0 < self.train_ratio < 1:
             raise ValueError("train_ratio must lie between 0 and 1")
         if self.sigma_mode not in ("single", "reference"):
@@ -81,7 +82,7 @@ def build_dataset(
         raise ValueError("more than two classes need allow_multiclass")
     if "split" not in cells.columns:
         if labels > 2:
-            cells = splitting.multiclass_split(cells, params.train_ratio, params.seed, params.class_threshold)
+            cells = splitting.multiclass_split(cells, params.train_ratio, params.seed, params.class_threshold, params.with_replacement)
         else:
             cells = splitting.stratified_split(cells, params.train_ratio, params.seed)
     cells = cells.where(F.col("split").isin("train", "test"))

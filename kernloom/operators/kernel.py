@@ -117,13 +117,15 @@ def directions(sigma: DataFrame, sizes: DataFrame, d: int, kernel: str = "gaussi
     return grid.select("group", "i", "j", (draw(f"w{seed}", key) * scale(F.col("sigma"))).alias("w"))
 
 
-def project(vectors: DataFrame, weights: DataFrame, d: int, most_mb: int = 256) -> DataFrame:
+def project(vectors: DataFrame, weights: DataFrame, d: int, most_mb: int = 256, group_sizes: DataFrame | None = None) -> DataFrame:
     """(cell_id, split, group, group_ord, z): sqrt(1/d) [cos(xW) | sin(xW)], length 2d.
 
     The weights of as many groups as ``most_mb`` holds travel at once; each such share of the
-    groups is one pass.
+    groups is one pass. ``group_sizes`` (group, n) spares a pass over the weights.
     """
-    sizes = {r["group"]: r["n"] for r in weights.groupBy("group").agg((F.max("i") + 1).alias("n")).collect()}
+    if group_sizes is None:
+        group_sizes = weights.groupBy("group").agg((F.max("i") + 1).alias("n"))
+    sizes = {r["group"]: r["n"] for r in group_sizes.collect()}
     shares, held, mb = [], [], 0.0
     for g in sorted(sizes):
         size = sizes[g] * d * 8 / 1e6
@@ -169,12 +171,13 @@ def check_finite(z: DataFrame) -> None:
 def calculate_z(vectors: DataFrame, d: int, kernel: str = "gaussian", metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", sigma: DataFrame | None = None, n_features: int = 5000, group_sizes: DataFrame | None = None, widths_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(z, sigma) of all groups; sigma is reused if given. ``group_sizes`` (group, group_ord, n) holds
     sizes before any sampling of features; widths come from ``widths_of`` if given."""
-    sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).cast("bigint").alias("n"))
+    sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).cast("bigint").alias("n")).persist()
     if sigma is None:
         sigma = estimate_sigma(vectors if widths_of is None else widths_of, metric, n_batches, batch_size, seed, n_features, sizes if group_sizes is None else group_sizes)
+    sigma = sigma.persist()  # a row per group, read by the check, the directions and the caller
     if not sigma.where("sigma <= 0").isEmpty():
         raise ValueError("sigma must be positive")
-    return project(vectors, directions(sigma, sizes, d, kernel, seed), d), sigma
+    return project(vectors, directions(sigma, sizes, d, kernel, seed), d, group_sizes=sizes), sigma
 
 
 def non_empty_cells(matrices: list[DataFrame], cells: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernloom.functions import rand
-from kernloom.operators import evaluate, kernel, lasso, library, prep, regions, results, splitting
+from kernloom.operators import evaluate, features, kernel, lasso, library, prep, regions, results, splitting
+from kernloom.model import Dataset, Params
 from kernloom.plans import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,12 +263,12 @@ def _(spark, d):
 
 @query("svd_reduced")
 def _(spark, d):
-    return prep.reduce_vectors(ad.a_vectors(spark, d, lo=0, hi=1), "svd").select("cell_id", "split", "x")
+    return prep.reduce_vectors(ad.a_vectors(spark, d), "svd", 5).select("cell_id", "split", "group", "x")
 
 
 @query("pca_reduced")
 def _(spark, d):
-    return prep.reduce_vectors(ad.a_vectors(spark, d, lo=0, hi=1), "pca").select("cell_id", "split", "x")
+    return prep.reduce_vectors(ad.a_vectors(spark, d), "pca", 5).select("cell_id", "split", "group", "x")
 
 
 # --- kernel widths and random features -------------------------------------------------------
@@ -375,6 +376,76 @@ def _(spark, d):
     return rows.select("cell_id", "group", "j", F.round("v", 5).alias("v"))
 
 
+# --- from a dataset to Z by its parameters -----------------------------------------------------
+
+
+def _event_data(spark, d, **options):
+    """Users by event type and number; groups are the event types."""
+    matrix = ad.c_matrix(spark, d)
+    places = matrix.select("feature").distinct()
+    kind = F.substring_index("feature", ":", 1)
+    return Dataset(matrix, ad.c_split(spark, d), places, places.select(kind.alias("group"), F.lit(0).alias("group_ord"), "feature"), Params(d=3, **options))
+
+
+def _event_sql(weight: str, shown: str, scaled: str) -> str:
+    """Prepared vectors of ten members a group: ``weight`` of an entry, ``shown`` of a weighted value."""
+    return c(f''', member AS (SELECT "group", feature, row_number() OVER (PARTITION BY "group" ORDER BY feature) - 1 AS i FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY md5('features1:' || "group" || ':' || feature), "group" || ':' || feature) AS rn FROM (SELECT DISTINCT split_part(feature, ':', 1) AS "group", feature FROM mC)) WHERE rn <= 10),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM splitc WHERE split = 'train'),
+wv AS (SELECT cell_id, split, feature, value * {weight} AS value FROM mC JOIN splitc USING (cell_id) JOIN {_IDF.format(w=_TRAIN)} k USING (feature)),
+st AS (SELECT feature, mean, sqrt(v) AS sd FROM (SELECT feature, sum({shown}) / any_value(n) AS mean, sum(value * value) / any_value(n) - power(sum(value) / any_value(n), 2) AS v FROM wv, n WHERE split = 'train' GROUP BY feature) WHERE v > 0.00001),
+place AS (SELECT "group", feature, mean, sd, row_number() OVER (PARTITION BY "group" ORDER BY feature) - 1 AS i FROM member JOIN st USING (feature)),
+full_ AS (SELECT s.cell_id, s.split, "group", p.i, coalesce(wv.value, 0) AS value, mean, sd FROM splitc s CROSS JOIN place p LEFT JOIN wv ON wv.cell_id = s.cell_id AND wv.feature = p.feature)
+SELECT cell_id, split, "group", CAST(i AS INT) AS i, round({scaled}, 6) AS x FROM full_''')
+
+
+def _prepared(spark, d, **options):
+    rows = features.prepare(_event_data(spark, d, **options), n_features=10).select("cell_id", "split", "group", F.posexplode("x").alias("i", "x"))
+    return rows.select("cell_id", "split", "group", "i", r6("x"))
+
+
+@query("prepared_tfidf_scaled", _event_sql("idf", "value", "(value - mean) / sd"))
+def _(spark, d):
+    return _prepared(spark, d, tfidf=True)
+
+
+@query("prepared_log_scaled", _event_sql("1", "ln(1 + value)", "(ln(1 + value) - mean) / sd"))
+def _(spark, d):
+    return _prepared(spark, d, transform_data=True)
+
+
+@query("prepared_tfidf_log", _event_sql("idf", "ln(1 + value)", "ln(1 + value)"))
+def _(spark, d):
+    return _prepared(spark, d, tfidf=True, transform_data=True, scale_data=False)
+
+
+def _two_modalities(spark, d):
+    """The first four blocks, scaled, and the last four as they are."""
+    cells, out = ad.a_split(spark, d), []
+    for lo, scale in ((0, True), (4, False)):
+        groups = ad.a_groups(spark).where(F.col("group_ord").between(lo, lo + 3)).withColumn("group_ord", F.col("group_ord") - lo)
+        places = groups.select("feature").distinct()
+        out.append(Dataset(ad.a_matrix(spark, d).join(places, "feature", "left_semi"), cells, places, groups, Params(d=3, scale_data=scale)))
+    return out
+
+
+def _two(sql: str) -> str:
+    return f"WITH {ad.A_SQL.replace('(value - mean) / sd AS x', 'CASE WHEN i < 32 THEN (value - mean) / sd ELSE value END AS x')} {sql}"
+
+
+@query("multimodal_concat", _two(f', {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, split, CASE WHEN "group" < \'b4\' THEN \'one-\' ELSE \'two-\' END || "group" AS "group", CAST(substr("group", 2) AS INT) AS group_ord, CAST(j AS INT) AS j, round(v, 5) AS v FROM z'))
+def _(spark, d):
+    z = features.multimodal_processing(_two_modalities(spark, d), ["one", "two"], [False, False], n_batches=4, batch_size=20).z
+    rows = z.select("cell_id", "split", "group", "group_ord", F.posexplode("z").alias("j", "v"))
+    return rows.select("cell_id", "split", "group", "group_ord", "j", F.round("v", 5).alias("v"))
+
+
+@query("multimodal_sum", _two(f', {_SIGMA}, {_PROJ}, {_Z} SELECT p.cell_id, p.split, \'one-\' || p."group" AS "group", CAST(p.j AS INT) AS j, round(p.v + q.v, 5) AS v FROM z p JOIN z q ON p.cell_id = q.cell_id AND p.j = q.j AND CAST(substr(p."group", 2) AS INT) + 4 = CAST(substr(q."group", 2) AS INT)'))
+def _(spark, d):
+    z = features.process_fold(_two_modalities(spark, d), ["one", "two"], [False, False], "sum", n_batches=4, batch_size=20).z
+    rows = z.select("cell_id", "split", "group", F.posexplode("z").alias("j", "v"))
+    return rows.select("cell_id", "split", "group", "j", F.round("v", 5).alias("v"))
+
+
 @query("non_empty_cells", b("SELECT cell_id, label FROM cellsb WHERE cell_id IN (SELECT cell_id FROM mB)"))
 def _(spark, d):
     return kernel.non_empty_cells([ad.b_matrix(spark, d)], ad.b_cells(spark, d))
@@ -438,6 +509,14 @@ def _(spark, d):
     return spark.createDataFrame([(best,)], "alpha double")
 
 
+@query("optimize_alpha_multiclass")
+def _(spark, d):
+    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d).persist()
+    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups).persist(), 4, n_batches=4, batch_size=20)[0]
+    best = evaluate.optimize_alpha(make, ad.a_split(spark, d, True), [0.2, 0.6], k=2)
+    return spark.createDataFrame(list(best.items()), "class string, alpha double")
+
+
 @query("optimize_sparsity")
 def _(spark, d):
     z, cells = _model(spark, d)
