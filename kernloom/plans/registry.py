@@ -509,14 +509,6 @@ def _(spark, d):
     return spark.createDataFrame([(best,)], "alpha double")
 
 
-@query("optimize_alpha_multiclass")
-def _(spark, d):
-    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d).persist()
-    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups).persist(), 4, n_batches=4, batch_size=20)[0]
-    best = evaluate.optimize_alpha(make, ad.a_split(spark, d, True), [0.2, 0.6], k=2)
-    return spark.createDataFrame(list(best.items()), "class string, alpha double")
-
-
 @query("optimize_sparsity")
 def _(spark, d):
     z, cells = _model(spark, d)

@@ -90,6 +90,14 @@ def test_optimize_alpha(toy):
         splitting.folds(cells, 1)
 
 
+def test_optimize_alpha_of_three_classes(toy):
+    zf, cells, _, _ = toy
+    three = cells.withColumn("label", F.when(F.col("cell_id") % 3 == 0, "zeta").otherwise(F.col("label")))
+    make = lambda own: zf.drop("split").join(own.select("cell_id", "split"), "cell_id")
+    best = evaluate.optimize_alpha(make, three, [0.3, 3.0], k=2, force_balance=False)
+    assert set(best) == {"neg", "pos", "zeta"} and set(best.values()) <= {0.3, 3.0}
+
+
 def test_features_have_unit_norm_and_approximate_the_kernel(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "train" if i < 40 else "test", "g", 0, [float(v) for v in rng.normal(0, 1, 5)]) for i in range(50)]
