@@ -59,11 +59,12 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):
+@lru_cache(maxsize=4)
+def encoder(vocabulary: str, specials: bool = True):
     """text -> ids (uint32 array), the same as ``tokenizers`` gives for the file with
-    add_special_tokens=False: added tokens that the text spells out have their own ids. Byte-level
-    BPE whose merges are in id order runs in the faster ``tiktoken``."""
+    add_special_tokens=False: added tokens that the text spells out have their own ids, unless
+    ``specials`` is false; then they are plain text. Byte-level BPE whose merges are in id order runs
+    in the faster ``tiktoken``, but for texts with runs too long for its pattern."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -82,11 +83,33 @@ def encoder(vocabulary: str):
         # the split pattern of byte-level pre-tokenizers, a fixed value
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: fast.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
+        slow = _Slow(vocabulary, specials)
 
-    slow = Tokenizer.from_file(vocabulary)
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        def encode(text: str) -> np.ndarray:
+            try:
+                if specials:
+                    return fast.encode_to_numpy(text, allowed_special="all")
+                return fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the pattern gave up on a run of hundreds of thousands of characters
+                return slow(text)
+
+        return encode
+    return _Slow(vocabulary, specials)
+
+
+class _Slow:
+    """The file's own tokenizer, read when it is first needed."""
+
+    def __init__(self, vocabulary: str, specials: bool) -> None:
+        self.vocabulary, self.specials, self.found = vocabulary, specials, None
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.found is None:
+            from tokenizers import Tokenizer
+
+            self.found = Tokenizer.from_file(self.vocabulary)
+            self.found.encode_special_tokens = not self.specials
+        return np.array(self.found.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kernloom.llm import centroids, decontaminate, fingerprints, language_id, language_model, packing, pieces, secrets, sharding, simhash, toxicity, urls
+from kernloom.llm import alignment, centroids, decontaminate, fingerprints, language_id, language_model, packing, pieces, secrets, sharding, simhash, toxicity, urls
 from kernloom.llm.common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_url_filter": lambda spark, d: urls.op10_url_filter(spark.read.parquet(f"{d}/pages.parquet")),
+        "op11_alignment": lambda spark, d: alignment.op11_alignment(documents(spark, d)),
         "op12_sentencepiece": lambda spark, d: pieces.op12_sentencepiece(documents(spark, d)),
         "op13_centroids": lambda spark, d: centroids.op13_centroids(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),

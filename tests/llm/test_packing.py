@@ -149,3 +149,22 @@ def test_choices_of_sums():
     got = [tuple(sorted(c, reverse=True)) for c in K._of_sums(lengths, counts, 18, 10)]
     assert len(got) == len(set(got)) and set(got) == want
     assert [sum(c) for c in got] == sorted(map(sum, got), reverse=True)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "a"])
+def test_two_million_equal_characters(spark, run):
+    from tokenizers import Tokenizer
+
+    text = run * 2_000_000 + "z"
+    ids = Tokenizer.from_file(K.default_vocabulary()).encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    pieces = K.token_pieces(docs, K.default_vocabulary()).where("doc_id = 1").orderBy("start").collect()
+    assert sum(r["length"] for r in pieces) == len(ids) + 1
+    last = pieces[-1]
+    assert last["ids_crc32"] == zlib.crc32(np.array([*ids, 0][last["start"] :], "<u4").tobytes())
+
+
+def test_special_tokens_in_long_runs():
+    text = "x <|endoftext|> y" + " " * 1_000_000 + "z"
+    assert K.encoder(K.default_vocabulary())(text).tolist().count(50256) == 1
+    assert K.encoder(K.default_vocabulary(), specials=False)(text).tolist().count(50256) == 0
