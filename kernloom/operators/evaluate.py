@@ -64,7 +64,7 @@ def _ratio(top: Column, below: Column) -> Column:
     return F.when(below > 0, top / below).otherwise(0.0)
 
 
-def binary_metrics(predictions: DataFrame, positive: str, by: list[str] = ()) -> DataFrame:
+def binary_metrics(predictions: DataFrame, positive: str | Column, by: list[str] = ()) -> DataFrame:
     """(by, metric, value) of the five metrics, ``positive`` being the positive class; rows
     without an observed label are left out, and give no metrics alone."""
     by = list(by)
@@ -102,69 +102,98 @@ def classes_of(cells: DataFrame) -> tuple[str, str]:
     return found[0], found[1]
 
 
-def run(z: DataFrame, cells: DataFrame, alphas: list[float], metrics: tuple[str, ...] = METRICS, norm_mode: str = "reference", sums: lasso.Sums | None = None, cls: str | None = None) -> dict[str, DataFrame]:
-    """Metrics, weights, predictions and seconds of the solve for each alpha, from one pass of sums
-    and one pass of scores; the alphas are solved from the largest down, each from the one before."""
-    spark = z.sparkSession
+#: What one-versus-rest calls all other classes.
+OTHER = "other"
+
+
+def run(z: DataFrame, cells: DataFrame, alphas: list[float], metrics: tuple[str, ...] = METRICS, norm_mode: str = "reference", sums: lasso.Sums | None = None) -> dict[str, DataFrame]:
+    """Metrics, weights (with the duality gap of the model), predictions and seconds of the solve for
+    each alpha, from one pass of sums where Z is narrow and one pass of scores; the alphas are
+    solved from the largest down, each from the one before."""
     classes = classes_of(cells)
     if sums is None:
         y = F.array(F.when(F.col("label") == classes[0], 1.0).otherwise(-1.0))
-        sums = lasso.gather_sums(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
-    alphas = sorted(alphas, reverse=True)
-    models, weights, timing, w = [], [], [], None
-    for alpha in alphas:
-        began = time.time()
-        w, b = lasso.solve(sums, alpha, start=w)
-        models.append((w, b))
-        norms = lasso.group_norms(w, sums.width, norm_mode)
-        weights += [(float(alpha), g, i, float(x)) for i, (g, x) in enumerate(zip(sums.groups, norms))]
-        timing.append((float(alpha), time.time() - began))
-    scores = linear_scores(z.where("split = 'test'"), models, sums.groups, sums.width)
-    alpha_of = F.element_at(F.array(*[F.lit(float(a)) for a in alphas]), F.col("model") + 1)
-    predictions = predict(scores.withColumn("alpha", alpha_of), cells.where("split = 'test'"), classes, ["alpha"])
+        todo = lasso.problem(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
+    else:
+        todo = lasso.Problem(sums.groups, sums.width, 1, sums=[sums])
+    models, weights, timing = fit_path(todo, alphas, [None], norm_mode)
+    todo.release()
+    predictions = binary_predictions(z, cells, models, todo, classes)
     values = binary_metrics(predictions, classes[0], ["alpha"]).where(F.col("metric").isin(*metrics))
-    out = {
-        "metrics": values,
-        "weights": spark.createDataFrame(weights, "alpha double, group string, group_ord int, kernel_weight double"),
-        "predictions": predictions,
-        "timing": spark.createDataFrame(timing, "alpha double, seconds double"),
-    }
-    return {k: v.withColumn("class", F.lit(cls)) for k, v in out.items()} if cls is not None else out
+    return {"metrics": values, "weights": weights.drop("class"), "predictions": predictions, "timing": timing.drop("class")}
+
+
+def fit_path(todo: lasso.Problem, alphas: list[float], names: list[str | None], norm_mode: str) -> tuple[list[tuple], DataFrame, DataFrame]:
+    """([(class, alpha, coefficients, intercept)], weights, seconds) of every target at every alpha."""
+    spark = SparkSession.active()
+    models, weights, timing, starts = [], [], [], {}
+    for alpha in sorted(map(float, alphas), reverse=True):
+        began = time.time()
+        found = todo.fit(alpha, starts=starts)
+        took = (time.time() - began) / len(found)
+        for t, (w, b, gap) in sorted(found.items()):
+            starts[t] = w
+            models.append((names[t], alpha, w, b))
+            norms = lasso.group_norms(w, todo.width, norm_mode)
+            weights += [(names[t], alpha, g, i, float(x), float(gap)) for i, (g, x) in enumerate(zip(todo.groups, norms))]
+            timing.append((names[t], alpha, took))
+    shape = "class string, alpha double, group string, group_ord int, kernel_weight double, gap double"
+    return models, spark.createDataFrame(weights, shape), spark.createDataFrame(timing, "class string, alpha double, seconds double")
 
 
 def selected_groups(weights: DataFrame) -> DataFrame:
     return weights.where("kernel_weight <> 0")
 
 
-def one_v_rest(z: DataFrame, cells: DataFrame, alphas: list[float], force_balance: bool = False, other_factor: float = 1.0, seed: str = "1", final_alpha: float | dict | None = None) -> dict[str, DataFrame]:
-    """One model per class against all others over one Z. Without balancing, all classes share
-    one Gram matrix and differ in a target column."""
+def binary_predictions(z: DataFrame, cells: DataFrame, models: list[tuple], todo: lasso.Problem, classes: tuple[str, str]) -> DataFrame:
+    """(alpha, cell_id, observed, predicted, prob) of test cells by all models in one pass."""
+    scores = linear_scores(z.where("split = 'test'"), [m[2:] for m in models], todo.groups, todo.width)
+    alpha_of = F.element_at(F.array(*[F.lit(a) for _, a, *_ in models]), F.col("model") + 1)
+    return predict(scores.withColumn("alpha", alpha_of), cells.where("split = 'test'"), classes, ["alpha"])
+
+
+def class_targets(cells: DataFrame, labels: list[str], chosen: DataFrame | None = None) -> DataFrame:
+    """(cell_id, y, s) of training cells: 1 for a class's own cells, -1 for others; with ``chosen``
+    (class, cell_id) only the cells chosen for a class count for it."""
+    train = cells.where("split = 'train'")
+    y = F.array(*[F.when(F.col("label") == c, 1.0).otherwise(-1.0) for c in labels])
+    if chosen is None:
+        return train.select("cell_id", y.alias("y"))
+    of = chosen.groupBy("cell_id").agg(F.collect_set("class").alias("_of"))
+    s = F.array(*[F.array_contains("_of", c).cast("double") for c in labels])
+    return train.join(of, "cell_id").select("cell_id", y.alias("y"), s.alias("s"))
+
+
+def class_predictions(z: DataFrame, cells: DataFrame, models: list[tuple], todo: lasso.Problem) -> DataFrame:
+    """(class, alpha, cell_id, observed, predicted, prob) of test cells by all models in one pass. Of
+    equal chances the one later by name wins, as in the binary case."""
+    scores = linear_scores(z.where("split = 'test'"), [m[2:] for m in models], todo.groups, todo.width)
+    at = F.element_at(F.array(*[F.struct(F.lit(c).alias("class"), F.lit(a).alias("alpha")) for c, a, *_ in models]), F.col("model") + 1)
+    rows = scores.withColumn("_m", at).select("cell_id", "p", "_m.class", "_m.alpha")
+    rows = rows.join(cells.where("split = 'test'").select("cell_id", F.col("label").alias("_l")), "cell_id")
+    observed = F.when(F.col("_l") == F.col("class"), F.col("class")).when(F.col("_l").isNotNull(), OTHER)
+    mine = F.when(F.col("class") > OTHER, F.col("p") >= 0.5).otherwise(F.col("p") > 0.5)
+    return rows.select("class", "alpha", "cell_id", observed.alias("observed"), F.when(mine, F.col("class")).otherwise(OTHER).alias("predicted"), F.col("p").alias("prob"))
+
+
+def class_metrics(predictions: DataFrame) -> DataFrame:
+    """(class, alpha, metric, value); the label that is first by name is the positive one."""
+    first = F.when(F.col("class") > OTHER, 1 - F.col("prob")).otherwise(F.col("prob"))
+    return binary_metrics(predictions.withColumn("prob", first), F.least(F.col("class"), F.lit(OTHER)), ["class", "alpha"])
+
+
+def one_v_rest(z: DataFrame, cells: DataFrame, alphas: list[float], force_balance: bool = False, other_factor: float = 1.0, seed: str = "1", final_alpha: float | dict | None = None, norm_mode: str = "reference") -> dict[str, DataFrame]:
+    """One model per class against all others over one Z: one pass sums for all classes (balanced or
+    not), one pass scores all classes and alphas."""
     labels = [r[0] for r in splitting.labels_in_both(cells).collect()]
     if not labels:
         raise ValueError("no label is in both splits")
-    train = cells.where("split = 'train'")
-    shared = None
-    if not force_balance:
-        signs = F.array(*[F.when(F.col("label") == c, 1.0).otherwise(-1.0) for c in labels])
-        shared = lasso.gather_sums(z, train.select("cell_id", signs.alias("y")))
-    else:
-        chosen = splitting.class_train(cells, other_factor, seed)
-    out: dict[str, DataFrame] = {}
-    for k, c in enumerate(labels):
-        own = cells.withColumn("label", F.when(F.col("label") == c, c).otherwise("other"))
-        sums, own_z = None, z
-        first = min(c, "other")  # the class by name comes first, as in the binary case
-        sign = 1.0 if first == c else -1.0
-        if shared is not None:
-            sums = lasso.Sums(shared.n, shared.z, sign * shared.y[[k]], shared.zz, sign * shared.zy[:, [k]], shared.groups, shared.width)
-        else:
-            mine = chosen.where(F.col("class") == c).select("cell_id")
-            own = own.where("split = 'test'").unionByName(own.join(mine, "cell_id", "left_semi"))
-            own_z = z.where("split = 'test'").unionByName(z.join(mine, "cell_id", "left_semi"))
-        part = run(own_z, own, alphas, sums=sums, cls=c)
-        if sign < 0:
-            part["predictions"] = part["predictions"].withColumn("prob", 1 - F.col("prob"))
-        out = {n: out[n].unionByName(f) if n in out else f for n, f in part.items()}
+    chosen = splitting.class_train(cells, other_factor, seed) if force_balance else None
+    todo = lasso.problem(z, class_targets(cells, labels, chosen))
+    models, weights, timing = fit_path(todo, alphas, labels, norm_mode)
+    todo.release()
+    predictions = class_predictions(z, cells, models, todo)
+    out = {"metrics": class_metrics(predictions), "weights": weights, "predictions": predictions, "timing": timing}
     final = min(alphas) if final_alpha is None else final_alpha
     last = out["predictions"]
     if isinstance(final, dict):
@@ -212,38 +241,62 @@ def best_alpha(table: DataFrame) -> DataFrame:
 def optimize_alpha(make_z: Callable[[DataFrame], DataFrame], cells: DataFrame, alphas: list[float] | None = None, k: int = 4, metric: str = "AUROC", early_stopping: bool = False, seed: str = "1", force_balance: bool = True) -> float | dict[str, float]:
     """The best alpha by k-fold cross-validation over training cells, or one per class where
     there are more than two. ``make_z`` makes Z of a fold's cells, so widths and scaling are
-    refit in each fold. One pass scores all alphas of a fold; values that come after an early stop
-    are left out of the means."""
+    refit in each fold. One pass scores all classes and alphas of a fold; with early stopping the value
+    that falls and those after it are neither in the means nor, after it, solved for."""
     alphas = sorted(alphas or DEFAULT_ALPHAS)
     labels = [r[0] for r in cells.where("split = 'train'").select("label").distinct().orderBy("label").collect()]
+    if len(labels) < 2:
+        raise ValueError("two classes are needed")
     folded = splitting.folds(cells, k, seed).persist()
-    spark: SparkSession = cells.sparkSession
     rows: list[tuple] = []
     for fold in range(k):
         own = splitting.fold_cells(cells, folded, fold).persist()
         z = make_z(own).persist()
-        for c in labels if len(labels) > 2 else [None]:
-            binary = own if c is None else own.withColumn("label", F.when(F.col("label") == c, c).otherwise("other"))
-            fold_z = z
-            if c is not None and force_balance:
-                mine = splitting.class_train(own, 1.5, seed).where(F.col("class") == c).select("cell_id")
-                fold_z = z.where("split = 'test'").unionByName(z.join(mine, "cell_id", "left_semi"))
-                binary = binary.where("split = 'test'").unionByName(binary.join(mine, "cell_id", "left_semi"))
-            found = {r["alpha"]: r["value"] for r in run(fold_z, binary, alphas, (metric,))["metrics"].collect()}
-            seen: list[float] = []
-            for a in alphas:
-                seen.append(found.get(float(a), 0.0) or 0.0)
-                if early_stopping and stop_early(seen):
-                    break
-                rows.append((c, fold, float(a), seen[-1]))
+        rows += [(c, fold, a, v) for c, a, v in fold_values(z, own, alphas, labels, metric, early_stopping, seed, force_balance)]
         z.unpersist()
         own.unpersist()
-    table = spark.createDataFrame(rows, "class string, fold int, alpha double, value double")
+    folded.unpersist()
+    table = cells.sparkSession.createDataFrame(rows, "class string, fold int, alpha double, value double")
     if len(labels) <= 2:
         return best_alpha(table).first()["alpha"]
     return {c: best_alpha(table.where(F.col("class") == c)).first()["alpha"] for c in labels}
 
 
+def fold_values(z: DataFrame, cells: DataFrame, alphas: list[float], labels: list[str], metric: str, early_stopping: bool, seed: str, force_balance: bool, solved: list | None = None) -> list[tuple[str, float, float]]:
+    """[(class, alpha, value)] of one fold: one problem for all classes (the first label alone where
+    there are two). With early stopping the alphas come in waves, smallest first; a class leaves when
+    its value falls, and is solved no more. ``solved`` gets the number of solves of each wave."""
+    names = labels if len(labels) > 2 else labels[:1]
+    chosen = splitting.class_train(cells, 1.5, seed) if len(labels) > 2 and force_balance else None
+    todo = lasso.problem(z, class_targets(cells, names, chosen))
+    waves = [[a] for a in sorted(alphas)] if early_stopping else [sorted(alphas)]
+    running, seen, out = list(range(len(names))), {t: [] for t in range(len(names))}, []
+    for wave in waves:
+        models, starts, before = [], {}, todo.solves
+        for alpha in sorted(wave, reverse=True):
+            found = todo.fit(float(alpha), running, starts)
+            starts = {t: m[0] for t, m in found.items()}
+            models += [(names[t], float(alpha), *m[:2]) for t, m in found.items()]
+        if solved is not None:
+            solved.append(todo.solves - before)
+        if len(labels) == 2:
+            values = binary_metrics(binary_predictions(z, cells, models, todo, (labels[0], labels[1])), labels[0], ["alpha"]).withColumn("class", F.lit(labels[0]))
+        else:
+            values = class_metrics(class_predictions(z, cells, models, todo))
+        got = {(r["class"], r["alpha"]): r["value"] for r in values.where(F.col("metric") == metric).collect()}
+        for alpha in wave:
+            for t in list(running):
+                seen[t].append(got.get((names[t], float(alpha))) or 0.0)
+                if early_stopping and stop_early(seen[t]):
+                    running.remove(t)
+                else:
+                    out.append((names[t], float(alpha), seen[t][-1]))
+        if not running:
+            break
+    todo.release()
+    return out
+
+
 def optimize_sparsity(sums: lasso.Sums, starting_alpha: float = 1.9, increment: float = 0.2, target: int = 1, n_iter: int = 10, norm_mode: str = "reference") -> tuple[dict[float, int], float]:
     """({alpha: number of groups}, best alpha): steps down while too few groups are selected, up
     while too many; the step halves when the direction turns."""

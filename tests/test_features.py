@@ -126,7 +126,7 @@ def test_empty_inputs_have_named_errors(data):
         with pytest.raises(ValueError):
             lasso.gather_sums(zf, targets)
     with pytest.raises(ValueError):
-        lasso.fit_gradient(z, y.limit(0), 0.3)
+        lasso.problem(z, y.limit(0))
     with pytest.raises(ValueError):
         Params(distance="x")
     with pytest.raises(ValueError):

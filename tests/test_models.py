@@ -49,12 +49,86 @@ def test_sums_and_optimality(toy):
         lasso.solve(s, 0.0)
 
 
-def test_gradient_path_agrees(toy):
-    zf, cells, _, _ = toy
+def targets_of(cells):
     y = F.array(F.when(F.col("label") == "neg", 1.0).otherwise(-1.0))
-    w, b = lasso.fit_gradient(zf, cells.where("split = 'train'").select("cell_id", y.alias("y")), 0.4, rounds=60)
-    exact, b0 = lasso.solve(sums_of(zf, cells), 0.4)
-    assert np.abs(w - exact).max() < 2e-2 and abs(b - b0) < 2e-2
+    return cells.where("split = 'train'").select("cell_id", y.alias("y"))
+
+
+@pytest.mark.parametrize("most", [4, 8])
+def test_passes_over_blocks_agree_with_sums(toy, monkeypatch, most):
+    zf, cells, _, _ = toy
+    exact = lasso.problem(zf, targets_of(cells))
+    monkeypatch.setattr(lasso, "MOST_COLUMNS", most)
+    if most == 8:  # all columns fit, but the problem is still one of blocks
+        monkeypatch.setattr(lasso, "problem", None)
+        wide = lasso.Problem(["g0", "g1"], 4, 1, blocks=lasso.row_blocks(zf, targets_of(cells), 8))
+    else:
+        wide = lasso.problem(zf, targets_of(cells))
+    assert exact.sums is not None and wide.blocks is not None
+    for alpha in (1.5, 0.4, 0.05):
+        w, b, gap = wide.fit(alpha)[0]
+        v, b0, gap0 = exact.fit(alpha)[0]
+        assert np.abs(w - v).max() < 5e-3 and abs(b - b0) < 5e-3 and gap <= lasso.WIDE_GAP and gap0 <= lasso.GAP
+        assert lasso.kkt_residual(exact.sums[0], w, alpha) < 1e-3
+    assert not wide.fit(50.0)[0][0].any()
+    wide.release()
+
+
+def wide_z(spark, cells, groups, width):
+    """Blocks of unit rows; the label shows in the first three groups."""
+    g = spark.range(groups).select(F.col("id").cast("int").alias("group_ord"))
+    u = lambda i: F.xxhash64("cell_id", "group_ord", i) / F.lit(2.0**63)
+    shift = F.when((F.col("group_ord") < 3) & (F.col("label") == "neg"), 0.4).otherwise(0.0)
+    z = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (u(i) + F.when(i < 5, shift).otherwise(0.0)) * (3 / width) ** 0.5)
+    return cells.join(g).select("cell_id", "split", F.concat(F.lit("g"), "group_ord").alias("group"), "group_ord", z.alias("z"))
+
+
+@pytest.mark.parametrize("n, groups, width", [(300, 50, 200), (60, 200, 400)])
+def test_models_of_any_width(spark, n, groups, width):
+    label = F.when(F.col("id") % 2 == 0, "neg").otherwise("pos")
+    cells = spark.range(n).select(F.col("id").alias("cell_id"), label.alias("label"), F.when(F.col("id") % 5 == 3, "test").otherwise("train").alias("split")).persist()
+    zf = wide_z(spark, cells, groups, width).persist()
+    out = evaluate.run(zf, cells, [2.0, 0.5])
+    rows = out["weights"].collect()
+    assert len(rows) == 2 * groups and max(r["gap"] for r in rows) <= lasso.WIDE_GAP
+    heavy = [{r["group"] for r in rows if r["alpha"] == a and r["kernel_weight"] > 0} for a in (2.0, 0.5)]
+    assert heavy[0] and len(heavy[1]) >= len(heavy[0]) and (n < 100 or heavy[0] <= {"g0", "g1", "g2"})
+    assert out["metrics"].count() == 10
+    todo = lasso.problem(zf, targets_of(cells))
+    w, b, _ = todo.fit(0.5)[0]
+    a = np.stack([np.concatenate([r["z"] for r in sorted(rows, key=lambda r: r["group_ord"])]) for _, rows in sorted(groups_of(zf.where("split = 'train'").collect()).items())])
+    y = np.array([1.0 if i % 2 == 0 else -1.0 for i in range(n) if i % 5 != 3])
+    r = y - b - a @ w
+    q, lam = (a - a.mean(0)).T @ r / len(y), 0.5 * np.abs(a.T @ y).max() / len(y)
+    assert abs(r.mean()) < 1e-9 and lasso.violations(w, q, lam, width).max() < 1e-3
+    assert todo.passes <= 40  # first sums, then two a round at most
+
+
+def groups_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["cell_id"], []).append(r)
+    return out
+
+
+def test_gap_bounds_the_loss_and_screening_is_safe():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n, g, k = 60, 6, 3
+        a, y = rng.normal(size=(n, g * k)), rng.normal(size=n)
+        a, y = a - a.mean(0), y - y.mean()
+        gram, c, yy = a.T @ a / n, a.T @ y / n, y @ y / n
+        lam = 0.4 * np.linalg.norm(c.reshape(g, k), axis=1).max()
+        loss = lambda w: ((y - a @ w) ** 2).sum() / 2 / n + lam * np.linalg.norm(w.reshape(g, k), axis=1).sum()
+        best = np.zeros(g * k)
+        lasso._descend(gram, c, best, lam, yy, k, 1e-14, 1e-8, 5000)
+        assert lasso.violations(best, c - gram @ best, lam, k).max() < 1e-6
+        for scale in (0.0, 0.5, 0.99):
+            w = best * scale
+            gap, scaled = lasso.gap_of(w, c - gram @ w, c, yy, lam, k)
+            assert loss(w) - loss(best) <= gap + 1e-12
+            out = [i for i in range(g) if scaled[i] + (2 * lasso._largest(gram, k)[i] * gap) ** 0.5 < lam]
+            assert not any(best[i * k : i * k + k].any() for i in out)
 
 
 def test_run_and_search(toy):
@@ -82,6 +156,40 @@ def test_one_versus_rest(spark, toy):
         assert 0 <= out["macro_f1"].first()[0] <= 1
 
 
+def test_classes_share_one_pass(toy):
+    zf, cells, z, label = toy
+    three = cells.withColumn("label", F.when(F.col("cell_id") % 3 == 0, "zeta").otherwise(F.col("label"))).persist()
+    for balance in (False, True):
+        chosen = splitting.class_train(three, 1.0, "1").persist() if balance else None
+        todo = lasso.problem(zf, evaluate.class_targets(three, ["neg", "pos", "zeta"], chosen))
+        found = todo.fit(0.3)
+        assert todo.passes == 1 and todo.solves == 3
+        for t, c in enumerate(["neg", "pos", "zeta"]):
+            mine = three if chosen is None else three.join(chosen.where(F.col("class") == c), "cell_id", "left_semi")
+            y = F.array(F.when(F.col("label") == c, 1.0).otherwise(-1.0))
+            alone = lasso.gather_sums(zf, mine.where("split = 'train'").select("cell_id", y.alias("y")))
+            w, b = lasso.solve(alone, 0.3)
+            assert np.allclose(w, found[t][0], atol=1e-6) and abs(b - found[t][1]) < 1e-6
+
+
+def test_early_stopping_solves_less(toy):
+    zf, cells, _, _ = toy
+    three = cells.withColumn("label", F.when(F.col("cell_id") % 3 == 0, "zeta").otherwise(F.col("label"))).persist()
+    alphas, plain, waves = [0.05, 0.3, 1.0, 3.0], [], []
+    full = evaluate.fold_values(zf, three, alphas, ["neg", "pos", "zeta"], "AUROC", False, "1", False, plain)
+    early = evaluate.fold_values(zf, three, alphas, ["neg", "pos", "zeta"], "AUROC", True, "1", False, waves)
+    assert sum(plain) == 12 and sum(waves) < 12 and waves[0] == 3
+    full, early = ({(c, a): v for c, a, v in rows} for rows in (full, early))
+    for c in ("neg", "pos", "zeta"):
+        kept = []
+        for a in alphas:
+            kept.append(full[c, a])
+            if evaluate.stop_early(kept):
+                assert (c, a) not in early
+                break
+            assert early[c, a] == pytest.approx(full[c, a], abs=1e-6)
+
+
 def test_optimize_alpha(toy):
     zf, cells, _, _ = toy
     make = lambda own: zf.drop("split").join(own.select("cell_id", "split"), "cell_id")
