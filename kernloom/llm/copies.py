@@ -5,8 +5,10 @@ lower-cased in A-Z; a shingle is the XXH64 (seed 42) of five words, or of the wh
 it has fewer. Rows of equal sets of shingles are one node. A node's fingerprint is the SimHash
 of its set in ``PRINT`` bits: two sets of similarity 4/5 differ in about 0.15 of them.
 
-Upper nodes of the index are masked bit patterns: ``MASKS`` masks of ``MASK_BITS`` bits each,
-drawn once from a fixed seed. Under an upper node fingerprints are in Gray order, cut into
+Upper nodes of the index are masked bit patterns. The width of a mask follows from the number of
+nodes (``LEAST_BITS`` at least), so that about ``MEMBERS`` of them at most agree in its bits at any
+size of corpus; the number of masks follows from the width, so that of pairs with a share of ``APART`` differing bits all but
+``MISSED`` agree in one. The bits are drawn from a fixed seed. Under an upper node fingerprints are in Gray order, cut into
 leaves and higher nodes that keep the bits which all their members share; a pair of nodes is
 dropped as a whole once the differences in shared bits exceed ``NEAR`` bits. A pair that shares
 several masks counts at the first of them only. Candidates are verified: their whole sets are
@@ -19,17 +21,19 @@ first: the parities of a set's shingles in ``BUCKETS`` buckets differ in no more
 the sets do, so a pair that differs in too many can't be similar. Groups under a mask that
 hold more than ``SPLIT`` nodes are dealt into cells of two parts each.
 
-What the masks miss is missed: at a similarity of exactly 4/5 a pair is found with a chance of
-about 0.9, at 0.85 of 0.98, at 0.9 and more of 0.999 (README has measured figures).
+What the masks and the limit in bits miss is missed (README has measured figures).
 
 Nulls and texts without words have the empty set, and are copies of each other. Repeated rows
 and ids are separate documents. An empty table gives an empty result. Columns of the input are
-kept as they are; names of the two added columns replace theirs.
+kept as they are, whatever their names; the two added columns replace theirs of the same names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,8 @@ from kernloom.llm.simhash import FAN, LEAF, cells, gray_rank, whole_groups
 
 WIDTH = 5
 PRINT, NEAR = 256, 52
-MASKS, MASK_BITS = 40, 16
+MEMBERS, LEAST_BITS, APART, MISSED = 2048, 8, 0.17, 0.04
+SHIFT = 24  # a key is mask << 24 | bits
 WAYS = 4
 SPLIT, SMALL = 20_000, 128
 MEET = 50_000  # rows that a task holds at once, or those of one key
@@ -52,10 +57,34 @@ BUCKETS = 1024
 _WORDS = PRINT // 64
 _U = np.uint64
 _GOLDEN, _MIX_A, _MIX_B = 0x9E3779B97F4A7C15, _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_CHOSEN = np.stack([np.random.default_rng(31 + i).permutation(PRINT)[:MASK_BITS] for i in range(MASKS)])
-_MARKS = np.zeros((MASKS, PRINT), np.uint8)
-np.put_along_axis(_MARKS, _CHOSEN, 1, axis=1)
-_MARKS = np.packbits(_MARKS, axis=1, bitorder="little").view(_U)  # masks x words
+
+
+@lru_cache(maxsize=8)
+def _chosen(count: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks x bits, masks x words): the places of each mask, and the same as set bits."""
+    chosen = np.stack([np.random.default_rng(31 + i).permutation(PRINT)[:bits] for i in range(count)])
+    marks = np.zeros((count, PRINT), np.uint8)
+    np.put_along_axis(marks, chosen, 1, axis=1)
+    return chosen, np.packbits(marks, axis=1, bitorder="little").view(_U)
+
+
+@dataclass(frozen=True)
+class Masks:
+    count: int
+    bits: int
+
+    @classmethod
+    def of(cls, nodes: int) -> Masks:
+        bits = min(max(round(math.log2(max(nodes, 1) / MEMBERS)), LEAST_BITS), SHIFT)
+        return cls(math.ceil(math.log(MISSED) / math.log(1 - (1 - APART) ** bits)), bits)
+
+    @property
+    def chosen(self) -> np.ndarray:
+        return _chosen(self.count, self.bits)[0]
+
+    @property
+    def marks(self) -> np.ndarray:
+        return _chosen(self.count, self.bits)[1]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -116,17 +145,17 @@ def _prints(column: pa.BinaryArray) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(_U).reshape(len(column), -1)
 
 
-def hung(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, print, root): ``nodes`` under all their masks; a key is mask << 16 | bits."""
-    weights = (1 << np.arange(MASK_BITS)).astype(np.int64)
+def hung(nodes: DataFrame, masks: Masks) -> DataFrame:
+    """(key, node, n, print, root): ``nodes`` under all their masks."""
+    weights = (1 << np.arange(masks.bits)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 2000):
                 batch = big.slice(at, 2000)
                 bits = np.unpackbits(np.ascontiguousarray(_prints(batch.column(2))[:, :_WORDS]).view(np.uint8), axis=1, bitorder="little")
-                key = (bits[:, _CHOSEN].astype(np.int64) @ weights) + (np.arange(MASKS) << MASK_BITS)
-                each = pa.array(np.repeat(np.arange(len(key)), MASKS))
+                key = (bits[:, masks.chosen].astype(np.int64) @ weights) + (np.arange(masks.count) << SHIFT)
+                each = pa.array(np.repeat(np.arange(len(key)), masks.count))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[c.take(each) for c in batch.columns]], ["key", "node", "n", "print", "root"])
 
     return nodes.select("node", "n", "print", "root").mapInArrow(run, "key long, node long, n int, print binary, root long")
@@ -134,7 +163,7 @@ def hung(nodes: DataFrame) -> DataFrame:
 
 def _mask(key: np.ndarray) -> np.ndarray:
     """The number of the mask; a cell's number is above it."""
-    return (key & ((1 << 41) - 1)) >> MASK_BITS
+    return (key & ((1 << 41) - 1)) >> SHIFT
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,7 +219,7 @@ def tree_pairs(prints: np.ndarray, near: int = NEAR) -> Iterator[tuple[np.ndarra
                 yield i[r, x], j[r, y], d[r, x, y].astype(np.int64)
 
 
-def _masked_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, part: np.ndarray, root: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _masked_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, part: np.ndarray, root: np.ndarray | None, masks: Masks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of candidates in groups of equal keys (sorted): near in bits and in size,
     with no earlier mask in common, and of different roots where these are given."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -209,7 +238,7 @@ def _masked_pairs(key: np.ndarray, n: np.ndarray, prints: np.ndarray, part: np.n
             i, j, d = i[good], j[good], d[good]
         apart, first = prints[i] ^ prints[j], np.ones(len(i), bool)
         for t in range(int(mask[i].max(initial=0))):
-            first &= (mask[i] <= t) | ((apart & _MARKS[t]) != 0).any(1)
+            first &= (mask[i] <= t) | ((apart & masks.marks[t]) != 0).any(1)
         return i[first], j[first], d[first]
 
     small = np.repeat(sizes <= SMALL, sizes)
@@ -240,7 +269,7 @@ def _over_groups(rows: DataFrame, found: Callable, schema: str) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def nearest_candidates(nodes: DataFrame) -> DataFrame:
+def nearest_candidates(nodes: DataFrame, masks: Masks) -> DataFrame:
     """(node, all, nearest): how many candidates a node has, and the nearest ones, at most ``WAYS``."""
 
     def found(key, node, n, prints, part, root) -> Iterator[pa.RecordBatch]:
@@ -249,7 +278,7 @@ def nearest_candidates(nodes: DataFrame) -> DataFrame:
         rank = np.empty(size, np.int64)
         rank[by_node] = np.arange(size)
         best, count = np.full(size, none), np.zeros(size, np.int64)
-        for i, j, d in _masked_pairs(key, n, prints, part, None):
+        for i, j, d in _masked_pairs(key, n, prints, part, None, masks):
             for x, y in ((i, j), (j, i)):
                 np.minimum.at(best, x, d * size + rank[y])
                 np.add.at(count, x, 1)
@@ -259,12 +288,12 @@ def nearest_candidates(nodes: DataFrame) -> DataFrame:
             columns = [node[at], _mask(key[at]) % WAYS, distance, node[by_node[other]], count[at]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "way", "distance", "other", "all"])
 
-    rows = _over_groups(hung(nodes), found, "node long, way long, distance long, other long, all long")
+    rows = _over_groups(hung(nodes.withColumn("root", F.lit(0).cast("bigint")), masks), found, "node long, way long, distance long, other long, all long")
     ways = rows.groupBy("node", "way").agg(F.min(F.struct("distance", "other")).alias("best"), F.sum("all").alias("all"))
     return ways.groupBy("node").agg(F.sum("all").alias("all"), F.collect_set("best.other").alias("nearest"))
 
 
-def other_candidates(nodes: DataFrame) -> DataFrame:
+def other_candidates(nodes: DataFrame, masks: Masks) -> DataFrame:
     """(a, b, x, y): all candidates among ``nodes`` whose roots differ, and these."""
 
     def found(key, node, n, prints, part, root) -> Iterator[pa.RecordBatch]:
@@ -273,11 +302,11 @@ def other_candidates(nodes: DataFrame) -> DataFrame:
         keep = np.repeat(mixed, np.diff(np.append(starts, len(key))))
         if keep.any():
             key, node, n, prints, part, root = (x[keep] for x in (key, node, n, prints, part, root))
-            for i, j, _ in _masked_pairs(key, n, prints, part, root):
+            for i, j, _ in _masked_pairs(key, n, prints, part, root, masks):
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node[i], node[j], root[i], root[j])], ["a", "b", "x", "y"])
 
-    return _over_groups(hung(nodes), found, "a long, b long, x long, y long")
+    return _over_groups(hung(nodes, masks), found, "a long, b long, x long, y long")
 
 
 def of_texts(ends: DataFrame, rows: DataFrame, text_col: str, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -333,12 +362,17 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     """``docs`` with ``component_id`` (its least id, null if it has none) and ``stays`` (true for
     exactly one row of each component)."""
     docs = docs.select(*[c for c in docs.columns if c not in ("component_id", "stays")])
+    # columns go by their places meanwhile, so no name can clash with those made here
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text_col, id_col = (f"c{names.index(c)}" for c in (text_col, id_col))
     rows = staged(with_prints(docs, text_col).withColumn("__row", F.monotonically_increasing_id()), "copies-rows")
     # the least id, nulls last; the row number tells repeated ids apart
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row")))
     nodes = rows.groupBy(F.col("__node").alias("node")).agg(first.alias("first"), F.min("__n").alias("n"), F.min("__print").alias("print"), F.count(F.lit(1)).alias("rows"))
     nodes = staged(nodes.withColumn("root", F.col("node")), "copies-nodes")
-    near = staged(nearest_candidates(nodes.where("n > 0")), "copies-nearest")
+    masks = Masks.of(nodes.where("n > 0").count())
+    near = staged(nearest_candidates(nodes.where("n > 0"), masks), "copies-nearest")
     pairs = near.select("node", F.explode("nearest").alias("other"))
     pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = staged(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), "copies-pairs")
@@ -349,7 +383,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     if not more.isEmpty():
         odd = of_texts(more.select("node", "__row"), rows, text_col, parities)
         more = more.join(odd, "node").withColumn("print", F.concat("print", "found"))
-        others = staged(other_candidates(more), "copies-others")
+        others = staged(other_candidates(more, masks), "copies-others")
         if not others.isEmpty():
             # links between components of the first round: a graph of its own, of their roots
             upper = staged(components(verified(others, nodes, rows, text_col, sketched=True).toDF("a", "b")), "copies-components")
@@ -365,7 +399,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     # narrow rows meet first; then only rows of groups travel to the texts
     decided = staged(rows.select("__row", "__node").join(groups, "__node").select("__row", "least"), "copies-decided")
     return rows.join(broadcast_if_few(decided), "__row", "left").select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(c).alias(n) for c, n in zip(docs.columns, names)],
         F.coalesce("least.id", id_col).alias("component_id"),
         F.coalesce(F.col("least.row") == F.col("__row"), F.lit(True)).alias("stays"),
     )

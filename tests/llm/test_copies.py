@@ -90,18 +90,27 @@ def test_tree_and_masks_are_brute_force():
     assert len(got) == len(set(got)) and set(got) == want
     # masks: a pair is found once, at the first mask that it shares
     bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-    weights = 1 << np.arange(N.MASK_BITS)
+    masks = N.Masks(20, 10)
+    weights = 1 << np.arange(masks.bits)
     found = []
-    for t in range(N.MASKS):
-        key = bits[:, N._CHOSEN[t]].astype(np.int64) @ weights + (t << N.MASK_BITS)
+    for t in range(masks.count):
+        key = bits[:, masks.chosen[t]].astype(np.int64) @ weights + (t << N.SHIFT)
         order = np.argsort(key, kind="stable")
         n = np.full(len(key), 10)
-        for i, j, _ in N._masked_pairs(key[order], n, prints[order], np.zeros(len(key), int), None):
+        for i, j, _ in N._masked_pairs(key[order], n, prints[order], np.zeros(len(key), int), None, masks):
             found += [tuple(sorted(x)) for x in zip(order[i].tolist(), order[j].tolist())]
-    share = [(i, j) for i, j, _ in want if any((bits[i, N._CHOSEN[t]] == bits[j, N._CHOSEN[t]]).all() for t in range(N.MASKS))]
+    share = [(i, j) for i, j, _ in want if any((bits[i, masks.chosen[t]] == bits[j, masks.chosen[t]]).all() for t in range(masks.count))]
     assert len(found) == len(set(found)) and set(found) == set(share) and len(share) > 1000
 
 
+def test_masks_follow_the_number_of_nodes():
+    found = [N.Masks.of(n) for n in (0, 1, 500_000, 2_000_000, 15_000_000, 1 << 33)]
+    assert [m.bits for m in found] == [8, 8, 8, 10, 13, 22]
+    for m in found:
+        assert (1 - (1 - N.APART) ** m.bits) ** m.count <= N.MISSED < (1 - (1 - N.APART) ** m.bits) ** (m.count - 1)
+        assert all(len(set(c)) == m.bits for c in m.chosen.tolist())
+
+
 def test_parities_never_drop_a_similar_pair():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 9, 50, 400, 5000):

@@ -46,3 +46,17 @@ def test_stages_keep_columns_and_odd_rows(spark):
     assert sorted(r.text for r in rows) == ["alpha beta gamma delta", "key [SECRET] z"]
     assert len(C.STAGES) == 5 and np.all([callable(f) for _, f in C.STAGES])
     assert C.STAGES[-1][1](spark, now.limit(0), FOLDER).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["language", "_language", "likeness", "__row", "__node", "__n", "__print", "_row", "secret_spans", "least", "root", "node"]
+    rows = [(i, t, "en", "s", 1, *[f"{n}{i}" for n in names]) for i, t in enumerate(["one two three four five six"] * 2 + ["token=abcdefgh1 and more words here", None])]
+    now = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names))
+    before = now.columns
+    for name, stage in C.STAGES[:-1]:
+        now = stage(spark, now, FOLDER)
+        assert now.columns == before, name
+    for r in now.collect():
+        assert r.doc_id in (0, 2) and all(r[n] == f"{n}{r.doc_id}" for n in names)
+        assert r.text == ("one two three four five six" if r.doc_id == 0 else "[SECRET] and more words here")
+    assert now.count() == 2
