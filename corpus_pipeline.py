@@ -14,11 +14,19 @@ from kernloom.llm import copies, decontaminate, language_id, packing, secrets
 from kernloom.llm.common import bounded_batches, documents, staged
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column's name needs."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     bounded_batches(spark)
-    named = language_id.identify(docs, language_id.learn_profiles(docs), lang_out="_language", score_out="_likeness")
-    return named.where(F.col("_language") != language_id.UNKNOWN).select(*docs.columns)
+    lang, score = unused(docs, "language"), unused(docs, "likeness")
+    named = language_id.identify(docs, language_id.learn_profiles(docs), lang_out=lang, score_out=score)
+    return named.where(F.col(lang) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +45,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced."""
     bounded_batches(spark)
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    names = docs.columns
+    clean = secrets.redact(docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(names)])).toDF(*names)
+    return clean.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*names)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens; null texts are empty, null ids stay."""
     bounded_batches(spark)
     return packing.op8_packing(docs)
 
