@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kernloom.functions import rand
+from kernloom.operators import prep
 from kernloom.operators.splitting import batches
 
 SIGMA_FLOOR = 0.1
@@ -82,10 +83,11 @@ def group_sigma(vectors: DataFrame, group_sizes: DataFrame, metric: str = "eucli
     return raw.select("group", "group_ord", (floored * factor).alias("sigma"))
 
 
-def estimate_sigma(vectors: DataFrame, metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", n_features: int = 5000, group_sizes: DataFrame | None = None) -> DataFrame:
-    """Widths of all groups from the same batches of at most 2000 training cells."""
+def estimate_sigma(vectors: DataFrame, metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", n_features: int = 5000, group_sizes: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Widths of all groups from the same batches of at most 2000 training cells. ``cells`` (the training
+    cells, each once) spares a pass over all vectors."""
     train = vectors.where("split = 'train'")
-    cells = train.select("cell_id").distinct()
+    cells = train.select("cell_id").distinct() if cells is None else cells.select("cell_id")
     n = min(cells.count(), SIGMA_CELLS)
     size = min(batch_size, n // n_batches)
     if size < 2:
@@ -136,7 +138,7 @@ def project(vectors: DataFrame, weights: DataFrame, d: int, most_mb: int = 256,
         mb += size
     shares.append(held)
     out = None
-    schema = "cell_id long, split string, group string, group_ord int, z array<double>"
+    schema = f"cell_id {vectors.schema['cell_id'].dataType.simpleString()}, split string, group string, group_ord int, z array<double>"
     for names in shares:
         w = {g: np.zeros((sizes[g], d)) for g in names}
         packed = weights.where(F.col("group").isin(names)).groupBy("group", "i").agg(F.array_sort(F.collect_list(F.struct("j", "w")))["w"].alias("w"))
@@ -185,8 +187,7 @@ def non_empty_cells(matrices: list[DataFrame], cells: DataFrame) -> DataFrame:
     out = cells
     for m in matrices:
         p = m.select("feature").distinct().count()
-        mean = F.sum("value") / p
-        good = m.groupBy("cell_id").agg((F.sum(F.col("value") * F.col("value")) / p - mean * mean).alias("v")).where("v > 1e-12")
+        good = m.groupBy("cell_id").agg(prep.zero_filled(F.col("value"), p)[1].alias("v")).where("v > 1e-12")
         out = out.join(good.select("cell_id"), "cell_id", "left_semi")
     return out
 

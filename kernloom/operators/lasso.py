@@ -265,8 +265,9 @@ class Problem:
         at = lambda t: (self.sums[t], 0) if len(self.sums) > 1 else (self.sums[0], t)
         return {t: solve_certified(at(t)[0], alpha, at(t)[1], starts.get(t)) for t in which}
 
-    def _sum(self, of) -> dict[str, np.ndarray]:
-        """One pass: sums of what ``of`` (Z, targets, masks of a block) gives."""
+    def _sum(self, of, most_tasks: int | None = None) -> dict[str, np.ndarray]:
+        """One pass: sums of what ``of`` (Z, targets, masks of a block) gives. Each task's sums travel, so
+        where they are larger than its rows ``most_tasks`` takes several tasks together."""
         p, targets = len(self.groups) * self.width, self.targets
 
         def each(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -278,7 +279,7 @@ class Problem:
 
         self.passes += 1
         with small_batches(self.blocks.sparkSession, BLOCK):
-            return summed(self.blocks, each)
+            return summed(self.blocks if most_tasks is None else self.blocks.coalesce(most_tasks), each)
 
     def _first_sums(self) -> None:
         """Sums that no model changes: rows, columns, targets, their products."""
@@ -375,7 +376,8 @@ class Problem:
             def of(m: np.ndarray, y: np.ndarray, s: np.ndarray, share=share) -> dict[str, np.ndarray]:
                 return {str(t): (m[:, at] * s[:, [t]]).T @ m[:, at] for t, at in share.items()}
 
-            for t, flat in self._sum(of).items():
+            wide = max(len(at) for at in share.values())
+            for t, flat in self._sum(of, max(1, int(self.n.max()) // wide)).items():
                 at = share[int(t)]
                 gram = flat.reshape(len(at), -1) / self.n[int(t)] - np.outer(mean_z[int(t)][at], mean_z[int(t)][at])
                 self.kept[int(t), tuple(waiting[int(t)])] = gram

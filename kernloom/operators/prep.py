@@ -17,17 +17,23 @@ LEAST_VARIANCE = 1e-5
 ONE = "__one__"
 
 
+def zero_filled(value: Column, n: Column | int) -> tuple[Column, Column]:
+    """(mean, population variance) of ``value`` and as many zeros as there are rows too few for ``n``.
+    The deviations of the rows that there are come merged from (n, mean, M2), so large values with a
+    small variance lose nothing; the zeros are merged the same way."""
+    n = (n if isinstance(n, Column) else F.lit(n)).cast("double")
+    m, mean = F.count(value), F.avg(value)
+    return mean * m / n, (F.var_pop(value) + mean * mean * (n - m) / n) * m / n
+
+
 def feature_variance(matrix: DataFrame, n: Column | int) -> DataFrame:
     """(feature, variance): population variance, absent entries as zeros."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    mean = F.sum("value") / n
-    return matrix.groupBy("feature").agg((F.sum(F.col("value") * F.col("value")) / n - mean * mean).alias("variance"))
+    return matrix.groupBy("feature").agg(zero_filled(F.col("value"), n)[1].alias("variance"))
 
 
 def cell_variance(matrix: DataFrame, cells: DataFrame, n_features: int) -> DataFrame:
     """(cell_id, variance) over ``n_features`` columns; cells without entries have 0."""
-    mean = F.sum("value") / n_features
-    per = matrix.groupBy("cell_id").agg((F.sum(F.col("value") * F.col("value")) / n_features - mean * mean).alias("variance"))
+    per = matrix.groupBy("cell_id").agg(zero_filled(F.col("value"), n_features)[1].alias("variance"))
     return cells.select("cell_id").join(per, "cell_id", "left").withColumn("variance", F.coalesce("variance", F.lit(0.0)))
 
 
@@ -47,8 +53,7 @@ def train_stats(matrix: DataFrame, cells: DataFrame, transform_data: bool = Fals
     n = train.count()
     rows = matrix.join(train, "cell_id", "left_semi")
     shown = F.log1p("value") if transform_data else F.col("value")
-    mean = F.sum("value") / n
-    stats = rows.groupBy("feature").agg((F.sum(shown) / n).alias("mean"), (F.sum(F.col("value") * F.col("value")) / n - mean * mean).alias("var"))
+    stats = rows.groupBy("feature").agg((F.sum(shown) / n).alias("mean"), zero_filled(F.col("value"), n)[1].alias("var"))
     return stats.where(F.col("var") > LEAST_VARIANCE).select("feature", "mean", F.sqrt("var").alias("sd"))
 
 

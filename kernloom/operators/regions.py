@@ -34,20 +34,48 @@ def parse_regions(features: DataFrame, col: str = "feature") -> DataFrame:
     return features.withColumns({"chr": parts[0], "start": parts[1].cast("bigint"), "end": parts[2].cast("bigint")})
 
 
-def overlap_join(regions: DataFrame, genes: DataFrame, width: int = 100_000) -> DataFrame:
-    """(feature, gene_name) of overlapping pairs, each once. Both sides go to bins of ``width``
-    and meet by (chr, bin); a pair counts in the bin where its overlap starts, so nothing is
-    emitted twice and no chromosome is one task."""
-
-    def binned(df: DataFrame) -> DataFrame:
-        low, high = F.floor(F.col("start") / width), F.floor(F.col("end") / width)
-        return df.where(F.col("start") <= F.col("end")).withColumn("_bin", F.explode(F.sequence(low, high)))
-
-    left = binned(regions.select("feature", "chr", "start", "end"))
-    right = binned(genes.select("gene_name", "chr", F.col("start").alias("g_start"), F.col("end").alias("g_end")).select("gene_name", "chr", F.col("g_start").alias("start"), F.col("g_end").alias("end")))
-    right = right.select("gene_name", "chr", "_bin", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    pairs = left.join(right, ["chr", "_bin"]).where(overlaps(F.col("start"), F.col("end"), F.col("g_start"), F.col("g_end")))
-    return pairs.where(F.floor(F.greatest("start", "g_start") / width) == F.col("_bin")).select("feature", "gene_name")
+#: Widths of bins are the narrowest times 8, 64, ...; so many levels hold any interval of bigints.
+LEVELS, STEP = 18, 8
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The level of the narrowest bins that are as wide as the interval is long."""
+    length = end - start + 1
+    level = F.lit(0)
+    for k in range(LEVELS):
+        level = level + (length > F.lit(float(width) * STEP**k)).cast("int")
+    return level
+
+
+def overlap_join(regions: DataFrame, genes: DataFrame, width: int = 1000) -> DataFrame:
+    """(feature, gene_name) of overlapping pairs, each once, through bins of several widths.
+
+    An interval lies in the one or two bins that it touches at the level of its own length, however
+    long it is. Of an overlapping pair the shorter one's bins at the longer one's level hold a bin
+    of the longer one; so each side also goes to the levels above its own that the other side has,
+    and the pair counts in the bin where its overlap starts. (chr, level, bin) is the key: no
+    chromosome is one task. Empty intervals (start after end) overlap nothing."""
+
+    def own(df: DataFrame) -> DataFrame:
+        return df.where(F.col("start") <= F.col("end")).withColumn("_own", _level(F.col("start"), F.col("end"), width))
+
+    def placed(df: DataFrame, levels: list[int]) -> DataFrame:
+        """At the levels given, from the interval's own up."""
+        every = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("_own"))
+        df = df.withColumn("_level", F.explode(every))
+        size = F.pow(F.lit(float(STEP)), F.col("_level")).cast("bigint") * F.lit(width)
+        low, high = F.floor(F.col("start") / size), F.floor(F.col("end") / size)
+        return df.withColumns({"_size": size, "_bin": F.explode(F.sequence(low, high))})
+
+    left = own(regions.select("feature", "chr", "start", "end"))
+    right = own(genes.select("gene_name", "chr", "start", "end"))
+    # a handful of numbers: the levels that occur on each side
+    on_left, on_right = ([r[0] for r in df.select("_own").distinct().orderBy("_own").collect()] for df in (left, right))
+    levels = sorted({*on_left, *on_right})
+    right = placed(right, levels).select("gene_name", "chr", "_level", "_bin", F.col("_own").alias("g_own"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+    pairs = placed(left, levels).join(right, ["chr", "_level", "_bin"]).where(F.col("_level") == F.greatest("_own", "g_own"))
+    pairs = pairs.where(overlaps(F.col("start"), F.col("end"), F.col("g_start"), F.col("g_end")))
+    return pairs.where(F.floor(F.greatest("start", "g_start") / F.col("_size")) == F.col("_bin")).select("feature", "gene_name")
 
 
 def region_groupings(annotation: DataFrame, gene_sets: DataFrame, features: DataFrame, len_up: int = 5000, len_down: int = 5000, distinct: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kernloom.functions.rand import hash_rank
 
@@ -67,9 +68,15 @@ def complement_split(cells: DataFrame, train: DataFrame) -> DataFrame:
 
 def train_first(cells: DataFrame) -> DataFrame:
     """Rows with a split and their new position, training rows first, then by id. Offsets per
-    bucket of ids keep the numbering out of a single task."""
+    bucket of ids keep the numbering out of a single task: of 4,096 numbers, or, where ids are
+    texts (barcodes), between 255 of them drawn at random."""
     rows = cells.where(F.col("split").isin("train", "test")).withColumn("_t", (F.col("split") == "test").cast("int"))
-    rows = rows.withColumn("_b", F.floor(F.col("cell_id") / 4096))
+    if isinstance(cells.schema["cell_id"].dataType, StringType):
+        bounds = sorted({r[0] for r in sample_cells(cells.where("cell_id IS NOT NULL").select("cell_id"), 255, "bounds").collect()})
+        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("cell_id")))
+    else:
+        bucket = F.floor(F.col("cell_id") / 4096)
+    rows = rows.withColumn("_b", bucket)
     counts = rows.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_t", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")

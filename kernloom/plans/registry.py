@@ -89,6 +89,20 @@ def _(spark, d):
     return regions.overlap_join(regions.parse_regions(ad.e_features(spark, d)), regions.promoters(ad.e_annotation(spark, d), 60, 40), 5000)
 
 
+_MIXED = "m AS (SELECT l_orderkey * 10 + l_linenumber AS feature, 'chr' || (l_linenumber % 3) AS chr, l_partkey * 1000 AS s, l_partkey * 1000 + CAST(CASE WHEN l_orderkey % 500 = 0 THEN 100000000 WHEN l_orderkey % 50 = 0 THEN l_quantity * 10000 ELSE l_quantity * 4 END AS BIGINT) AS e FROM lineitem), h AS (SELECT 'g' || p_partkey AS gene_name, 'chr' || (p_partkey % 3) AS chr, p_partkey * 1000 - p_size * 3 AS s, p_partkey * 1000 + CASE WHEN p_partkey % 97 = 0 THEN 50000000 ELSE p_size * 2 END AS e FROM part)"
+
+
+@query("overlap_mixed_lengths", f"WITH {_MIXED} SELECT gene_name, count(*) AS n, CAST(sum(feature) AS BIGINT) AS features FROM m JOIN h ON m.chr = h.chr AND m.s <= h.e AND h.s <= m.e GROUP BY 1")
+def _(spark, d):
+    """Intervals from 4 to 100,000,000 places: how many regions meet each gene, and the sum of their numbers."""
+    line, part = ad.table(spark, d, "lineitem"), ad.table(spark, d, "part")
+    start, p = F.col("l_partkey") * 1000, F.col("p_partkey")
+    length = F.when(F.col("l_orderkey") % 500 == 0, 100_000_000).when(F.col("l_orderkey") % 50 == 0, F.col("l_quantity") * 10_000).otherwise(F.col("l_quantity") * 4)
+    found = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("feature"), F.concat(F.lit("chr"), F.col("l_linenumber") % 3).alias("chr"), start.alias("start"), (start + length.cast("bigint")).alias("end"))
+    genes = part.select(F.concat(F.lit("g"), p).alias("gene_name"), F.concat(F.lit("chr"), p % 3).alias("chr"), (p * 1000 - F.col("p_size") * 3).alias("start"), (p * 1000 + F.when(p % 97 == 0, 50_000_000).otherwise(F.col("p_size") * 2)).alias("end"))
+    return regions.overlap_join(found, genes).groupBy("gene_name").agg(F.count(F.lit(1)).alias("n"), F.sum("feature").alias("features"))
+
+
 @query("region_groupings", e('SELECT g."group", x.feature FROM (SELECT DISTINCT "group" FROM anno) g LEFT JOIN (SELECT DISTINCT "group", feature FROM reg JOIN prom ON reg.chr = prom.chr AND greatest(reg.s, ps) <= least(reg.e, pe)) x ON g."group" = x."group"'))
 def _(spark, d):
     return regions.region_groupings(ad.e_annotation(spark, d), ad.e_sets(spark, d), ad.e_features(spark, d), 60, 40)
@@ -138,6 +152,17 @@ def _(spark, d):
     return ad.b_cells(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("d", splitting.calculate_d(F.col("n")))
 
 
+@query("optimal_d_multiclass", b("SELECT CAST(greatest(100, floor(sqrt(m) * ln(ln(m)))) AS BIGINT) AS d FROM (SELECT median((SELECT count(*) FROM splitb WHERE split = 'test') + 1.5 * n) AS m FROM (SELECT count(*) AS n FROM splitb WHERE split = 'train' GROUP BY label))"))
+def _(spark, d):
+    return spark.createDataFrame([(splitting.choose_d(splitting.stratified_split(ad.b_cells(spark, d)), None, True),)], "d long")
+
+
+@query("fold_cells", a("SELECT cell_id, label, CASE WHEN fold = 1 THEN 'test' ELSE 'train' END AS split FROM (SELECT cell_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5('fold1:' || cell_id), cell_id) - 1) % 4 AS fold FROM splitm WHERE split = 'train')"))
+def _(spark, d):
+    cells = ad.a_split(spark, d, True)
+    return splitting.fold_cells(cells, splitting.folds(cells, 4), 1)
+
+
 @query("median_run_size", b("SELECT median((SELECT count(*) FROM splitb WHERE split = 'test') + 1.5 * n) AS median_size FROM (SELECT count(*) AS n FROM splitb WHERE split = 'train' GROUP BY label)"))
 def _(spark, d):
     return splitting.median_run_size(splitting.stratified_split(ad.b_cells(spark, d)))
@@ -261,6 +286,28 @@ def _(spark, d):
     return rows.select("cell_id", "split", "group", "i", r6("x"))
 
 
+@query("pca_norms", a('SELECT cell_id, split, "group", round(sum(x * x), 6) AS norm FROM vec2 GROUP BY 1, 2, 3'))
+def _(spark, d):
+    """All axes of a group turn its vectors (whose training means are 0) and keep their lengths."""
+    rows = prep.reduce_vectors(ad.a_vectors(spark, d), "pca", 8)
+    return rows.select("cell_id", "split", "group", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v), 6).alias("norm"))
+
+
+@query("moments_large", a("SELECT feature, round((CAST(count(*) * sum(v * v) - sum(v) * sum(v) AS DOUBLE)) / (CAST(count(*) AS DOUBLE) * count(*)), 6) AS variance FROM (SELECT feature, CAST(100000000 + floor(value * 20) AS HUGEINT) AS v FROM mA) GROUP BY feature"))
+def _(spark, d):
+    large = ad.a_matrix(spark, d).withColumn("value", (F.floor(F.col("value") * 20) + 100000000).cast("double"))
+    return prep.feature_variance(large, ad.a_cells(spark, d).count()).select("feature", r6("variance"))
+
+
+@query("flat_cells_planted", b("SELECT cell_id FROM cellsb WHERE cell_id NOT IN (SELECT cell_id FROM mB) UNION ALL SELECT -cell_id FROM cellsb WHERE cell_id % 50 = 7"))
+def _(spark, d):
+    """Cells that are planted with the same value in every feature are flat, as those without entries are."""
+    places, cells = ad.b_features(spark, d), ad.b_cells(spark, d)
+    planted = cells.where("cell_id % 50 = 7").select((-F.col("cell_id")).alias("cell_id"), "label")
+    matrix = ad.b_matrix(spark, d).unionByName(planted.join(F.broadcast(places.agg(F.collect_set("feature").alias("all")))).select("cell_id", F.explode("all").alias("feature"), F.lit(2.5).alias("value")))
+    return prep.zero_variance_cells(matrix, cells.unionByName(planted), places.count()).select("cell_id")
+
+
 @query("svd_reduced")
 def _(spark, d):
     return prep.reduce_vectors(ad.a_vectors(spark, d), "svd", 5).select("cell_id", "split", "group", "x")
@@ -360,6 +407,35 @@ def _(spark, d):
     return kernel.bad_rows(z.withColumn("z", broken)).select("cell_id")
 
 
+@query("z_guard_infinite", a("SELECT cell_id FROM cells2 WHERE cell_id % 100 IN (7, 8)"))
+def _(spark, d):
+    z = _z(spark, d).where("group_ord = 1")
+    bad = lambda sign: F.array(F.lit(1.0), F.lit(sign * float("inf")))
+    broken = F.when(F.col("cell_id") % 100 == 7, bad(1)).when(F.col("cell_id") % 100 == 8, bad(-1)).otherwise(F.col("z"))
+    return kernel.bad_rows(z.withColumn("z", broken)).select("cell_id")
+
+
+def _text_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("cell_id", F.concat(F.lit("c"), F.col("cell_id").cast("string")))
+
+
+_TEXT_SQL = ad.A_SQL.replace("vec_id AS cell_id", "'c' || vec_id AS cell_id")
+
+
+@query("z_text_ids", f'WITH {_TEXT_SQL}, {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, split, "group", CAST(j AS INT) AS j, round(v, 5) AS v FROM z')
+def _(spark, d):
+    """Cells whose ids are texts (barcodes), from the split to Z."""
+    cells = splitting.stratified_split(_text_ids(ad.a_cells(spark, d)))
+    vectors = prep.group_vectors(_text_ids(ad.a_matrix(spark, d)), cells, ad.a_groups(spark)).persist()
+    rows = kernel.calculate_z(vectors, 3, n_batches=4, batch_size=20)[0].select("cell_id", "split", "group", F.posexplode("z").alias("j", "v"))
+    return rows.select("cell_id", "split", "group", "j", F.round("v", 5).alias("v"))
+
+
+@query("train_first_text_ids", f"WITH {_TEXT_SQL} SELECT *, row_number() OVER (ORDER BY CASE WHEN split = 'test' THEN 1 ELSE 0 END, cell_id) - 1 AS pos FROM split2")
+def _(spark, d):
+    return splitting.train_first(splitting.stratified_split(_text_ids(ad.a_cells(spark, d))))
+
+
 @query("combine_concat", a(f', {_SIGMA}, {_PROJ}, {_Z} SELECT cell_id, CASE WHEN g < 4 THEN \'m1-b\' ELSE \'m2-b\' END || g AS "group", CAST(g AS INT) AS group_ord, round(n, 6) AS norm FROM (SELECT cell_id, CAST(substr("group", 2) AS INT) AS g, sqrt(sum(v * v)) AS n FROM z GROUP BY 1, 2)'))
 def _(spark, d):
     z = _z(spark, d)
@@ -487,13 +563,73 @@ def _(spark, d):
     return evaluate.run(*_model(spark, d), ALPHAS)["weights"]
 
 
-@query("lasso_kkt")
+_CERTIFIED = " SELECT CAST(alpha AS DOUBLE) AS alpha, CAST({p} AS BIGINT) AS n_columns, (SELECT count(*) FROM split2 WHERE split = 'train') AS n_rows, true AS gap_closed, true AS optimal FROM (VALUES {v}) t(alpha)"
+_BINARY = "CASE WHEN label = 'a' THEN 1.0D ELSE -1.0D END"
+
+
+def _certified(spark, z, cells, alphas) -> DataFrame:
+    """For each alpha whether the duality gap is closed and the optimality conditions hold to a
+    thousandth of lambda; these are computed from the rows once more, not by the solver."""
+    targets = cells.where("split = 'train'").select("cell_id", F.array(F.expr(_BINARY)).alias("y"))
+    todo, rows, start = lasso.problem(z, targets), [], {}
+    check = lasso.Problem(todo.groups, todo.width, 1, blocks=todo.blocks if todo.blocks is not None else lasso.row_blocks(z, targets, len(todo.groups) * todo.width))
+    check._first_sums()
+    n = float(check.n[0])
+    mean = {0: check.z[:, 0] / n}
+    c = {0: check.zy[:, 0] / n - mean[0] * check.y[0] / n}
+    yy = check.yy[0] / n - (check.y[0] / n) ** 2
+    for alpha in sorted(alphas, reverse=True):
+        w, _, _ = todo.fit(alpha, starts=start)[0]
+        start = {0: w}
+        lam = alpha * abs(check.zy[:, 0]).max() / n
+        q = check._residual_products({0: w}, [0], mean, c)[0]
+        gap = lasso.gap_of(w, q, c[0], yy, lam, todo.width)[0]
+        rows.append((alpha, len(w), int(n), bool(gap <= 1e-5 * yy / 2), bool(lasso.violations(w, q, lam, todo.width).max() < 1e-3)))
+    check.release()
+    return spark.createDataFrame(rows, "alpha double, n_columns long, n_rows long, gap_closed boolean, optimal boolean")
+
+
+@query("lasso_kkt", a(_CERTIFIED.format(p=128, v="(1.2), (0.6), (0.2)")))
 def _(spark, d):
-    z, cells = _model(spark, d)
-    y = F.array(F.when(F.col("label") == "a", 1.0).otherwise(-1.0))
-    sums = lasso.gather_sums(z, cells.where("split = 'train'").select("cell_id", y.alias("y")))
-    rows = [(x, lasso.kkt_residual(sums, lasso.solve(sums, x)[0], x)) for x in ALPHAS]
-    return spark.createDataFrame(rows, "alpha double, residual double")
+    return _certified(spark, *_model(spark, d), ALPHAS)
+
+
+@query("lasso_wide", a(_CERTIFIED.format(p=10000, v="(1.2), (0.9)")))
+def _(spark, d):
+    """Fifty overlapping groups of ten places, a hundred features each: 10,000 columns."""
+    places = spark.range(500).select(F.floor(F.col("id") / 10).cast("int").alias("g"), ((F.floor(F.col("id") / 10) * 5 + F.col("id") % 10 * 7) % 64).alias("i"))
+    groups = places.select(F.concat(F.lit("g"), "g").alias("group"), F.col("g").alias("group_ord"), F.concat(F.lit("f"), F.lpad(F.col("i").cast("string"), 2, "0")).alias("feature"))
+    cells = ad.a_split(spark, d).persist()
+    vectors = prep.group_vectors(ad.a_matrix(spark, d), cells, groups).persist()
+    z = kernel.calculate_z(vectors, 100, n_batches=4, batch_size=20)[0].persist()
+    return _certified(spark, z, cells, [1.2, 0.9])
+
+
+@query("lasso_gaps", a("SELECT CAST(alpha AS DOUBLE) AS alpha, 'b' || g AS \"group\", CAST(g AS INT) AS group_ord, true AS closed FROM (VALUES (1.2), (0.6), (0.2)) t(alpha), range(8) s(g)"))
+def _(spark, d):
+    weights = evaluate.run(*_model(spark, d), ALPHAS)["weights"]
+    return weights.select("alpha", "group", "group_ord", (F.col("gap") <= lasso.GAP).alias("closed"))
+
+
+@query("run_prediction_rows", a("SELECT CAST(alpha AS DOUBLE) AS alpha, cell_id, label AS observed, true AS consistent FROM split2, (VALUES (1.2), (0.6), (0.2)) t(alpha) WHERE split = 'test'"))
+def _(spark, d):
+    rows = evaluate.run(*_model(spark, d), ALPHAS)["predictions"]
+    return rows.select("alpha", "cell_id", "observed", ((F.col("predicted") == F.when(F.col("prob") > 0.5, "a").otherwise("b")) & F.col("prob").between(0, 1)).alias("consistent"))
+
+
+@query("one_v_rest_rows", a(", c AS (SELECT label FROM splitm WHERE split = 'train' INTERSECT SELECT label FROM splitm WHERE split = 'test') SELECT CAST(alpha AS DOUBLE) AS alpha, c.label AS class, cell_id, CASE WHEN s.label = c.label THEN s.label ELSE 'other' END AS observed, true AS consistent FROM splitm s, c, (VALUES (0.6), (0.2)) t(alpha) WHERE split = 'test'"))
+def _(spark, d):
+    rows = evaluate.one_v_rest(_z(spark, d, True, 8), ad.a_split(spark, d, True), [0.6, 0.2], force_balance=True)["predictions"]
+    mine = F.when(F.col("prob") > 0.5, F.col("class")).otherwise("other")
+    return rows.select("alpha", "class", "cell_id", "observed", (F.col("predicted") == mine).alias("consistent"))
+
+
+@query("cv_multiclass", a("SELECT DISTINCT label AS class, true AS of_grid FROM splitm WHERE split = 'train'"))
+def _(spark, d):
+    groups, matrix = ad.a_groups(spark), ad.a_matrix(spark, d).persist()
+    make = lambda cells: kernel.calculate_z(prep.group_vectors(matrix, cells, groups).persist(), 4, n_batches=4, batch_size=20)[0]
+    best = evaluate.optimize_alpha(make, ad.a_split(spark, d, True), [0.2, 0.6], k=2)
+    return spark.createDataFrame([(c, x in (0.2, 0.6)) for c, x in best.items()], "class string, of_grid boolean")
 
 
 @query("one_v_rest")
@@ -620,6 +756,22 @@ def _(spark, d):
     return results.metrics_long(_metric_frame(spark, d))
 
 
+@query("alpha_star", f"WITH {_MT} SELECT alpha, class, \"AUROC\", \"Accuracy\", alpha = 0.2 AS alpha_star FROM mt")
+def _(spark, d):
+    return results.flag_alpha_star(_metric_frame(spark, d), 0.2)
+
+
+@query("weights_many", f'WITH {_WT} SELECT alpha, class, "group", kernel_weight, \'low\' AS key FROM wt WHERE alpha < 1 UNION ALL SELECT alpha, class, "group", kernel_weight, \'high\' FROM wt WHERE alpha >= 1')
+def _(spark, d):
+    weights = _weight_frame(spark, d)
+    return results.many({"low": weights.where("alpha < 1"), "high": weights.where("alpha >= 1")})
+
+
+@query("weights_dotplot", f'WITH {_WT}, t AS (SELECT "group", CAST(row_number() OVER (ORDER BY sum(kernel_weight) DESC, "group") AS INT) AS group_rank FROM wt GROUP BY 1) SELECT "group", alpha, class, CASE WHEN max(kernel_weight) OVER (PARTITION BY class) > 0 THEN kernel_weight / max(kernel_weight) OVER (PARTITION BY class) ELSE 0 END AS kernel_weight, group_rank FROM wt JOIN t USING ("group") WHERE group_rank <= 3')
+def _(spark, d):
+    return results.weights_dotplot(_weight_frame(spark, d), 3, True)
+
+
 @query("metrics_many", f"WITH {_MT} SELECT alpha, class, 'AUROC' AS metric, \"AUROC\" AS value, 'one' AS key FROM mt UNION ALL SELECT alpha, class, 'Accuracy', \"Accuracy\", 'two' FROM mt")
 def _(spark, d):
     long = results.metrics_long(_metric_frame(spark, d))

@@ -24,4 +24,4 @@ def score_stream(vectors: DataFrame, weights: dict[str, np.ndarray], coef: dict[
                     s += np.hstack([np.cos(a), np.sin(a)]) @ coef[g] * math.sqrt(1.0 / w.shape[1])
             yield pd.DataFrame({"cell_id": pdf["cell_id"], "prob": 1 / (1 + np.exp(-s))})
 
-    return vectors.select("cell_id", "x").mapInPandas(run, "cell_id long, prob double")
+    return vectors.select("cell_id", "x").mapInPandas(run, f"cell_id {vectors.schema['cell_id'].dataType.simpleString()}, prob double")

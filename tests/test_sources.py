@@ -66,3 +66,45 @@ def test_regions(spark):
     bad = anno.withColumn("strand", F.lit("."))
     with pytest.raises(Exception, match="strand"):
         regions.promoters(bad).collect()
+
+
+def test_intervals_of_any_length_meet_once(spark):
+    import random
+
+    from kernloom.operators import regions
+
+    rng = random.Random(7)
+    wide = lambda: rng.choice([1, 40, 999, 1000, 1001, 9000, 70_000, 10**6, 10**8, 10**12])
+
+    def some(n):
+        out = []
+        for i in range(n):
+            start = rng.choice([rng.randrange(-5000, 5000), rng.randrange(-(10**8), 10**8)])
+            out.append((str(i), f"chr{i % 2}", start, start + rng.randrange(wide())))
+        return [*out, (str(n), "chr0", 5, 4), (str(n + 1), "chr0", None, 4), (str(n + 2), None, 1, 4)]
+
+    a, b = some(150), some(120)
+    left = spark.createDataFrame(a, "feature string, chr string, start long, end long")
+    right = spark.createDataFrame(b, "gene_name string, chr string, start long, end long")
+    want = sorted((x[0], y[0]) for x in a for y in b if None not in (*x, *y) and x[2] <= x[3] and y[2] <= y[3] and x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+    for width in (10, 1000, 100_000):
+        assert sorted(map(tuple, regions.overlap_join(left, right, width).collect())) == want
+    long = left.where("feature = '0'").withColumns({"start": F.lit(3), "end": F.lit(100_000_003)})
+    assert regions.overlap_join(long, right.limit(0)).count() == 0
+
+
+def test_size_line_and_coding_genes(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket\n%\n" + "% c\n" * 2000 + "2 2 2\n2 2 2\n1 1 5\n")
+    for most in ("128m", "64"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        got = sorted(tuple(r) for r in readers.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect())
+        assert got == [(0, 0, 5.0), (1, 1, 2.0)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "empty.mtx").write_text("%%MatrixMarket\n")
+    assert readers.read_matrix_market(spark, str(tmp_path / "empty.mtx")).count() == 0
+    (tmp_path / "b.csv").write_text("cell_id,feature,value\nAAAC-1,a,2.5\n")
+    assert tuple(readers.read_matrix(spark, str(tmp_path / "b.csv"), "string").first()) == ("AAAC-1", "a", 2.5)
+    line = 'chr1\tsrc\tgene\t1\t2\t.\t+\t.\t{}gene_type "protein_coding";\n'
+    (tmp_path / "g.gtf").write_text(line.format('gene_name "A"; ') + line.format(""))
+    assert [r.gene_name for r in readers.read_gtf(spark, str(tmp_path / "g.gtf"), True).collect()] == ["A"]
+    assert readers.read_gtf(spark, str(tmp_path / "g.gtf")).count() == 2
