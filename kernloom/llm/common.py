@@ -32,15 +32,19 @@ def release_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, row_group_mb: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the stages before.
-    The schema is given on reading, so that empty tables keep it.
+    The schema is given on reading, so that empty tables keep it. ``row_group_mb`` bounds what a
+    writer gathers and a reader decodes at once, for tables of very large values.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if row_group_mb is not None:
+        writer = writer.option("parquet.block.size", row_group_mb << 20)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,15 +57,21 @@ def broadcast_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-#: Rows in an Arrow batch: texts of documents are long, and each task holds several copies of a batch.
+#: Rows and bytes in an Arrow batch: texts of documents are long, staged segments of texts longer, and
+#: each task holds several copies of a batch. A batch ends with the row that reaches either.
 BATCH_ROWS = 1000
+BATCH_MB = 16
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on the session sends ``BATCH_ROWS`` rows at a time to Python, if it sent more."""
+    """From now on the session sends ``BATCH_ROWS`` rows or ``BATCH_MB`` at a time to Python; fewer rows or
+    a limit of bytes that the session has set stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, f"{BATCH_MB}m")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,7 @@ TABLE = 1 << 16  # rows of weights: row numbers have 16 bits
 ROUNDS, STEP, BATCH = 2, 0.25, 8192
 PAIR_LEVELS = 1  # levels of the tree at which pairs count; below, the single words do
 TOKENS, DISTINCT = 500_000, 120_000  # a segment ends with the document that reaches either
+ROW_GROUP_MB = 8  # of staged segments, which are 3 MB each
 END = b" "  # no word holds a blank
 _START = LOCAL + ENDINGS  # context before the first word
 _RUN = 48  # members of a run that are summed beside those of other runs
@@ -464,7 +465,7 @@ def score_rows(rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weigh
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:
     held = crc_mod("doc_id", 10) == 0
-    rows = staged(segments(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")), "lm-segments")
+    rows = staged(segments(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")), "lm-segments", ROW_GROUP_MB)
     counts = staged(count_words(rows), "lm-counts")
     vocabulary = learn_vocabulary(counts)
     return score_rows(rows, counts, vocabulary, train(rows, vocabulary))
