@@ -98,65 +98,82 @@ def estimate_sigma(vectors: DataFrame, metric: str = "euclidean", n_batches: int
     return group_sigma(train.join(F.broadcast(picked), "cell_id"), group_sizes, metric, n_features)
 
 
-def _laplace(seed: str, key: Column) -> Column:
-    return rand.laplace(seed, key)
-
-
-#: Directions by kernel: draw of (seed, key) times a function of sigma.
-KERNELS: dict[str, tuple[Callable[[str, Column], Column], Callable[[Column], Column]]] = {
-    "gaussian": (rand.normal, lambda sigma: 1 / (2 * sigma)),
-    "laplacian": (rand.cauchy, lambda sigma: 1 / (2 * sigma)),
-    "cauchy": (_laplace, lambda sigma: 0.5 * F.sqrt(1 / (2 * sigma * sigma))),
+#: Directions by kernel: draw of (seed, key), the same draws of a grid of keys in numpy, and the
+#: function of sigma (of its column or of its value) that they are multiplied by.
+KERNELS: dict[str, tuple[Callable[[str, Column], Column], Callable[..., np.ndarray], Callable]] = {
+    "gaussian": (rand.normal, rand.grid_normal, lambda sigma: 1 / (2 * sigma)),
+    "laplacian": (rand.cauchy, rand.grid_cauchy, lambda sigma: 1 / (2 * sigma)),
+    "cauchy": (rand.laplace, rand.grid_laplace, lambda sigma: 0.5 * (1 / (2 * sigma * sigma)) ** 0.5),
 }
 
 
 def directions(sigma: DataFrame, sizes: DataFrame, d: int, kernel: str = "gaussian", seed: str = "1") -> DataFrame:
     """(group, i, j, w): direction j < d for place i of the group's vector. ``sizes``: group, n."""
-    draw, scale = KERNELS[kernel.lower()]
+    draw, _, scale = KERNELS[kernel.lower()]
     grid = sigma.join(sizes.select("group", "n"), "group")
     grid = grid.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(d - 1))))
     key = F.concat_ws(":", "group", "i", "j")
     return grid.select("group", "i", "j", (draw(f"w{seed}", key) * scale(F.col("sigma"))).alias("w"))
 
 
-def project(vectors: DataFrame, weights: DataFrame, d: int, most_mb: int = 256, group_sizes: DataFrame | None = None) -> DataFrame:
-    """(cell_id, split, group, group_ord, z): sqrt(1/d) [cos(xW) | sin(xW)], length 2d.
+class Directions:
+    """Draws of groups' directions inside a task: blocks of ``places`` rows, kept while they fit in
+    ``most_mb`` together, else drawn again."""
+
+    def __init__(self, kernel: str, sigma: dict[str, float], d: int, seed: str, most_mb: int) -> None:
+        _, self.draw, self.scale = KERNELS[kernel.lower()]
+        self.sigma, self.d, self.seed = sigma, d, seed
+        self.places = max(1, (32 << 20) // (8 * d))
+        self.room = most_mb * 1_000_000
+        self.kept: dict[tuple[str, int], np.ndarray] = {}
+
+    def block(self, group: str, at: int, stop: int) -> np.ndarray:
+        """Directions of places ``at`` to ``stop`` of a group, as ``directions`` gives them."""
+        w = self.kept.get((group, at))
+        if w is None or len(w) < stop - at:
+            w = self.draw(f"w{self.seed}", group, np.arange(at, stop), self.d) * self.scale(self.sigma[group])
+            if w.nbytes <= self.room:
+                self.room -= w.nbytes
+                self.kept[group, at] = w
+        return w[: stop - at]
+
+    def times(self, group: str, x: np.ndarray) -> np.ndarray:
+        """``x`` times the group's directions."""
+        out = np.zeros((len(x), self.d))
+        for at in range(0, x.shape[1], self.places):
+            own = x[:, at : at + self.places]
+            out += own @ self.block(group, at, at + own.shape[1])
+        return out
+
+
+#: Rows of vectors that a task multiplies at once.
+ROWS = 4096
 
-    The weights of as many groups as ``most_mb`` holds travel at once; each such share of the
-    groups is one pass. ``group_sizes`` (group, n) spares a pass over the weights.
+
+def project(vectors: DataFrame, sigma: DataFrame, d: int, kernel: str = "gaussian", seed: str = "1", most_mb: int = 256) -> DataFrame:
+    """(cell_id, split, group, group_ord, z): sqrt(1/d) [cos(xW) | sin(xW)], length 2d, in one pass over
+    the vectors of all groups that have a width.
+
+    W is never shipped: it is a function of (seed, group, i, j), so each task draws what its rows
+    need and keeps up to ``most_mb`` of it. Only ``sigma`` (a number per group) is sent. A null
+    group has no rows in the result, nor has a group without a width.
     """
-    if group_sizes is None:
-        group_sizes = weights.groupBy("group").agg((F.max("i") + 1).alias("n"))
-    sizes = {r["group"]: r["n"] for r in group_sizes.collect()}
-    shares, held, mb = [], [], 0.0
-    for g in sorted(sizes):
-        size = sizes[g] * d * 8 / 1e6
-        if held and mb + size > most_mb:
-            shares.append(held)
-            held, mb = [], 0.0
-        held.append(g)
-        mb += size
-    shares.append(held)
-    out = None
+    widths = {r["group"]: float(r["sigma"]) for r in sigma.where("group IS NOT NULL").collect()}
     schema = f"cell_id {vectors.schema['cell_id'].dataType.simpleString()}, split string, group string, group_ord int, z array<double>"
-    for names in shares:
-        w = {g: np.zeros((sizes[g], d)) for g in names}
-        packed = weights.where(F.col("group").isin(names)).groupBy("group", "i").agg(F.array_sort(F.collect_list(F.struct("j", "w")))["w"].alias("w"))
-        for batch in packed.toArrow().to_batches():  # at most ``most_mb``, which is then sent to all
-            for g, i, row in zip(batch["group"].to_pylist(), batch["i"].to_pylist(), batch["w"]):
-                w[g][i] = row.values.to_numpy()
-        sent = vectors.sparkSession.sparkContext.broadcast(w)
-
-        def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                for g, rows in pdf.groupby("group", sort=False):
-                    a = np.stack(rows["x"].to_numpy()) @ sent.value[g]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn = Directions(kernel, widths, d, seed, most_mb)
+        for pdf in parts:
+            for g, rows in pdf.groupby("group", sort=False):
+                if g not in widths:
+                    continue
+                for at in range(0, len(rows), ROWS):
+                    own = rows.iloc[at : at + ROWS]
+                    a = drawn.times(g, np.stack(own["x"].to_numpy()))
                     z = np.hstack([np.cos(a), np.sin(a)]) * math.sqrt(1.0 / d)
-                    yield rows.drop(columns="x").assign(z=list(z))
+                    yield own.drop(columns="x").assign(z=list(z))
 
-        part = vectors.where(F.col("group").isin(names)).select("cell_id", "split", "group", F.col("group_ord").cast("int").alias("group_ord"), "x").mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return vectors.select("cell_id", "split", "group", F.col("group_ord").cast("int").alias("group_ord"), "x").mapInPandas(run, schema)
 
 
 def bad_rows(z: DataFrame) -> DataFrame:
@@ -173,13 +190,14 @@ def check_finite(z: DataFrame) -> None:
 def calculate_z(vectors: DataFrame, d: int, kernel: str = "gaussian", metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", sigma: DataFrame | None = None, n_features: int = 5000, group_sizes: DataFrame | None = None, widths_of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(z, sigma) of all groups; sigma is reused if given. ``group_sizes`` (group, group_ord, n) holds
     sizes before any sampling of features; widths come from ``widths_of`` if given."""
-    sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).cast("bigint").alias("n")).persist()
     if sigma is None:
-        sigma = estimate_sigma(vectors if widths_of is None else widths_of, metric, n_batches, batch_size, seed, n_features, sizes if group_sizes is None else group_sizes)
+        if group_sizes is None:
+            group_sizes = vectors.groupBy("group", "group_ord").agg(F.max(F.size("x")).cast("bigint").alias("n"))
+        sigma = estimate_sigma(vectors if widths_of is None else widths_of, metric, n_batches, batch_size, seed, n_features, group_sizes)
     sigma = sigma.persist()  # a row per group, read by the check, the directions and the caller
     if not sigma.where("sigma <= 0").isEmpty():
         raise ValueError("sigma must be positive")
-    return project(vectors, directions(sigma, sizes, d, kernel, seed), d, group_sizes=sizes), sigma
+    return project(vectors, sigma, d, kernel, seed), sigma
 
 
 def non_empty_cells(matrices: list[DataFrame], cells: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kernloom.functions import rand
 from kernloom.functions.rand import hash_rank
 from kernloom.model import Params, build_dataset, from_table
 from kernloom.operators import evaluate, kernel, lasso, prep, results, splitting
@@ -292,3 +295,43 @@ def test_stream_scores_as_a_batch(spark, tmp_path):
 def test_flagship(spark):
     df = registry.flagship(spark, "/root/testdata/sf0.001")
     assert df.columns == ["alpha", "auroc", "n_selected", "top_group"] and df.count() == 3
+
+
+@pytest.mark.parametrize("name", list(kernel.KERNELS))
+def test_directions_drawn_in_tasks_equal_the_column_draws(spark, name):
+    """Names of any length and script, places and directions over several digit counts."""
+    groups = [("g", 0, 0.7), ("ein längerer Name: Gruppe Nr. 7, 漢字, mehr als ein Block", 1, 3.0), ("x" * 120, 2, 1.5)]
+    sigma = spark.createDataFrame(groups, "group string, group_ord int, sigma double")
+    sizes = spark.createDataFrame([(g, 103) for g, _, _ in groups], "group string, n long")
+    want = {g: np.zeros((103, 12)) for g, _, _ in groups}
+    for r in kernel.directions(sigma, sizes, 12, name, "5").collect():
+        want[r["group"]][r["i"], r["j"]] = r["w"]
+    widths = {g: s for g, _, s in groups}
+    for most_mb in (0, 256):  # drawn again, kept
+        drawn = kernel.Directions(name, widths, 12, "5", most_mb)
+        drawn.places = 40
+        x = np.random.default_rng(1).normal(size=(5, 103))
+        for g in want:
+            blocks = [drawn.block(g, at, min(at + 40, 103)) for at in (0, 40, 80)]
+            assert np.allclose(np.vstack(blocks), want[g], rtol=1e-9)
+            assert np.allclose(drawn.times(g, x), x @ want[g], rtol=1e-9)
+        assert bool(drawn.kept) == (most_mb > 0)
+
+
+def test_grid_uniform_follows_md5():
+    rows = np.array([0, 9, 10, 12345, 10**9])
+    got = rand.grid_uniform("s", "group", rows, 101)
+    for i in range(len(rows)):
+        for j in (0, 9, 10, 100):
+            head = int(hashlib.md5(f"s:group:{rows[i]}:{j}".encode()).hexdigest()[:8], 16)
+            assert got[i, j] == (head + 0.5) / 4294967296.0
+    assert rand.grid_uniform("s", "group", [], 3).shape == (0, 3)
+
+
+def test_projection_of_groups_without_width_and_empty_vectors(spark):
+    schema = "cell_id long, split string, group string, group_ord int, x array<double>"
+    sigma = spark.createDataFrame([("g", 0, 1.0)], "group string, group_ord int, sigma double")
+    rows = [(1, "train", "g", 0, [1.0, 2.0]), (1, "train", "h", 1, [1.0]), (2, None, None, None, [3.0]), (3, "test", "g", 0, [1.0, 2.0])]
+    got = {(r["cell_id"], r["group"]): r["z"] for r in kernel.project(spark.createDataFrame(rows, schema), sigma, 3).collect()}
+    assert set(got) == {(1, "g"), (3, "g")} and got[1, "g"] == got[3, "g"] and len(got[1, "g"]) == 6
+    assert kernel.project(spark.createDataFrame([], schema), sigma, 3).count() == 0
