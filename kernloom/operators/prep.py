@@ -136,39 +136,136 @@ def _dense(matrix: DataFrame, cells: DataFrame, groups: DataFrame, stats: DataFr
     return rows.select("cell_id", "split", "group", "group_ord", x.alias("x"))
 
 
-#: Numbers in the Gram matrices that one pass over the vectors sums up.
-PASS = 1 << 25
+#: Groups of at most this many features are fit with as many directions, which is exact in one pass.
+WHOLE = 512
+#: The search for the axes of wider groups ends when no wanted singular value has changed by more
+#: than this share of the largest in a pass, or after ``PASSES`` of them.
+TOLERANCE, PASSES = 1e-8, 40
+#: Numbers in the directions of the groups that are fit at once: 33 MB on the driver and in a task.
+TOGETHER = 1 << 22
 
 
-def _gram(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """By group: (n, sums, Gram matrix) of the vectors ``x``."""
+def _directions(p: int, k: int) -> int:
+    """How many directions a group of ``p`` features is fit with: half as many again as wanted, so that
+    the wanted ones converge sooner."""
+    return p if p <= WHOLE else min(p, k + k // 2 + 10)
+
+
+def train_moments(rows: DataFrame) -> dict[str, tuple[int, np.ndarray]]:
+    """By group: (n, sums) of the vectors ``x``."""
+
+    def of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {g: np.concatenate([[len(own)], np.stack(own["x"].to_numpy()).sum(0)]) for g, own in pdf.groupby("group", sort=False)}
+
+    return {g: (int(flat[0]), flat[1:]) for g, flat in summed(rows.select("group", "x"), of).items()}
+
+
+def _pieces(rows: pd.DataFrame, mean: np.ndarray) -> Iterator[np.ndarray]:
+    """The centred vectors of a batch, some 32 MB at a time."""
+    x = rows["x"].to_numpy()
+    step = max(1, (1 << 22) // max(len(mean), 1))
+    for at in range(0, len(x), step):
+        yield np.stack(x[at : at + step]) - mean
+
+
+def _power(rows: DataFrame, sent) -> dict[str, np.ndarray]:
+    """By group, X'(XV) of the training vectors: as large as V, summed in Spark."""
 
     def of(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         out = {}
         for g, own in pdf.groupby("group", sort=False):
-            full = np.hstack([np.ones((len(own), 1)), np.stack(own["x"].to_numpy())])
-            out[g] = full.T @ full
+            if g in sent.value:
+                mean, v = sent.value[g]
+                out[g] = sum(x.T @ (x @ v) for x in _pieces(own, mean))
         return out
 
-    found = {}
-    for g, flat in summed(rows.select("group", "x"), of).items():
-        size = int(round(len(flat) ** 0.5))
-        m = flat.reshape(size, size)
-        found[g] = int(m[0, 0]), m[0, 1:], m[1:, 1:]
+    return {g: flat.reshape(sent.value[g][1].shape) for g, flat in summed(rows.select("group", "x"), of).items()}
+
+
+def _factors(rows: DataFrame, sent) -> dict[str, np.ndarray]:
+    """By group, R of the tall and narrow XV = QR: each task folds its rows into a small triangle,
+    triangles of one group meet by sixteenths, then once more."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for pdf in parts:
+            for g, own in pdf.groupby("group", sort=False):
+                if g in sent.value:
+                    mean, v = sent.value[g]
+                    for x in _pieces(own, mean):
+                        y = x @ v
+                        held[g] = np.linalg.qr(np.vstack([held[g], y]) if g in held else y, mode="r")
+        yield from triangles(held)
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for pdf in parts:
+            for g, r in zip(pdf["group"], pdf["r"]):
+                own = np.frombuffer(r).reshape(-1, sent.value[g][1].shape[1])
+                held[g] = np.linalg.qr(np.vstack([held[g], own]), mode="r") if g in held else own
+        yield from triangles(held)
+
+    def triangles(held: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        if held:
+            yield pd.DataFrame({"group": list(held), "r": [np.ascontiguousarray(r).tobytes() for r in held.values()]})
+
+    schema = "group string, r binary"
+    small = rows.select("group", "x").mapInPandas(fold, schema).withColumn("salt", F.spark_partition_id() % 16)
+    small = small.repartition("group", "salt").select("group", "r").mapInPandas(meet, schema)
+    return {r["group"]: np.frombuffer(r["r"]).reshape(-1, sent.value[r["group"]][1].shape[1]) for r in small.repartition("group").mapInPandas(meet, schema).collect()}
+
+
+def leading_axes(rows: DataFrame, moments: dict[str, tuple[int, np.ndarray]], k: int, centred: bool) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By group: (mean, axes[p, k'], singular values) of its training vectors, largest first; k' is k,
+    or the number of features if smaller. The mean is 0 where not ``centred``.
+
+    A randomised range finder: ``_directions`` random directions, multiplied by X'X in one pass over
+    the rows and made orthogonal, until the singular values stand still; those come from the
+    triangles of XV, never from squares. Beyond ``WHOLE`` features no p x p matrix is made: the
+    driver and a task hold p times ``_directions`` numbers of the groups given, some copies of them.
+    Groups without features are left out.
+    """
+    spark = rows.sparkSession
+    found, now = {}, {}
+    for g in sorted(moments):
+        n, sums = moments[g]
+        p = len(sums)
+        if not p:
+            continue
+        start = np.random.default_rng(p).normal(size=(p, _directions(p, k)))
+        now[g] = (sums / n if centred else np.zeros(p)), np.linalg.qr(start)[0]
+    before: dict[str, np.ndarray] = {}
+    for turn in range(PASSES + 1):
+        if not now:
+            break
+        sent = spark.sparkContext.broadcast(now)
+        for g, r in _factors(rows, sent).items():
+            _, s, w = np.linalg.svd(r)
+            mean, v = now[g]
+            s = np.concatenate([s, np.zeros(v.shape[1] - len(s))])
+            wanted = min(k, v.shape[1])
+            whole = v.shape[0] == v.shape[1]  # all directions: nothing is left to find
+            still = g in before and np.all(np.abs(s - before[g])[:wanted] <= TOLERANCE * max(s[0], 1e-300))
+            before[g] = s
+            if whole or still or turn == PASSES:
+                found[g] = mean, (v @ w.T)[:, :wanted], s[:wanted]
+        now = {g: x for g, x in now.items() if g not in found}
+        if now:
+            left = spark.sparkContext.broadcast(now)
+            now = {g: (now[g][0], np.linalg.qr(y)[0]) for g, y in _power(rows, left).items()}
+            left.unpersist()
+        sent.unpersist()
     return found
 
 
-def pca_axes(n: int, s: np.ndarray, g: np.ndarray, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, axes[p, min(k, p)]) of training vectors, largest variance first."""
-    mean = s / n
-    _, axes = np.linalg.eigh(g - n * np.outer(mean, mean))
-    return mean, axes[:, ::-1][:, : min(k, len(s))]
+def pca_axes(rows: DataFrame, moments: dict, k: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By group (mean, axes[p, min(k, p)]) of training vectors, largest variance first."""
+    return {g: (mean, axes) for g, (mean, axes, _) in leading_axes(rows, moments, k, True).items()}
 
 
-def svd_axes(n: int, s: np.ndarray, g: np.ndarray, k: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, axes) of the uncentred vectors, the first axis dropped."""
-    _, axes = np.linalg.eigh(g)
-    return np.zeros(len(s)), axes[:, ::-1][:, 1 : min(k, len(s))]
+def svd_axes(rows: DataFrame, moments: dict, k: int = 50) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By group (zeros, axes) of the uncentred vectors, the first axis dropped."""
+    return {g: (mean, axes[:, 1:]) for g, (mean, axes, _) in leading_axes(rows, moments, k, False).items()}
 
 
 REDUCTIONS = {"pca": pca_axes, "svd": svd_axes, None: None, "None": None}
@@ -183,25 +280,27 @@ def get_reduction(name: str | None):
 
 def reduce_vectors(vectors: DataFrame, name: str | None, k: int = 50) -> DataFrame:
     """Each group's vectors on the axes fit on its training rows; axes have at most k columns.
-    Groups are taken in shares whose Gram matrices have ``PASS`` numbers together. Vectors of a
-    group without training rows give no rows; a single feature under ``svd`` gives empty ones."""
+    Groups are fit in shares whose directions have ``TOGETHER`` numbers (one group may have more).
+    Vectors of a group without training rows or features give no rows; a single feature under ``svd`` gives
+    empty ones."""
     fit = get_reduction(name)
     if fit is None:
         return vectors
-    sizes = {r["group"]: r["n"] for r in vectors.groupBy("group").agg(F.max(F.size("x")).alias("n")).collect()}
-    shares: list[list[str]] = [[]]
-    room = PASS
-    for g in sorted(sizes):
-        need = (sizes[g] + 1) ** 2
+    train = vectors.where("split = 'train'")
+    moments = train_moments(train)
+    shares: list[dict] = [{}]
+    room = TOGETHER
+    for g in sorted(moments):
+        need = len(moments[g][1]) * _directions(len(moments[g][1]), k)
         if shares[-1] and need > room:
-            shares.append([])
-            room = PASS
-        shares[-1].append(g)
+            shares.append({})
+            room = TOGETHER
+        shares[-1][g] = moments[g]
         room -= need
     out = None
-    for names in shares:
-        own = vectors.where(F.col("group").isin(names))
-        axes = {g: fit(*sums, k) for g, sums in _gram(own.where("split = 'train'")).items()}
+    for share in shares:
+        own = vectors.where(F.col("group").isin(list(share)))
+        axes = fit(own.where("split = 'train'"), share, k)
         sent = vectors.sparkSession.sparkContext.broadcast(axes)  # p x k numbers per group of a share
 
         def run(parts: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -209,7 +308,7 @@ def reduce_vectors(vectors: DataFrame, name: str | None, k: int = 50) -> DataFra
                 for g, rows in pdf.groupby("group", sort=False):
                     if g in sent.value:
                         mean, at = sent.value[g]
-                        yield rows.assign(x=list((np.stack(rows["x"].to_numpy()) - mean) @ at))
+                        yield rows.assign(x=[row for x in _pieces(rows, mean) for row in x @ at])
 
         part = own.mapInPandas(run, vectors.schema)
         out = part if out is None else out.unionByName(part)

@@ -308,6 +308,16 @@ def _(spark, d):
     return prep.zero_variance_cells(matrix, cells.unionByName(planted), places.count()).select("cell_id")
 
 
+@query("singular_values", a('SELECT "group", CAST(2 AS INT) AS power, round(sum(x * x), 5) AS total FROM vec2 WHERE split = \'train\' GROUP BY 1 UNION ALL SELECT "group", 4, round(sum(g * g), 3) FROM (SELECT p."group", sum(p.x * q.x) AS g FROM vec2 p JOIN vec2 q ON p.cell_id = q.cell_id AND p."group" = q."group" WHERE p.split = \'train\' GROUP BY 1, p.i, q.i) GROUP BY 1'))
+def _(spark, d):
+    """Sums of the second and fourth powers of each group's singular values; SQL takes them from the entries
+    and from the products of features."""
+    train = ad.a_vectors(spark, d).where("split = 'train'")
+    found = prep.leading_axes(train, prep.train_moments(train), 8, False)
+    rows = [(g, k, float(round((s**k).sum(), at))) for g, (_, _, s) in found.items() for k, at in ((2, 5), (4, 3))]
+    return spark.createDataFrame(rows, "`group` string, power int, total double")
+
+
 @query("svd_reduced")
 def _(spark, d):
     return prep.reduce_vectors(ad.a_vectors(spark, d), "svd", 5).select("cell_id", "split", "group", "x")

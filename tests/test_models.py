@@ -335,3 +335,30 @@ def test_projection_of_groups_without_width_and_empty_vectors(spark):
     got = {(r["cell_id"], r["group"]): r["z"] for r in kernel.project(spark.createDataFrame(rows, schema), sigma, 3).collect()}
     assert set(got) == {(1, "g"), (3, "g")} and got[1, "g"] == got[3, "g"] and len(got[1, "g"]) == 6
     assert kernel.project(spark.createDataFrame([], schema), sigma, 3).count() == 0
+
+
+def test_leading_axes_of_wide_vectors(spark):
+    """More features than rows, a decaying spectrum, ties and constant features: the subspace and the
+    singular values of numpy, without a matrix of features times features."""
+    rng = np.random.default_rng(4)
+    left, _ = np.linalg.qr(rng.normal(size=(120, 40)))
+    right, _ = np.linalg.qr(rng.normal(size=(3000, 40)))
+    x = (left * (50 * 0.7 ** np.arange(40))) @ right.T + 3.0
+    rows = [(i, "train" if i < 100 else "test", "wide", 0, x[i].tolist()) for i in range(120)]
+    rows += [(i, "train", "same", 1, [2.0, 5.0]) for i in range(4)]  # no variance at all
+    rows += [(200, "test", "unfit", 2, [1.0])]
+    vectors = spark.createDataFrame(rows, "cell_id long, split string, group string, group_ord int, x array<double>").repartition(5).persist()
+    train = vectors.where("split = 'train'")
+    moments = prep.train_moments(train)
+    for centred in (True, False):
+        found = prep.leading_axes(train, moments, 8, centred)
+        mean, axes, s = found["wide"]
+        _, want_s, want = np.linalg.svd(x[:100] - (x[:100].mean(0) if centred else 0), full_matrices=False)
+        assert axes.shape == (3000, 8) and np.allclose(s, want_s[:8], rtol=1e-6)
+        assert np.allclose(np.abs((axes * want[:8].T).sum(0)), 1, atol=1e-5)
+        assert np.allclose(axes.T @ axes, np.eye(8), atol=1e-9)
+        assert found["same"][1].shape == (2, 2)
+    got = prep.reduce_vectors(vectors, "pca", 8).collect()
+    assert sorted({r["group"] for r in got}) == ["same", "wide"] and len(got) == 124
+    assert all(np.allclose(r["x"], 0) for r in got if r["group"] == "same")
+    assert prep.reduce_vectors(vectors.where("group = 'unfit'"), "svd").count() == 0
