@@ -94,7 +94,7 @@ def multimodal_processing(datasets: list[Dataset], names: list[str], tfidf: list
     for data, weigh in zip(datasets, tfidf):
         own = data.with_(cells=cells, matrix=data.matrix.join(cells.select("cell_id"), "cell_id", "left_semi"))
         if weigh:
-            own = own.with_(matrix=prep.tfidf_dataset(own.matrix, cells))
+            own = own.with_(matrix=prep.tfidf_dataset(own.matrix, cells, check=True))
         done.append(calculate_z(own, n_batches=n_batches, batch_size=batch_size))
     z = kernel.combine([x.z for x in done], names, combination)
     groups = z.select("group", "group_ord").distinct()
@@ -103,7 +103,7 @@ def multimodal_processing(datasets: list[Dataset], names: list[str], tfidf: list
 
 def process_fold(datasets: list[Dataset], names: list[str], tfidf: list[bool], combination: str = "concatenate", n_batches: int = 10, batch_size: int = 100) -> Dataset:
     """A fold's Z: of several modalities as ``multimodal_processing``; of one alone with TF-IDF of
-    its presences where asked."""
+    its presences where asked, cells without entries included."""
     if len(datasets) > 1:
         return multimodal_processing(datasets, names, tfidf, combination, n_batches, batch_size)
     data = datasets[0]

@@ -90,8 +90,17 @@ def tfidf_train_test(matrix: DataFrame, cells: DataFrame) -> DataFrame:
     return rows.join(weights, "feature").select("cell_id", "feature", (F.col("value") * F.col("idf")).alias("value"))
 
 
-def tfidf_dataset(matrix: DataFrame, cells: DataFrame, binarize: bool = False) -> DataFrame:
-    """Training cells by the training idf, test cells by the idf of all cells."""
+def cells_without_weight(matrix: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell_id) of the cells whose values don't sum to more than 0; those without entries sum to 0."""
+    sums = matrix.groupBy("cell_id").agg(F.sum("value").alias("_s"))
+    return cells.select("cell_id").join(sums.where("_s > 0"), "cell_id", "left_anti")
+
+
+def tfidf_dataset(matrix: DataFrame, cells: DataFrame, binarize: bool = False, check: bool = False) -> DataFrame:
+    """Training cells by the training idf, test cells by the idf of all cells. With ``check``, ValueError
+    if the values of a cell don't sum to more than 0."""
+    if check and not cells_without_weight(matrix, cells).isEmpty():
+        raise ValueError("TF-IDF needs a positive sum of every cell's values")
     if binarize:
         matrix = matrix.withColumn("value", F.when(F.col("value") > 0, 1.0).otherwise(0.0))
     train = cells.where("split = 'train'").select("cell_id")

@@ -275,6 +275,11 @@ def _(spark, d):
     return prep.tfidf_dataset(ad.c_matrix(spark, d), ad.c_split(spark, d), True).select("cell_id", "feature", r6("value"))
 
 
+@query("cells_without_weight", b("SELECT cell_id FROM cellsb LEFT JOIN mB USING (cell_id) GROUP BY cell_id HAVING coalesce(sum(value), 0) <= 0"))
+def _(spark, d):
+    return prep.cells_without_weight(ad.b_matrix(spark, d), ad.b_cells(spark, d))
+
+
 @query("group_feature_sample", b('SELECT "group", feature FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY md5(\'features1:\' || "group" || \':\' || feature), "group" || \':\' || feature) AS rn FROM gB) WHERE rn <= 3'))
 def _(spark, d):
     return prep.sample_features(ad.b_groups(spark, d), 3).select("group", "feature")

@@ -131,3 +131,13 @@ def test_empty_inputs_have_named_errors(data):
         Params(distance="x")
     with pytest.raises(ValueError):
         Params(reduction="x")
+
+
+def test_tfidf_needs_positive_sums(spark):
+    cells = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train")], "cell_id long, split string")
+    matrix = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0), (2, "b", -1.0)], "cell_id long, feature string, value double")
+    assert sorted(r[0] for r in prep.cells_without_weight(matrix, cells).collect()) == [2, 3]
+    assert prep.tfidf_dataset(matrix, cells).count() == 3  # unchecked
+    with pytest.raises(ValueError):
+        prep.tfidf_dataset(matrix, cells, check=True)
+    prep.tfidf_dataset(matrix, cells.where("cell_id = 1"), check=True)
