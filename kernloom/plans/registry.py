@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernloom.functions import rand
-from kernloom.operators import evaluate, features, kernel, lasso, library, prep, regions, results, splitting
+from kernloom.operators import evaluate, features, kernel, lasso, layout, library, prep, regions, results, splitting
 from kernloom.model import Dataset, Params
 from kernloom.plans import adapters as ad
 
@@ -832,6 +832,16 @@ def _(spark, d):
     return results.group_embedding(ad.b_matrix(spark, d), splitting.stratified_split(ad.b_cells(spark, d)), ad.b_groups(spark, d), ["Brand#1", "Brand#2"])
 
 
+@query("group_layout")
+def _(spark, d):
+    return layout.group_layout(ad.b_matrix(spark, d), splitting.stratified_split(ad.b_cells(spark, d)), ad.b_groups(spark, d), ["Brand#1", "Brand#2"])
+
+
+@query("neighbour_graph")
+def _(spark, d):
+    return layout.neighbours(ad.table(spark, d, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("x")))
+
+
 @query("random_draws", "SELECT o_orderkey, round(sqrt(-2.0 * ln(((('0x' || substr(md5('sa:' || o_orderkey), 1, 8))::BIGINT + 0.5) / 4294967296.0))) * cos(2 * pi() * ((('0x' || substr(md5('sb:' || o_orderkey), 1, 8))::BIGINT + 0.5) / 4294967296.0)), 6) AS n FROM orders")
 def _(spark, d):
     return ad.table(spark, d, "orders").select("o_orderkey", F.round(rand.normal("s", F.col("o_orderkey")), 6).alias("n"))
