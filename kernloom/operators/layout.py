@@ -68,7 +68,7 @@ def _within_block(k: int):
     return run
 
 
-def _local_joins(names: list[str]):
+def _local_joins():
     """Rows sorted by ``centre``: the members of one list are tried as neighbours of one another, where
     one of the two is new to it and the pair is nearer than the member's farthest neighbour."""
 
@@ -116,37 +116,41 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n")
 
 
-def neighbours(points: DataFrame, k: int = 15, rounds: int = 15, settled: float = 0.001, block: int = COMPARED, seed: str = "1") -> DataFrame:
+def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15, settled: float = 0.001, block: int = COMPARED, seed: str = "1") -> DataFrame:
     """(cell_id, other, distance): the k nearest others of each point (all others, if fewer), Euclidean.
 
     Neighbour descent: points of one random block are compared first, twice; then each round joins
     every point's neighbours, and as many of those that have it as theirs, with one another, until
-    fewer than ``settled`` of the links change. Up to ``block`` points the result is exact, beyond that
-    nearly so (tests measure its recall). A list holds 2k members at most, so one round's shuffle is
-    2k vectors a point, whatever the number of points near one hub. Points with a NaN have no neighbours.
+    fewer than ``settled`` of the links change. The search keeps ``wider`` times k neighbours of each
+    point. Up to ``block`` points the result is exact, beyond that nearly so (tests measure its
+    recall). A list holds 2 * ``wider`` * k members at most, so one round's shuffle is as many
+    vectors a point, whatever the number of points near one hub. Points with a NaN have no neighbours.
     """
     points = cut(points.select("cell_id", F.col("x").cast("array<double>").alias("x")))
     n = points.count()
+    kept = wider * k if n > block else k
     schema = _graph_schema(points)
     starts = None
     for turn in range(2 if n > block else 1):
         near = points.withColumn("_b", _block(f"{seed}:{turn}", n, block) if n else F.lit(0)).groupBy("_b")
-        near = near.applyInArrow(_drop_block(_within_block(k)), schema)
+        near = near.applyInArrow(_drop_block(_within_block(kept)), schema)
         starts = near if starts is None else starts.unionByName(near)
-    graph = cut(_best(starts.withColumn("new", F.lit(1)), k))
+    graph = cut(_best(starts.withColumn("new", F.lit(1)), kept))
     for turn in range(rounds if n > block else 0):
         back = Window.partitionBy("centre").orderBy(F.xxhash64(F.lit(turn), "centre", "member"))
         ahead = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "new")
         behind = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "new")
-        behind = behind.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= k).drop("_n")
+        behind = behind.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= kept).drop("_n")
         lists = ahead.unionByName(behind).groupBy("centre", "member").agg(F.max("new").alias("new"))
-        far = graph.groupBy(F.col("u").alias("member")).agg(F.when(F.count("*") < k, math.inf).otherwise(F.max("d")).alias("worst"))
+        far = graph.groupBy(F.col("u").alias("member")).agg(F.when(F.count("*") < kept, math.inf).otherwise(F.max("d")).alias("worst"))
         held = points.withColumnRenamed("cell_id", "member").join(far, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(math.inf)))
         rows = lists.join(held, "member").select("centre", "member", "x", "worst", "new")
-        tried = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_joins(rows.columns), schema)
-        graph = cut(_best(graph.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))), k))
-        if (graph.agg(F.sum("new")).first()[0] or 0) < settled * k * n:
+        tried = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_joins(), schema)
+        graph = cut(_best(graph.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))), kept))
+        if (graph.agg(F.sum("new")).first()[0] or 0) < settled * kept * n:
             break
+    if kept > k:
+        graph = _best(graph, k)
     return graph.select(F.col("u").alias("cell_id"), F.col("v").alias("other"), F.sqrt("d").alias("distance"))
 
 
