@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,6 +78,50 @@ def overlap_join(regions: DataFrame, genes: DataFrame, width: int = 1000) -> Dat
     return pairs.where(F.floor(F.greatest("start", "g_start") / F.col("_size")) == F.col("_bin")).select("feature", "gene_name")
 
 
+#: Stretches that the genes' range of positions is cut into at most, for running totals.
+STRETCHES = 1 << 16
+
+
+def overlap_totals(regions: DataFrame, genes: DataFrame, value: str) -> DataFrame:
+    """(gene_name, n, total) of the genes that any region overlaps: in how many pairs of ``overlap_join``
+    they are, and the sum of the regions' ``value`` (whole numbers; null counts as 0) over these.
+
+    No pair is formed, so the work grows with the intervals, however many overlap. A region overlaps
+    a gene if it starts at or before the gene's end, less those that end before the gene's start: the
+    difference of two running totals along the chromosome. Values are summed by position first; then
+    positions are cut into stretches, each carrying the totals before it, so that (chr, stretch)
+    is the key. Empty intervals (start after end) overlap nothing."""
+    exact = "decimal(38,0)"  # all regions' totals may not fit a long where each gene's do
+    there = (F.col("start") <= F.col("end")) & F.col("chr").isNotNull()
+    genes = genes.where(there)
+    low, high = genes.agg(F.min("start"), F.max("end")).first()
+    low, high = (0, 0) if low is None else (low, high)
+
+    def entry(kind: int, pos: Column, sign: int) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), pos.alias("_pos"), F.lit(sign).alias("_sign"))
+
+    # starts (0) and ends (1); all before the first gene is one place, and nothing after the last counts
+    first = F.lit(low) - 1
+    ends = F.explode(F.array(*[entry(k, F.greatest(F.col(c), first), 0) for k, c in enumerate(("start", "end"))]))
+    rows = regions.where(there).select("chr", F.coalesce(F.col(value).cast("bigint"), F.lit(0)).cast(exact).alias("_v"), ends.alias("e")).where(F.col("e._pos") <= high)
+    rows = rows.groupBy("chr", "e._kind", "e._pos", "e._sign").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").cast(exact).alias("_v"))
+    rows = rows.withColumn("gene_name", F.lit(None).cast(genes.schema["gene_name"].dataType))
+    asked = genes.select("chr", "gene_name", F.explode(F.array(entry(0, F.col("end"), 1), entry(1, F.col("start") - 1, -1))).alias("e"))
+    asked = asked.select("chr", "gene_name", "e.*", F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast(exact).alias("_v"))
+    both = rows.unionByName(asked).withColumn("_s", F.floor((F.col("_pos") - first) / F.lit((high - low + 1) // STRETCHES + 1)))
+
+    before = Window.partitionBy("chr", "_kind").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("chr", "_kind", "_s").agg(F.sum("_n").alias("_n"), F.sum("_v").cast(exact).alias("_v"))
+    sums = sums.select("chr", "_kind", "_s", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast(t).alias(f"{c}0") for c, t in (("_n", "bigint"), ("_v", exact))])
+    # regions' entries come before the genes' of the same place
+    inner = Window.partitionBy("chr", "_kind", "_s").orderBy("_pos", F.abs("_sign")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.select("chr", "_kind", "_s", "_sign", "gene_name", F.sum("_n").over(inner).alias("_n"), F.sum("_v").over(inner).cast(exact).alias("_v"))
+    found = found.where("_sign <> 0").join(sums, ["chr", "_kind", "_s"])
+    n = F.sum(F.col("_sign") * (F.col("_n") + F.col("_n0"))).alias("n")
+    total = F.sum(F.when(F.col("_sign") > 0, F.col("_v") + F.col("_v0")).otherwise(-F.col("_v") - F.col("_v0")).cast(exact)).cast("bigint").alias("total")
+    return found.groupBy("gene_name").agg(n, total).where("n > 0")
+
+
 def region_groupings(annotation: DataFrame, gene_sets: DataFrame, features: DataFrame, len_up: int = 5000, len_down: int = 5000, distinct: bool = True) -> DataFrame:
     """(group, feature): regions overlapping the promoter of a member of the group; groups without
     any have one row with a null feature. ``distinct=False`` keeps one row per overlap."""

@@ -108,3 +108,36 @@ def test_size_line_and_coding_genes(spark, tmp_path):
     (tmp_path / "g.gtf").write_text(line.format('gene_name "A"; ') + line.format(""))
     assert [r.gene_name for r in readers.read_gtf(spark, str(tmp_path / "g.gtf"), True).collect()] == ["A"]
     assert readers.read_gtf(spark, str(tmp_path / "g.gtf")).count() == 2
+
+
+def test_totals_of_overlaps_without_pairs(spark, monkeypatch):
+    """As counted from the pairs, for any lengths, ties, repeats, nulls and empty intervals."""
+    import random
+
+    from kernloom.plans import registry
+
+    rng = random.Random(11)
+
+    def some(n):
+        starts = [rng.choice([rng.randrange(-40, 40), rng.randrange(-(10**6), 10**6)]) for _ in range(n)]
+        return [(i % (n - 3), f"chr{i % 2}", s, s + rng.choice([-1, 0, 1, 30, 10**5, 10**8])) for i, s in enumerate(starts)]
+
+    a = [*some(300), (7, None, 1, 4), (None, "chr1", 0, 9), (2**62, "chr0", 0, 5), (2**62, "chr0", 50, 55), (8, "chr1", None, 4)]
+    b = [*some(120), (200, None, 1, 4), (201, "chr2", 0, 9), (202, "chr0", 1, None)]
+    left = spark.createDataFrame(a, "feature long, chr string, start long, end long")
+    right = spark.createDataFrame(b, "g long, chr string, start long, end long").withColumn("gene_name", F.concat(F.lit("g"), "g")).drop("g")
+    want = {}
+    for f, c, s, e in a:
+        for g, d, t, u in b:
+            if None not in (c, s, e, d, t, u) and s <= e and t <= u and c == d and s <= u and t <= e:
+                n, total = want.get(f"g{g}", (0, 0))
+                want[f"g{g}"] = n + 1, total + (f or 0)
+    want = {g: v for g, v in want.items() if v[1] < 2**63}
+    for stretches in (regions.STRETCHES, 3):
+        monkeypatch.setattr(regions, "STRETCHES", stretches)
+        some_genes = right.where(F.col("gene_name").isin(list(want)) | F.col("gene_name").isin("g200", "g201", "g202"))
+        assert {r[0]: (r[1], r[2]) for r in regions.overlap_totals(left, some_genes, "feature").collect()} == want
+    assert regions.overlap_totals(left, right.limit(0), "feature").count() == 0
+    # the registered query forms no pairs
+    monkeypatch.setattr(regions, "overlap_join", None)
+    assert registry.queries()["overlap_mixed_lengths"](spark, "/root/testdata/sf0.001").count() > 0
