@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernloom.functions.lineage import cut
+
 
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Closed intervals share a point."""
@@ -124,11 +126,14 @@ def overlap_totals(regions: DataFrame, genes: DataFrame, value: str) -> DataFram
 
 def region_groupings(annotation: DataFrame, gene_sets: DataFrame, features: DataFrame, len_up: int = 5000, len_down: int = 5000, distinct: bool = True) -> DataFrame:
     """(group, feature): regions overlapping the promoter of a member of the group; groups without
-    any have one row with a null feature. ``distinct=False`` keeps one row per overlap."""
+    any have one row with a null feature. ``distinct=False`` keeps one row per overlap. The rows are
+    checkpointed, to see which groups they leave out; no task takes a group's rows together."""
     sets = gene_sets.where(F.col("gene").isNotNull()).select("group", "gene").distinct()
     wanted = annotation.join(sets.select(F.col("gene").alias("gene_name")).distinct(), "gene_name", "left_semi")
     found = overlap_join(parse_regions(features.select("feature")), promoters(wanted, len_up, len_down))
     member = sets.join(found.withColumnRenamed("gene_name", "gene"), "gene").select("group", "feature")
     if distinct:
         member = member.distinct()
-    return gene_sets.select("group").distinct().join(member, "group", "left")
+    member = cut(member)
+    without = gene_sets.select("group").distinct().join(member.select("group").distinct(), "group", "left_anti")
+    return member.unionByName(without.withColumn("feature", F.lit(None).cast("string")))

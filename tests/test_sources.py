@@ -141,3 +141,18 @@ def test_totals_of_overlaps_without_pairs(spark, monkeypatch):
     # the registered query forms no pairs
     monkeypatch.setattr(regions, "overlap_join", None)
     assert registry.queries()["overlap_mixed_lengths"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_regions_of_a_large_group_stay_dealt_out(spark):
+    anno = spark.range(400).select(F.lit("chr1").alias("chr"), (F.col("id") * 1000).alias("start"), (F.col("id") * 1000 + 9).alias("end"), F.lit("+").alias("strand"), F.concat(F.lit("g"), "id").alias("gene_name"))
+    sets = anno.select(F.lit("all").alias("group"), F.col("gene_name").alias("gene")).unionByName(spark.createDataFrame([("none", "x"), (None, "x")], "group string, gene string"))
+    feats = anno.select(F.concat_ws("-", "chr", "start", "end").alias("feature"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for distinct in (True, False):
+            rows = regions.region_groupings(anno, sets, feats, 5, 5, distinct).withColumn("_p", F.spark_partition_id()).persist()
+            assert rows.count() == 402 and rows.where("feature IS NULL").count() == 2
+            assert rows.where("group = 'all'").groupBy("_p").count().agg(F.max("count")).first()[0] < 200
+            rows.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
