@@ -23,7 +23,10 @@ def summed(rows: DataFrame, of: Callable[[pd.DataFrame], dict[str, np.ndarray]])
         for pdf in parts:
             if len(pdf):
                 for key, x in of(pdf).items():
-                    total[key] = total[key] + x if key in total else x
+                    if key in total:
+                        total[key] += x
+                    else:
+                        total[key] = np.array(x, dtype=float)
         for key, x in total.items():
             flat = np.ascontiguousarray(x, dtype=float).ravel()
             for at in range(0, len(flat), BLOCK):

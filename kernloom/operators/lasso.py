@@ -266,16 +266,14 @@ class Problem:
         return {t: solve_certified(at(t)[0], alpha, at(t)[1], starts.get(t)) for t in which}
 
     def _sum(self, of, most_tasks: int | None = None) -> dict[str, np.ndarray]:
-        """One pass: sums of what ``of`` (Z, targets, masks of a block) gives. Each task's sums travel, so
+        """One pass: sums of what ``of`` (Z, targets, masks of a batch of blocks) gives. Each task's sums travel, so
         where they are larger than its rows ``most_tasks`` takes several tasks together."""
         p, targets = len(self.groups) * self.width, self.targets
 
         def each(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-            total: dict[str, np.ndarray] = {}
-            for m, y, s in zip(pdf["m"], pdf["y"], pdf["s"]):
-                for key, x in of(np.frombuffer(m).reshape(-1, p), np.frombuffer(y).reshape(-1, targets), np.frombuffer(s).reshape(-1, targets)).items():
-                    total[key] = total[key] + x if key in total else x
-            return total
+            # a batch's blocks together: products are large, and few are added up
+            rows = lambda c, width: np.concatenate([np.frombuffer(x).reshape(-1, width) for x in pdf[c]])
+            return of(rows("m", p), rows("y", targets), rows("s", targets))
 
         self.passes += 1
         with small_batches(self.blocks.sparkSession, BLOCK):

@@ -77,6 +77,18 @@ def test_passes_over_blocks_agree_with_sums(toy, monkeypatch, most):
     wide.release()
 
 
+def test_blocks_of_a_batch_are_summed_together(toy, monkeypatch):
+    """One product a batch: sums of a block each cost more than its rows where Z is wide."""
+    zf, cells, _, _ = toy
+    monkeypatch.setattr(lasso, "BLOCK", 16)  # two rows a block
+    todo = lasso.Problem(["g0", "g1"], 4, 1, blocks=lasso.row_blocks(zf, targets_of(cells), 8))
+    rows, blocks = cells.where("split = 'train'").count(), todo.blocks.count()
+    found = todo._sum(lambda m, y, s: {"calls": np.ones(1), "rows": np.array([len(m)])})
+    assert found["rows"][0] == rows and blocks >= rows / 2
+    assert found["calls"][0] <= todo.blocks.rdd.getNumPartitions() < blocks
+    todo.release()
+
+
 def wide_z(spark, cells, groups, width):
     """Blocks of unit rows; the label shows in the first three groups."""
     g = spark.range(groups).select(F.col("id").cast("int").alias("group_ord"))
