@@ -116,6 +116,13 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n")
 
 
+def _with_news(members: DataFrame) -> DataFrame:
+    """Lists (centre, member, new) with each member once, where any is new: the others have no pair to
+    try, so their vectors need not travel."""
+    lists = members.repartition("centre").groupBy("centre", "member").agg(F.max("new").alias("new"))
+    return lists.withColumn("_any", F.max("new").over(Window.partitionBy("centre"))).where("_any > 0").drop("_any")
+
+
 def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15, settled: float = 0.001, block: int = COMPARED, seed: str = "1") -> DataFrame:
     """(cell_id, other, distance): the k nearest others of each point (all others, if fewer), Euclidean.
 
@@ -126,7 +133,9 @@ def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15,
     recall). A list holds 2 * ``wider`` * k members at most, so one round's shuffle is as many
     vectors a point, whatever the number of points near one hub. Points with a NaN have no neighbours.
     """
-    points = cut(points.select("cell_id", F.col("x").cast("array<double>").alias("x")))
+    if points.schema["x"].dataType.simpleString() != "array<float>":  # floats travel as such, to be doubles in tasks
+        points = points.withColumn("x", F.col("x").cast("array<double>"))
+    points = cut(points.select("cell_id", "x"))
     n = points.count()
     kept = wider * k if n > block else k
     schema = _graph_schema(points)
@@ -141,7 +150,7 @@ def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15,
         ahead = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "new")
         behind = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "new")
         behind = behind.withColumn("_n", F.row_number().over(back)).where(F.col("_n") <= kept).drop("_n")
-        lists = ahead.unionByName(behind).groupBy("centre", "member").agg(F.max("new").alias("new"))
+        lists = _with_news(ahead.unionByName(behind))
         far = graph.groupBy(F.col("u").alias("member")).agg(F.when(F.count("*") < kept, math.inf).otherwise(F.max("d")).alias("worst"))
         held = points.withColumnRenamed("cell_id", "member").join(far, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(math.inf)))
         rows = lists.join(held, "member").select("centre", "member", "x", "worst", "new")

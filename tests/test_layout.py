@@ -136,3 +136,16 @@ def test_group_layout(spark):
     assert rows.columns == ["cell_id", "label", "y0", "y1"]
     cells = spark.read.parquet(f"{FOLDER}/customer.parquet")
     assert rows.count() == cells.count() and rows.where(F.isnan("y0") | F.isnan("y1") | F.isnull("y0")).count() == 0
+
+
+def test_lists_without_a_new_member_stay_home(spark, monkeypatch):
+    rows = [(1, 2, 0), (1, 3, 1), (1, 3, 0), (2, 1, 0), (2, 3, 0)]
+    members = spark.createDataFrame(rows, "centre long, member long, new int")
+    assert sorted(map(tuple, layout._with_news(members).collect())) == [(1, 2, 0), (1, 3, 1)]
+    # floats aren't widened to travel, and give the distances of doubles
+    seen = []
+    monkeypatch.setattr(layout, "cut", lambda rows, own=layout.cut: seen.append(rows.schema) or own(rows))
+    points = spark.range(40).select(F.col("id").alias("cell_id"), F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("x"))
+    wide = points.withColumn("x", F.col("x").cast("array<double>"))
+    found = [sorted(map(tuple, layout.neighbours(p, 3).collect())) for p in (points, wide)]
+    assert seen[0]["x"].dataType.simpleString() == "array<float>" and found[0] == found[1]
