@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_MB}m")
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession, mb: int) -> Iterator[None]:
+    """While it lasts, the session sends ``mb`` MB at a time to Python, or the fewer that it has set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    # a limit of the caller's own in other units stays
+    if before is None or before == f"{BATCH_MB}m":
+        spark.conf.set(name, f"{min(mb, BATCH_MB)}m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

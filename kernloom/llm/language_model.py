@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernloom.llm.common import crc_mod, staged
+from kernloom.llm.common import crc_mod, smaller_batches, staged
 
 FAN, RARE = 16, 16
 LOCAL = 1 << 17
@@ -44,7 +44,8 @@ TABLE = 1 << 16  # rows of weights: row numbers have 16 bits
 ROUNDS, STEP, BATCH = 2, 0.25, 8192
 PAIR_LEVELS = 1  # levels of the tree at which pairs count; below, the single words do
 TOKENS, DISTINCT = 500_000, 120_000  # a segment ends with the document that reaches either
-ROW_GROUP_MB = 8  # of staged segments, which are 3 MB each
+ROW_GROUP_MB = 8  # of staged segments, which are 3 MB each, and of scored rows with their rare words
+BATCH_MB = 4  # sent to Python at once: a segment or two
 END = b" "  # no word holds a blank
 _START = LOCAL + ENDINGS  # context before the first word
 _RUN = 48  # members of a run that are summed beside those of other runs
@@ -444,7 +445,7 @@ def score_rows(rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weigh
                     [id_col, "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
                 )
 
-    scored = staged(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    scored = staged(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows", ROW_GROUP_MB)
     other = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     joined = other.join(counts.select("h", "n"), "h", "left")
     sums = joined.groupBy("row").agg(
@@ -465,7 +466,8 @@ def score_rows(rows: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weigh
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:
     held = crc_mod("doc_id", 10) == 0
-    rows = staged(segments(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")), "lm-segments", ROW_GROUP_MB)
-    counts = staged(count_words(rows), "lm-counts")
-    vocabulary = learn_vocabulary(counts)
-    return score_rows(rows, counts, vocabulary, train(rows, vocabulary))
+    with smaller_batches(docs.sparkSession, BATCH_MB):  # all that goes to Python is staged in here
+        rows = staged(segments(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")), "lm-segments", ROW_GROUP_MB)
+        counts = staged(count_words(rows), "lm-counts")
+        vocabulary = learn_vocabulary(counts)
+        return score_rows(rows, counts, vocabulary, train(rows, vocabulary))

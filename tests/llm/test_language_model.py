@@ -136,3 +136,18 @@ def test_vocabulary_with_ties_at_the_limit(spark):
     assert found.rare_total.sum() == 3001 - len(found.hashes) and (found.rare_total >= 0).all()
     # a leaf for each local word and each ending, shares that sum to one
     assert (found.tree.depth > 0).all() and np.allclose(np.exp(found.tree.shares).sum(1), 1, atol=1e-4)
+
+
+def test_segments_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    """While the operator works; the session's own limit is back afterwards."""
+    from kernloom.llm import common, language_model
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(language_model, "staged", lambda df, what, *more: seen.append((what, spark.conf.get(name), more)) or common.staged(df, what, *more))
+    spark.conf.set(name, f"{common.BATCH_MB}m")
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(40)], "doc_id long, text string")
+    assert language_model.op6_lm_scoring(docs).count() == 40
+    assert {x for _, x, _ in seen} == {f"{language_model.BATCH_MB}m"} and spark.conf.get(name) == f"{common.BATCH_MB}m"
+    assert ("lm-rows", "4m", (8,)) in seen
+    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
