@@ -29,8 +29,10 @@ import json
 import random
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ from kernloom.llm.common import staged
 CAPACITY = 2048
 NODES, REPAIRS = 20_000, 25_000
 SINGLES = 200  # sequences of one pattern that repairs may take apart
+OPEN = 32  # branches of the search that hold their enumeration; those above start theirs anew at their turn
 SEPARATOR = 0
 
 
@@ -278,13 +281,11 @@ def fillings(left: np.ndarray, gap: int, slack: int = CAPACITY) -> Iterator[tupl
     bits = 0
     for x in there.tolist():
         bits |= 1 << x
-    seen: set = set()
 
-    def kept(some: Iterator[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
+    def kept(some: Iterable[tuple[int, ...]]) -> Iterator[tuple[int, ...]]:
         for f in some:
-            if not f or f in seen or sum(f) < gap - slack:
+            if not f or sum(f) < gap - slack:
                 continue
-            seen.add(f)
             others = bits
             for x, n in Counter(f).items():
                 if n >= left[x]:
@@ -294,47 +295,74 @@ def fillings(left: np.ndarray, gap: int, slack: int = CAPACITY) -> Iterator[tupl
             if not others & ((1 << waste + 1) - 1) and not _dominated(f, waste, others):
                 yield f
 
-    yield from kept(_quick(left, gap))
-    yield from kept(_of_sums(there.tolist(), left[there].tolist(), gap, gap - slack))
+    quick = _quick(left, gap)
+    yield from kept(quick)
+    yield from kept(f for f in _of_sums(there.tolist(), left[there].tolist(), gap, gap - slack) if f not in quick)
+
+
+@dataclass
+class _Frame:
+    """A branch of the search: the pattern that led to it, and how many of its own were taken."""
+
+    led: Pattern | None
+    used: int
+    waste: int
+    slack: int
+    taken: int = 0
+    branches: Iterator[Pattern] | None = None
 
 
 def _branch_and_bound(start: np.ndarray, best_n: int, bound: int, capacity: int, nodes: int) -> list[Pattern] | None:
-    """A packing in fewer than ``best_n`` sequences, the best one found; None if there is none."""
+    """A packing in fewer than ``best_n`` sequences, the best one found; None if there is none.
+
+    Thousands of branches can be open above one another. All share one array of counts, and only the
+    last ``OPEN`` hold the state of their enumeration."""
     total = int((start * np.arange(len(start))).sum())
-    best = None
+    left, best = start.copy(), None
 
-    def opened(left: np.ndarray, waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    def take(pattern: Pattern, sign: int) -> None:
+        for k, m in Counter(pattern[0]).items():
+            left[k] -= sign * m * pattern[1]
+
+    def slack(waste: int) -> int:
+        return (best_n - 1) * capacity - total - waste
+
+    def opened(slack: int) -> Iterator[Pattern]:
         """The largest length with each filling, as often as the counts allow and once."""
         largest = int(np.flatnonzero(left)[-1])
         without = left.copy()
         without[largest] -= 1
-        for f in fillings(without, capacity - largest, (best_n - 1) * capacity - total - waste):
+        for f in fillings(without, capacity - largest, slack):
             most = min(int(left[k]) // m for k, m in Counter((largest, *f)).items())
             yield from (((largest, *f), n) for n in ((most, 1) if most > 1 else (1,)))
 
-    # depth first; a frame is (counts left, sequences used, waste, patterns as a linked list, branches)
-    stack = [(start, 0, 0, None, opened(start, 0))]
+    # depth first; ``left`` is what the last frame has to pack
+    stack = [_Frame(None, 0, 0, slack(0))]
     while stack and nodes and best_n > bound:
-        left, used, waste, path, branches = stack[-1]
-        found = next(branches, None)
+        frame = stack[-1]
+        if frame.branches is None:
+            frame.branches = islice(opened(frame.slack), frame.taken, None)
+        found = next(frame.branches, None)
         if found is None:
             stack.pop()
+            if frame.led:
+                take(frame.led, -1)
             continue
         nodes -= 1
+        frame.taken += 1
         lengths, times = found
-        used, waste = used + times, waste + (capacity - sum(lengths)) * times
-        if waste > (best_n - 1) * capacity - total:
+        used, waste = frame.used + times, frame.waste + (capacity - sum(lengths)) * times
+        if slack(waste) < 0:
             continue
-        left, path = left.copy(), (found, path)
-        for k, m in Counter(lengths).items():
-            left[k] -= m * times
+        take(found, 1)
         if left.any():
-            stack.append((left, used, waste, path, opened(left, waste)))
-        elif used < best_n:
-            best_n, best = used, []
-            while path:
-                best.append(path[0])
-                path = path[1]
+            stack.append(_Frame(found, used, waste, slack(waste)))
+            if len(stack) > OPEN:
+                stack[-OPEN - 1].branches = None
+            continue
+        if used < best_n:
+            best_n, best = used, [found, *(f.led for f in reversed(stack[1:]))]
+        take(found, -1)
     return best
 
 
@@ -360,7 +388,8 @@ def _completed(items: list[int], capacity: int, rng: random.Random) -> list[tupl
 def _repaired(patterns: list[Pattern], bound: int, capacity: int, repairs: int) -> list[Pattern]:
     """``patterns`` after up to ``repairs`` partial completions; never more sequences."""
     rng = random.Random(5)
-    bins = {w: [tuple(sorted(p, reverse=True)) for p, n in patterns for _ in range(min(n, SINGLES)) if (sum(p) < capacity) == w] for w in (True, False)}
+    ordered = [(tuple(sorted(p, reverse=True)), n) for p, n in patterns]
+    bins = {w: [p for p, n in ordered for _ in range(min(n, SINGLES)) if (sum(p) < capacity) == w] for w in (True, False)}
     rest = [(p, n - SINGLES) for p, n in patterns if n > SINGLES]
     total = sum(n for _, n in patterns)
 

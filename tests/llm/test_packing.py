@@ -168,3 +168,25 @@ def test_special_tokens_in_long_runs():
     text = "x <|endoftext|> y" + " " * 1_000_000 + "z"
     assert K.encoder(K.default_vocabulary())(text).tolist().count(50256) == 1
     assert K.encoder(K.default_vocabulary(), specials=False)(text).tolist().count(50256) == 0
+
+
+def test_deep_search_holds_little_memory():
+    import tracemalloc
+
+    sizes = np.clip(np.random.default_rng(1).lognormal(5.5, 0.8, 3000).astype(int), 150, 1100)
+    counts = Counter(sizes.tolist())
+    bound = K.lower_bound(counts, 2048)
+    tracemalloc.start()
+    K._branch_and_bound(np.bincount(sizes, minlength=2049), bound + 1, bound, 2048, 1500)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000
+
+
+def test_branches_begun_anew_go_on_where_they_were(monkeypatch):
+    rng, found = random.Random(3), []
+    cases = [np.bincount([rng.randrange(40, 400) for _ in range(60)], minlength=1001) for _ in range(20)]
+    for keep in (1, 2, 10**6):
+        monkeypatch.setattr(K, "OPEN", keep)
+        found.append([K._branch_and_bound(c, int(c.sum()), 0, 1000, 300) for c in cases])
+    assert found[0] == found[1] == found[2] and all(found[0])
