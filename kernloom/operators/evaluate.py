@@ -279,11 +279,15 @@ def fold_values(z: DataFrame, cells: DataFrame, alphas: list[float], labels: lis
             models += [(names[t], float(alpha), *m[:2]) for t, m in found.items()]
         if solved is not None:
             solved.append(todo.solves - before)
+        # metrics read the predictions several times; Z is scored once
         if len(labels) == 2:
-            values = binary_metrics(binary_predictions(z, cells, models, todo, (labels[0], labels[1])), labels[0], ["alpha"]).withColumn("class", F.lit(labels[0]))
+            scored = binary_predictions(z, cells, models, todo, (labels[0], labels[1])).persist()
+            values = binary_metrics(scored, labels[0], ["alpha"]).withColumn("class", F.lit(labels[0]))
         else:
-            values = class_metrics(class_predictions(z, cells, models, todo))
+            scored = class_predictions(z, cells, models, todo).persist()
+            values = class_metrics(scored)
         got = {(r["class"], r["alpha"]): r["value"] for r in values.where(F.col("metric") == metric).collect()}
+        scored.unpersist()
         for alpha in wave:
             for t in list(running):
                 seen[t].append(got.get((names[t], float(alpha))) or 0.0)

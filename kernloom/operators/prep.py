@@ -127,6 +127,17 @@ def group_vectors(matrix: DataFrame, cells: DataFrame, groups: DataFrame, scale_
     return _dense(matrix, cells, groups, train_stats(matrix, cells, transform_data), value, ones)
 
 
+def scaled_vectors(raw: DataFrame, cells: DataFrame) -> DataFrame:
+    """``group_vectors`` of ``cells`` from ``raw_vectors`` that hold them: where the same cells are scaled by one
+    fold's statistics after another, their entries are gathered once. Statistics come from the places."""
+    rows = raw.drop("split").join(cells.select("cell_id", "split"), "cell_id")
+    each = rows.where("split = 'train'").select("group", F.posexplode("x").alias("i", "v"))
+    stats = each.groupBy("group", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var")).where(F.col("var") > LEAST_VARIANCE)
+    per = stats.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("i", "mean", F.sqrt("var").alias("sd")))).alias("stats"))
+    x = F.transform("stats", lambda s: (F.get("x", s["i"]) - s["mean"]) / s["sd"])
+    return rows.join(per, "group").select("cell_id", "split", "group", "group_ord", x.alias("x"))
+
+
 def _dense(matrix: DataFrame, cells: DataFrame, groups: DataFrame, stats: DataFrame, value: Callable[[Column, Column], Column], ones: bool = False) -> DataFrame:
     """A group's statistics are arrays of its features, one row per group; each cell's entries are
     a map that those arrays look up. The join deals by group where the arrays are too large to

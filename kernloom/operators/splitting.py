@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from kernloom.functions.rand import hash_rank
+from kernloom.functions.rand import draw, hash_rank
 
 
 def filter_groups(features: DataFrame, groups: DataFrame, least: int = 2) -> DataFrame:
@@ -115,8 +115,6 @@ def small_classes(cells: DataFrame, least: int = 10) -> DataFrame:
 
 def sample_cells(cells: DataFrame, k: int, seed: str = "1") -> DataFrame:
     """min(n, k) rows in random order, by a top-k of the draws."""
-    from kernloom.functions.rand import draw
-
     return cells.orderBy(draw(f"sample{seed}", F.col("cell_id")), "cell_id").limit(k)
 
 
@@ -127,16 +125,29 @@ def batches(cells: DataFrame, n_batches: int, batch_size: int, seed: str = "1")
 
 
 def class_train(cells: DataFrame, other_factor: float = 1.5, seed: str = "1") -> DataFrame:
-    """(class, cell_id): for each class all its training rows and int(factor * n) others at most."""
+    """(class, cell_id): for each class all its training rows and int(factor * n) others at most.
+
+    The others of every class come in the same random order, so counts by label and the draws' first
+    digits tell where a class's share ends: rows before that bucket belong to it as they are, and
+    only those of that one bucket are ranked."""
     train = cells.where("split = 'train'").select("cell_id", "label")
-    sizes = F.broadcast(train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("label", "class"))  # a row per class
     target = train.select(F.col("label").alias("class"), "cell_id")
-    # one row per class and training row is what the result is taken from
-    classes = train.select(F.col("label").alias("class")).distinct().agg(F.collect_set("class").alias("all"))
-    pairs = train.join(F.broadcast(classes)).select("cell_id", "label", F.explode("all").alias("class")).where("label <> class")
-    ranked = hash_rank(pairs, f"others{seed}", "cell_id", ["class"]).join(sizes, "class")
-    others = ranked.where(F.col("rn") <= _share(F.col("n"), other_factor)).select("class", "cell_id")
-    return target.unionByName(others)
+    drawn = train.where(F.col("label").isNotNull()).withColumn("_d", draw(f"others{seed}", F.col("cell_id"))).withColumn("_b", F.substring("_d", 1, 3))
+    # 4,096 buckets a label at most
+    own = drawn.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_own"))
+    sizes = own.groupBy(F.col("label").alias("class")).agg(F.sum("_own").alias("n"))
+    grid = F.broadcast(sizes).crossJoin(own.groupBy("_b").agg(F.sum("_own").alias("_all")))
+    grid = grid.join(own.select(F.col("label").alias("class"), "_b", "_own"), ["class", "_b"], "left")
+    grid = grid.withColumn("_k", F.col("_all") - F.coalesce("_own", F.lit(0)))
+    upto = F.sum("_k").over(Window.partitionBy("class").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    over = grid.withColumn("_over", upto - _share(F.col("n"), other_factor))
+    # a row per class: the bucket in which its share ends, and how many rows of that it takes; none: it takes all
+    ends = over.groupBy("class").agg(F.min(F.when(F.col("_over") > 0, F.struct("_b", (F.col("_k") - F.col("_over")).alias("room")))).alias("end"))
+    others = drawn.withColumnRenamed("_b", "_at").join(F.broadcast(ends), (F.col("label") != F.col("class")) & (F.col("end").isNull() | (F.col("_at") <= F.col("end._b"))))
+    last = F.col("end").isNotNull() & (F.col("_at") == F.col("end._b"))
+    whole = others.where(~last).select("class", "cell_id")
+    ranked = others.where(last).withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy("_d", "cell_id")))
+    return target.unionByName(whole).unionByName(ranked.where(F.col("_r") <= F.col("end.room")).select("class", "cell_id"))
 
 
 def folds(cells: DataFrame, k: int, seed: str = "1") -> DataFrame:

@@ -374,3 +374,47 @@ def test_leading_axes_of_wide_vectors(spark):
     assert sorted({r["group"] for r in got}) == ["same", "wide"] and len(got) == 124
     assert all(np.allclose(r["x"], 0) for r in got if r["group"] == "same")
     assert prep.reduce_vectors(vectors.where("group = 'unfit'"), "svd").count() == 0
+
+
+def test_class_train_takes_the_first_of_the_draws(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), "abcd"[int(x)], "train") for i, x in enumerate(rng.choice(4, 6000, p=[0.6, 0.3, 0.0995, 0.0005]))]
+    rows += [(9000, "a", "test"), (9001, None, "train")]
+    cells = spark.createDataFrame(rows, "cell_id long, label string, split string")
+    got = sorted((r["class"] or "", r["cell_id"]) for r in splitting.class_train(cells, 0.7, "5").collect())
+    want = [("", 9001)]
+    for c in "abcd":
+        mine = [i for i, x, s in rows if x == c and s == "train"]
+        others = sorted((hashlib.md5(f"others5:{i}".encode()).hexdigest(), i) for i, x, s in rows if x not in (c, None) and s == "train")
+        want += [(c, i) for i in mine] + [(c, i) for _, i in others[: int(len(mine) * 0.7)]]
+    assert got == sorted(want)
+
+
+def test_scaled_vectors_equal_group_vectors(spark):
+    cells = spark.createDataFrame([(i, "test" if i % 4 == 3 else "train") for i in range(12)], "cell_id long, split string")
+    matrix = spark.createDataFrame([(i, f"f{j}", 1.0 if j == 4 else float(i * j % 7)) for i in range(12) for j in range(5) if (i + j) % 3 or j == 4], "cell_id long, feature string, value double")
+    groups = spark.createDataFrame([("g", 0, "f1"), ("g", 0, "f3"), ("g", 0, "f4"), ("h", 1, "f2"), ("h", 1, "f3"), ("k", 2, "f4")], "group string, group_ord int, feature string")
+    raw = prep.raw_vectors(matrix, cells, groups).persist()
+    for own in (cells, cells.where("cell_id < 9").withColumn("split", F.when(F.col("cell_id") % 2 == 0, "train").otherwise("test"))):
+        got, want = ({(r["cell_id"], r["split"], r["group"], r["group_ord"]): r["x"] for r in x.collect()} for x in (prep.scaled_vectors(raw, own), prep.group_vectors(matrix, own, groups)))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    raw.unpersist()
+
+
+def test_a_fold_scores_its_rows_once(spark, toy, monkeypatch):
+    zf, cells, _, _ = toy
+    rows = spark.sparkContext.accumulator(0)
+    plain = evaluate.linear_scores
+
+    def counted(*args):
+        def run(parts):
+            for pdf in parts:
+                rows.add(len(pdf))
+                yield pdf
+
+        scores = plain(*args)
+        return scores.mapInPandas(run, scores.schema)
+
+    monkeypatch.setattr(evaluate, "linear_scores", counted)
+    evaluate.fold_values(zf, cells, [0.3, 0.6], ["neg", "pos"], "AUROC", False, "1", False)
+    assert rows.value == 2 * cells.where("split = 'test'").count()
