@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -176,6 +177,64 @@ def project(vectors: DataFrame, sigma: DataFrame, d: int, kernel: str = "gaussia
     return vectors.select("cell_id", "split", "group", F.col("group_ord").cast("int").alias("group_ord"), "x").mapInPandas(run, schema)
 
 
+class Maker:
+    """Whole rows of Z from whole rows of shared vectors, in a task: the groups' blocks side by side."""
+
+    def __init__(self, kernel: str, sigma: dict[str, float], d: int, seed: str, places: dict[str, np.ndarray], most_mb: int = 256) -> None:
+        self.of = kernel, sigma, d, seed, most_mb
+        self.places = places
+        self.drawn: Directions | None = None  # made where it is used, never sent
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.drawn is None:
+            self.drawn = Directions(*self.of)
+        d = self.of[2]
+        z = np.empty((len(x), 2 * d * len(self.places)))
+        for k, (g, at) in enumerate(self.places.items()):
+            a = self.drawn.times(g, x[:, at])
+            np.cos(a, out=z[:, 2 * d * k : 2 * d * k + d])
+            np.sin(a, out=z[:, 2 * d * k + d : 2 * d * (k + 1)])
+        z *= math.sqrt(1.0 / d)
+        return z
+
+
+@dataclass(frozen=True)
+class Unmade:
+    """Z that is never stored: tasks make it from ``rows`` (cell_id, split, x) each time they read it. It is
+    larger than these by the number of its columns over that of the features."""
+
+    rows: DataFrame
+    places: dict[str, np.ndarray]  # in the order of the groups
+    sigma: dict[str, float]
+    d: int
+    kernel: str = "gaussian"
+    seed: str = "1"
+
+    @property
+    def groups(self) -> list[str]:
+        return list(self.places)
+
+    @property
+    def width(self) -> int:
+        return 2 * self.d
+
+    def maker(self) -> Maker:
+        return Maker(self.kernel, self.sigma, self.d, self.seed, self.places)
+
+
+def unmade_z(rows: DataFrame, places: DataFrame, d: int, kernel: str = "gaussian", metric: str = "euclidean", n_batches: int = 10, batch_size: int = 100, seed: str = "1", n_features: int = 5000, cells: DataFrame | None = None) -> Unmade:
+    """``calculate_z`` of ``prep.shared_vectors``, with the same widths and directions, as Z to be made in tasks.
+    The groups' places (as many numbers as they have features) come to the driver."""
+    x = F.transform("places", lambda i: F.get("x", i))
+    vectors = rows.join(F.broadcast(places)).select("cell_id", "split", "group", "group_ord", x.alias("x"))  # read for the cells of the batches only
+    sizes = places.select("group", "group_ord", F.size("places").cast("bigint").alias("n"))
+    sigma = {r["group"]: float(r["sigma"]) for r in estimate_sigma(vectors, metric, n_batches, batch_size, seed, n_features, sizes, cells).collect()}
+    if any(s <= 0 for s in sigma.values()):
+        raise ValueError("sigma must be positive")
+    found = {r["group"]: np.array(r["places"], int) for r in places.orderBy("group_ord", "group").collect() if r["group"] in sigma}
+    return Unmade(rows, found, sigma, d, kernel, seed)
+
+
 def bad_rows(z: DataFrame) -> DataFrame:
     """Rows of Z that hold a NaN or an infinite value."""
     return z.where(F.exists("z", lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf")))))

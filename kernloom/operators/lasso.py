@@ -14,11 +14,14 @@ coordinate descent with large blocks. Passes are counted (``Problem.passes``).
 
 All solves end by the duality gap, as a share of the null model's loss, and by the optimality
 conditions; groups that the gap proves to be zero are left out of further rounds.
+
+Z may also be one that tasks make from vectors (``kernel.Unmade``): then the vectors are what is kept,
+and each pass makes its rows of Z, a batch of blocks at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernloom.functions.sums import summed
+from kernloom.operators.kernel import Unmade
 
 MOST_COLUMNS = 4096
 #: Gap and violation of the optimality conditions at which a solve on sums ends, and one by passes.
@@ -213,10 +217,15 @@ def kkt_residual(s: Sums, w: np.ndarray, alpha: float, target: int = 0) -> float
     return float(violations(w, q, s.lambda_of(alpha, target), s.width).max())
 
 
-def row_blocks(z: DataFrame, targets: DataFrame, p: int) -> DataFrame:
-    """(m, y, s): doubles of some training rows, their targets, and for each target whether a row
-    counts. Cached, since every pass reads them."""
-    rows = wide_rows(z, targets if "s" in targets.columns else targets.withColumn("s", F.transform("y", lambda _: F.lit(1.0))))
+def row_blocks(z: DataFrame | Unmade, targets: DataFrame, p: int) -> DataFrame:
+    """(m, y, s): doubles of some training rows (of their vectors, where Z is unmade), their targets, and for
+    each target whether a row counts. Cached, since every pass reads them."""
+    if "s" not in targets.columns:
+        targets = targets.withColumn("s", F.transform("y", lambda _: F.lit(1.0)))
+    if isinstance(z, Unmade):
+        rows = z.rows.where("split = 'train'").select("cell_id", F.col("x").alias("v")).join(targets, "cell_id")
+    else:
+        rows = wide_rows(z, targets)
     many = max(1, BLOCK // p)
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +235,7 @@ def row_blocks(z: DataFrame, targets: DataFrame, p: int) -> DataFrame:
                 yield pd.DataFrame({c: [np.stack(some[n].to_numpy()).astype(float).tobytes()] for c, n in (("m", "v"), ("y", "y"), ("s", "s"))})
 
     blocks = rows.select("v", "y", "s").mapInPandas(pack, "m binary, y binary, s binary").persist()
-    with small_batches(z.sparkSession, p):
+    with small_batches(targets.sparkSession, p):
         blocks.count()
     return blocks
 
@@ -240,6 +249,8 @@ class Problem:
     targets: int
     sums: list[Sums] | None = None
     blocks: DataFrame | None = None
+    #: Makes rows of Z in a task from the vectors that blocks hold; None where they hold Z.
+    make: Callable[[np.ndarray], np.ndarray] | None = None
     passes: int = 0
     solves: int = 0
     kept: dict = field(default_factory=dict)
@@ -268,12 +279,14 @@ class Problem:
     def _sum(self, of, most_tasks: int | None = None) -> dict[str, np.ndarray]:
         """One pass: sums of what ``of`` (Z, targets, masks of a batch of blocks) gives. Each task's sums travel, so
         where they are larger than its rows ``most_tasks`` takes several tasks together."""
-        p, targets = len(self.groups) * self.width, self.targets
+        targets, make = self.targets, self.make
 
         def each(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
             # a batch's blocks together: products are large, and few are added up
-            rows = lambda c, width: np.concatenate([np.frombuffer(x).reshape(-1, width) for x in pdf[c]])
-            return of(rows("m", p), rows("y", targets), rows("s", targets))
+            rows = lambda c: np.concatenate([np.frombuffer(x) for x in pdf[c]])
+            y, s = rows("y").reshape(-1, targets), rows("s").reshape(-1, targets)
+            m = rows("m").reshape(len(y), -1)
+            return of(m if make is None else make(m), y, s)
 
         self.passes += 1
         with small_batches(self.blocks.sparkSession, BLOCK):
@@ -375,7 +388,9 @@ class Problem:
                 return {str(t): (m[:, at] * s[:, [t]]).T @ m[:, at] for t, at in share.items()}
 
             wide = max(len(at) for at in share.values())
-            for t, flat in self._sum(of, max(1, int(self.n.max()) // wide)).items():
+            # a matrix a task: no more tasks than run at once, so what travels doesn't grow with the rows
+            cores = self.blocks.sparkSession.sparkContext.defaultParallelism
+            for t, flat in self._sum(of, max(1, min(cores, int(self.n.max()) // wide))).items():
                 at = share[int(t)]
                 gram = flat.reshape(len(at), -1) / self.n[int(t)] - np.outer(mean_z[int(t)][at], mean_z[int(t)][at])
                 self.kept[int(t), tuple(waiting[int(t)])] = gram
@@ -383,14 +398,16 @@ class Problem:
                     del self.kept[next(iter(self.kept))]
 
 
-def problem(z: DataFrame, targets: DataFrame) -> Problem:
+def problem(z: DataFrame | Unmade, targets: DataFrame) -> Problem:
     """``targets``: cell_id, y array<double>, and maybe s array<double> (0 or 1: whether the row counts
-    for the target). ValueError without any training row."""
-    groups, width = layout(z)
+    for the target). ValueError without any training row. Unmade Z is solved by passes at any width."""
+    groups, width = (z.groups, z.width) if isinstance(z, Unmade) else layout(z)
     first = targets.select(F.size("y").alias("n")).first()
     if first is None:
         raise ValueError("no training rows")
     p = len(groups) * width
+    if isinstance(z, Unmade):
+        return Problem(groups, width, first["n"], blocks=row_blocks(z, targets, p), make=z.maker())
     if p <= MOST_COLUMNS:
         return Problem(groups, width, first["n"], sums=gather_each(z, targets, groups, width), passes=1)
     return Problem(groups, width, first["n"], blocks=row_blocks(z, targets, p))

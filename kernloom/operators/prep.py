@@ -127,6 +127,19 @@ def group_vectors(matrix: DataFrame, cells: DataFrame, groups: DataFrame, scale_
     return _dense(matrix, cells, groups, train_stats(matrix, cells, transform_data), value, ones)
 
 
+def shared_vectors(matrix: DataFrame, cells: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((cell_id, split, x), (group, group_ord, places)): scaled vectors of the features of all groups, each once,
+    and where the features of a group are in them: ``group_vectors`` are x at these places. Where groups
+    overlap, this spares their copies."""
+    one = groups.select(F.lit("all").alias("group"), F.lit(0).alias("group_ord"), "feature").distinct()
+    stats = train_stats(matrix, cells).persist()  # a row a feature
+    rows = _dense(matrix, cells, one, stats, lambda v, s: (v - s["mean"]) / s["sd"])
+    order = one.join(stats, "feature").agg(F.array_sort(F.collect_list("feature")).alias("all"))  # one row of names
+    at = order.select(F.posexplode("all").alias("i", "feature"))
+    places = groups.join(at, "feature").groupBy("group", "group_ord").agg(F.array_sort(F.collect_list("i")).alias("places"))
+    return rows.select("cell_id", "split", "x"), places
+
+
 def scaled_vectors(raw: DataFrame, cells: DataFrame) -> DataFrame:
     """``group_vectors`` of ``cells`` from ``raw_vectors`` that hold them: where the same cells are scaled by one
     fold's statistics after another, their entries are gathered once. Statistics come from the places."""

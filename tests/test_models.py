@@ -418,3 +418,32 @@ def test_a_fold_scores_its_rows_once(spark, toy, monkeypatch):
     monkeypatch.setattr(evaluate, "linear_scores", counted)
     evaluate.fold_values(zf, cells, [0.3, 0.6], ["neg", "pos"], "AUROC", False, "1", False)
     assert rows.value == 2 * cells.where("split = 'test'").count()
+
+
+def test_unmade_z_is_that_of_calculate_z(spark, monkeypatch):
+    """Overlapping groups, one feature without variance and a group of it alone; blocks keep vectors, not Z."""
+    n, names = 60, [f"f{i}" for i in range(5)]
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(n, 5)), 3)
+    x[:, 3] = 2.0
+    matrix = spark.createDataFrame([(c, f, float(v)) for c in range(n) for f, v in zip(names, x[c])], "cell_id long, feature string, value double")
+    cells = spark.createDataFrame([(c, "neg" if x[c, 0] > 0 else "pos", "test" if c % 5 == 3 else "train") for c in range(n)], "cell_id long, label string, split string").persist()
+    members = [("b", 1, [0, 2, 3]), ("a", 2, [2, 4]), ("c", 0, [1, 4, 0]), ("none", 3, [3])]
+    groups = spark.createDataFrame([(g, o, names[i]) for g, o, own in members for i in own], "group string, group_ord int, feature string")
+    z, _ = kernel.calculate_z(prep.group_vectors(matrix, cells, groups).persist(), 6, n_batches=2, batch_size=10)
+    rows, places = prep.shared_vectors(matrix, cells, groups)
+    own = kernel.unmade_z(rows.persist(), places, 6, n_batches=2, batch_size=10)
+    assert own.groups == ["c", "b", "a"] and own.width == 12
+    held = {r["cell_id"]: r["z"] for r in z.select("cell_id", F.struct("group", "z").alias("z")).groupBy("cell_id").agg(F.map_from_entries(F.collect_list("z")).alias("z")).collect()}
+    made = own.maker()
+    for r in rows.collect():
+        assert np.allclose(made(np.array([r["x"]]))[0], np.concatenate([held[r["cell_id"]][g] for g in own.groups]), atol=1e-12)
+    monkeypatch.setattr(lasso, "MOST_COLUMNS", 24)
+    stored, lazy = lasso.problem(z.where("group <> 'none'"), targets_of(cells)), lasso.problem(own, targets_of(cells))
+    for alpha in (1.0, 0.3):
+        (w, b, gap), (v, c, _) = stored.fit(alpha)[0], lazy.fit(alpha)[0]
+        assert np.allclose(w, v, atol=1e-9) and abs(b - c) < 1e-9 and gap <= lasso.WIDE_GAP
+    size = lambda todo: sum(len(r["m"]) for r in todo.blocks.collect())
+    assert size(stored) == 48 * 36 * 8 and size(lazy) == 48 * 4 * 8
+    stored.release()
+    lazy.release()
