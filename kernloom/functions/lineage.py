@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame
 
 def cut(rows: DataFrame) -> DataFrame:
     """``rows``, computed now and read from the checkpoint folder from here on: ``spark.checkpoint.dir``,
-    else the context's own, else (local masters only) a temporary one."""
-    context = rows.sparkSession.sparkContext
+    else the context's own, else (local masters only) a temporary one. The files of its shuffles are removed."""
+    spark = rows.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if context.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="kernloom-")
         context.setCheckpointDir(folder)
-    return rows.checkpoint()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a shuffle's files go with its job
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        return rows.checkpoint()
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def release(rows: DataFrame) -> None:
+    """Remove the files of a result of ``cut`` that nothing reads any more."""
+    file = rows._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

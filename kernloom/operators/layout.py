@@ -14,17 +14,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kernloom.functions import rand
-from kernloom.functions.lineage import cut
+from kernloom.functions.lineage import cut, release
 from kernloom.operators import results
 
-#: Points that are compared with one another to start the search, and points that move together.
+#: A fourth of the points that a tree's leaf compares with one another, and points that move together.
 COMPARED, MOVED = 512, 4096
 #: Positions of other points that a block is repelled by in a round.
 REPELLED = 2000
+#: Points that the splits of a search tree are drawn from; a leaf has ``LEAF`` times ``block`` points, and at
+#: least ``FEWEST`` of those drawn (larger leaves are dealt into parts at random).
+SAMPLE, LEAF, FEWEST = 50_000, 4, 8
+#: Trees at most, and the share of links estimated to be missing at which no more are tried.
+TREES, MISSING = 12, 0.02
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -37,33 +43,150 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
-def _block(seed: str, n: int, size: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("cell_id").cast("string")), F.lit(-(-n // size)))
-
-
 def _graph_schema(points: DataFrame) -> str:
     kind = points.schema["cell_id"].dataType.simpleString()
     return f"u {kind}, v {kind}, d double"
 
 
-def _within_block(k: int):
-    """The k nearest points of each point of one block."""
-
-    def run(table: pa.Table) -> pa.Table:
+class Tree:
+    """Splits of a bounded sample of ``n`` points, down to leaves of about ``size`` of these: the normal of a split
+    is drawn towards the directions in which its points vary most, its cut is their median."""
+
+    def __init__(self, sample: np.ndarray, n: int, size: int, rng: np.random.Generator) -> None:
+        share = n / max(len(sample), 1)
+        normals, cuts, ties, below, parts = [], [], [], [], []
+        todo = [(np.arange(len(sample)), -1, 0)]
+        while todo:
+            own, above, side = todo.pop()
+            at = len(below)
+            if above >= 0:
+                below[above][side] = at
+            below.append([-1, -1])
+            x = sample[own]
+            leaf = len(own) * share <= size or len(own) < 2 * FEWEST
+            normal, cut_at, near, tie = np.zeros(sample.shape[1]), 0.0, 0.0, None
+            if not leaf:
+                from_mean = x - x.mean(0)
+                r = rng.normal(size=x.shape[1])
+                normal = from_mean.T @ (from_mean @ r)
+                length = np.linalg.norm(normal)
+                normal = normal / length if length > 0 and np.isfinite(length) else r / np.linalg.norm(r)
+                y = x @ normal
+                cut_at, near = float(np.median(y)), 1e-9 * float(np.abs(y).max())
+                tie = np.abs(y - cut_at) <= near
+                right = np.where(tie, rng.random(len(y)) < 0.5, y > cut_at)
+                todo += [(own[~right], at, 0), (own[right], at, 1)]
+            normals.append(normal)
+            cuts.append(cut_at)
+            ties.append(near)
+            parts.append(max(1, math.ceil((len(own) * share if len(sample) else n) / size / 1.5)) if leaf else 0)
+        self.normals, self.cuts, self.ties = np.array(normals), np.array(cuts), np.array(ties)
+        self.below, self.parts = np.array(below), np.array(parts)
+        self.first = np.cumsum(self.parts) - self.parts
+        self.leaves = int(self.parts.sum())
+
+    def leaf(self, x: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The leaf of each row; points on a cut (or with a NaN) fall to either side by their ``draw``, one bit a split."""
+        node, bits = np.zeros(len(x), int), draw.astype(np.uint64)
+        while True:
+            at = np.flatnonzero(self.parts[node] == 0)
+            if not len(at):
+                break
+            own = node[at]
+            y = np.einsum("ij,ij->i", x[at], self.normals[own]) - self.cuts[own]
+            side = np.where(np.abs(y) > self.ties[own], y > 0, bits[at] & np.uint64(1) == 1)
+            bits[at] >>= np.uint64(1)
+            node[at] = self.below[own, side.astype(int)]
+        return self.first[node] + (bits % self.parts[node].astype(np.uint64)).astype(int)
+
+
+def _with_leaf(points: DataFrame, tree: Tree, seed: str) -> DataFrame:
+    """``points`` with ``_b``, their leaf; the tree is broadcast."""
+    sent = points.sparkSession.sparkContext.broadcast(tree)
+
+    @F.arrow_udf("bigint")
+    def leaf(x: pa.Array, draw: pa.Array) -> pa.Array:
+        if not len(x):
+            return pa.array([], pa.int64())
+        return pa.array(sent.value.leaf(_vectors(x), draw.to_numpy(zero_copy_only=False)), pa.int64())
+
+    # bits that are as random as a draw for each point: the same wherever it is read again
+    return points.withColumn("_b", leaf("x", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("cell_id").cast("string")), 1)))
+
+
+def _sample(points: DataFrame, n: int, seed: str) -> np.ndarray:
+    """About ``SAMPLE`` finite vectors, or all if they are fewer."""
+    most = 1 << 30
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("cell_id").cast("string")), F.lit(most)) < int(most * min(1.0, SAMPLE / max(n, 1)))
+    rows = _vectors(points.where(drawn).select("x").toArrow()["x"]) if n else np.zeros((0, 1))
+    return rows[np.isfinite(rows).all(1)]
+
+
+def _tasks(points: DataFrame, n: int, blocks: int) -> int:
+    """Partitions for ``blocks`` blocks of ``n`` points: explicit, as the work in a block is far more than its bytes."""
+    return max(1, min(blocks, max(3 * points.sparkSession.sparkContext.defaultParallelism, n // 50_000)))
+
+
+def _nearest(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(places, squared distances) of each row's ``k`` nearest others, nearest first. Ties go to others at random, so
+    that of many equal points none is everyone's."""
+    m = len(x)
+    about = x - x.mean(0)
+    squares = (about**2).sum(1)
+    noise = rng.random(2 * m) * (1e-12 * max(float(squares.max()), 1e-300))
+    shifted = np.lib.stride_tricks.sliding_window_view(noise, m)
+    near, found = np.empty((m, k), int), np.empty((m, k))
+    step = max(1, (1 << 20) // m)
+    for at in range(0, m, step):
+        own = about[at : at + step]
+        d = own @ about.T
+        d *= -2
+        d += squares
+        d += shifted[rng.integers(0, m, len(own))]
+        d[np.arange(len(own)), at + np.arange(len(own))] = np.inf
+        some = np.argpartition(d, k - 1, axis=1)[:, :k]
+        # distances themselves from differences, without the products' rounding
+        exact = ((x[at : at + step, None] - x[some]) ** 2).sum(-1)
+        order = np.argsort(exact, axis=1, kind="stable")
+        near[at : at + step] = np.take_along_axis(some, order, 1)
+        found[at : at + step] = np.take_along_axis(exact, order, 1)
+    return near, found
+
+
+def _within_leaf(k: int, seed: str):
+    """Lists of one leaf's points: the k nearest of those they have and those in the leaf. ``fresh`` counts links that
+    are nearer than the farthest before."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, x = _ids(table["cell_id"]), _vectors(table["x"])
-        heads, tails, found = [], [], []
-        step = max(1, (1 << 22) // max(x.size, 1))
-        for at in range(0, len(ids), step):
-            d = ((x[at : at + step, None] - x[None]) ** 2).sum(-1)
-            own = np.arange(len(d))
-            d[own, at + own] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(d, near, 1)
-            fine = np.isfinite(d)
-            heads.append(np.repeat(ids[at : at + step], fine.sum(1)))
-            tails.append(ids[near[fine]])
-            found.append(d[fine])
-        return pa.table({"u": np.concatenate(heads), "v": np.concatenate(tails), "d": np.concatenate(found)})
+        m, fresh = len(ids), np.zeros(len(ids), int)
+        sizes = pa.compute.list_value_length(table["others"].combine_chunks()).to_numpy(zero_copy_only=False).astype(int)
+        held = np.repeat(np.arange(m), sizes)
+        others, ds = _ids(table["others"].combine_chunks().flatten()), table["ds"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        worst = np.full(m, np.inf)
+        full = sizes >= k
+        worst[full] = ds[np.cumsum(sizes)[full] - 1]  # lists are sorted
+        good = np.flatnonzero(np.isfinite(x).all(1))
+        heads, tails, far = held, others, ds
+        if len(good) > 1:
+            most = min(k, len(good) - 1)
+            near, d = _nearest(x[good], most, np.random.default_rng([zlib.crc32(seed.encode()), int(key[0].as_py())]))
+            a, b, d = np.repeat(good, most), good[near.ravel()], d.ravel()
+            order = np.argsort(ids, kind="stable")
+            at = order[np.minimum(np.searchsorted(ids, others, sorter=order), m - 1)]
+            inside = ids[at] == others if len(others) else np.zeros(0, bool)
+            new = ~np.isin(a * m + b, held[inside] * m + at[inside]) & (d < worst[a])
+            fresh = np.bincount(a[new], minlength=m)
+            # a link inside the leaf is among those just found, or as many are as near
+            heads, tails, far = np.concatenate([held[~inside], a]), np.concatenate([others[~inside], ids[b]]), np.concatenate([ds[~inside], d])
+            order = np.lexsort((far, heads))
+            heads, tails, far = heads[order], tails[order], far[order]
+            rank = np.arange(len(heads)) - np.searchsorted(heads, heads)
+            heads, tails, far = heads[rank < k], tails[rank < k], far[rank < k]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(heads, minlength=m))]), pa.int32())
+        kind = table.schema.field("cell_id").type
+        lists = pa.ListArray.from_arrays(ends, pa.array(tails, kind)), pa.ListArray.from_arrays(ends, pa.array(far, pa.float64()))
+        return pa.table({"cell_id": table["cell_id"], "x": table["x"], "others": lists[0], "ds": lists[1], "fresh": pa.array(fresh, pa.int64())})
 
     return run
 
@@ -123,29 +246,78 @@ def _with_news(members: DataFrame) -> DataFrame:
     return lists.withColumn("_any", F.max("new").over(Window.partitionBy("centre"))).where("_any > 0").drop("_any")
 
 
-def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15, settled: float = 0.001, block: int = COMPARED, seed: str = "1") -> DataFrame:
-    """(cell_id, other, distance): the k nearest others of each point (all others, if fewer), Euclidean.
-
-    Neighbour descent: points of one random block are compared first, twice; then each round joins
-    every point's neighbours, and as many of those that have it as theirs, with one another, until
-    fewer than ``settled`` of the links change. The search keeps ``wider`` times k neighbours of each
-    point. Up to ``block`` points the result is exact, beyond that nearly so (tests measure its
-    recall). A list holds 2 * ``wider`` * k members at most, so one round's shuffle is as many
-    vectors a point, whatever the number of points near one hub. Points with a NaN have no neighbours.
-    """
+def _by_trees(points: DataFrame, n: int, k: int, block: int, seed: str) -> tuple[DataFrame, bool]:
+    """((cell_id, x, others, ds: squared), whether as good as all links are there). One tree after another: points travel
+    once a tree, with their lists, to be compared within a leaf. What a tree finds anew falls by some factor from one to
+    the next, which tells what is still missing."""
+    kind = points.schema["cell_id"].dataType.simpleString()
+    empty = [F.array().cast(t).alias(c) for c, t in (("others", f"array<{kind}>"), ("ds", "array<double>"))]
+    lists = points.select("cell_id", "x", *empty, F.lit(0).cast("bigint").alias("fresh"))
+    schema = lists.schema
+    whole = n <= LEAF * block
+    sample = np.zeros((0, 1)) if whole else _sample(points, n, f"tree{seed}")
+    before = None
+    for turn in range(TREES):
+        if whole:
+            dealt = lists.withColumn("_b", F.lit(0).cast("bigint"))
+        else:
+            tree = Tree(sample, n, LEAF * block, np.random.default_rng([zlib.crc32(seed.encode()), turn]))
+            dealt = _with_leaf(lists, tree, f"{seed}:{turn}").repartition(_tasks(points, n, tree.leaves), "_b")
+        found = dealt.groupBy("_b").applyInArrow(_within_leaf(k, f"{seed}:{turn}"), schema)
+        earlier, lists = lists, cut(found)
+        if turn:
+            release(earlier)
+        if whole:
+            return lists, True
+        fresh = lists.agg(F.sum("fresh")).first()[0] or 0
+        if turn > 1:
+            fall = fresh / before if before else 0.0
+            missing = fresh * fall / (1 - fall) / (k * n) if fall < 1 else 1.0
+            if missing <= MISSING:
+                return lists, True
+            if fall >= 1 or turn + math.log(MISSING / missing) / math.log(fall) > TREES:
+                return lists, False
+        before = fresh
+    return lists, False
+
+
+def _near(points: DataFrame, k: int, wider: int, rounds: int, settled: float, block: int, seed: str) -> DataFrame:
+    """(cell_id, others, ds): the links of ``neighbours`` as a list for each point that has any, nearest first; ds are squares."""
     if points.schema["x"].dataType.simpleString() != "array<float>":  # floats travel as such, to be doubles in tasks
         points = points.withColumn("x", F.col("x").cast("array<double>"))
     points = cut(points.select("cell_id", "x"))
     n = points.count()
-    kept = wider * k if n > block else k
+    lists, done = _by_trees(points, n, k, block, seed)
+    lists = lists.where(F.size("others") > 0)
+    if done:
+        return lists.select("cell_id", "others", "ds")
+    graph = _descent(points, n, lists.select(F.col("cell_id").alias("u"), F.explode(F.arrays_zip("others", "ds")).alias("p")).select("u", F.col("p.others").alias("v"), F.col("p.ds").alias("d")), wider * k, rounds, settled)
+    near = _best(graph, k).groupBy("u").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("near"))
+    return near.select(F.col("u").alias("cell_id"), F.col("near.v").alias("others"), F.col("near.d").alias("ds"))
+
+
+def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15, settled: float = 0.001, block: int = COMPARED, seed: str = "1") -> DataFrame:
+    """(cell_id, other, distance): the k nearest others of each point (all others, if fewer), Euclidean.
+
+    Points are compared within the leaves of random trees, of ``LEAF`` times ``block`` points, and keep the nearest that
+    any tree found; a tree moves each vector once. Up to one leaf the result is exact. Beyond it, trees follow until
+    the links still missing are estimated at ``MISSING`` of all; where ``TREES`` of them wouldn't do (many dimensions),
+    neighbour descent goes on from their links: each round joins every point's neighbours, and as many of
+    those that have it as theirs, with one another, until fewer than ``settled`` of the links change. It keeps
+    ``wider`` times k neighbours of each point; a list holds 2 * ``wider`` * k members at most, so a round's
+    shuffle is as many vectors a point, whatever the number of points near one hub. Tests measure the recall.
+    Points with a NaN have no neighbours.
+    """
+    lists = _near(points, k, wider, rounds, settled, block, seed)
+    each = lists.select("cell_id", F.explode(F.arrays_zip("others", "ds")).alias("p"))
+    return each.select("cell_id", F.col("p.others").alias("other"), F.sqrt("p.ds").alias("distance"))
+
+
+def _descent(points: DataFrame, n: int, start: DataFrame, kept: int, rounds: int, settled: float) -> DataFrame:
+    """(u, v, d, new): neighbour descent from the links ``start``."""
     schema = _graph_schema(points)
-    starts = None
-    for turn in range(2 if n > block else 1):
-        near = points.withColumn("_b", _block(f"{seed}:{turn}", n, block) if n else F.lit(0)).groupBy("_b")
-        near = near.applyInArrow(_drop_block(_within_block(kept)), schema)
-        starts = near if starts is None else starts.unionByName(near)
-    graph = cut(_best(starts.withColumn("new", F.lit(1)), kept))
-    for turn in range(rounds if n > block else 0):
+    graph = cut(_best(start.withColumn("new", F.lit(1)), kept))
+    for turn in range(rounds):
         back = Window.partitionBy("centre").orderBy(F.xxhash64(F.lit(turn), "centre", "member"))
         ahead = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "new")
         behind = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "new")
@@ -155,19 +327,11 @@ def neighbours(points: DataFrame, k: int = 15, wider: int = 2, rounds: int = 15,
         held = points.withColumnRenamed("cell_id", "member").join(far, "member", "left").withColumn("worst", F.coalesce("worst", F.lit(math.inf)))
         rows = lists.join(held, "member").select("centre", "member", "x", "worst", "new")
         tried = rows.repartition("centre").sortWithinPartitions("centre").mapInArrow(_local_joins(), schema)
-        graph = cut(_best(graph.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))), kept))
+        earlier, graph = graph, cut(_best(graph.withColumn("new", F.lit(0)).unionByName(tried.withColumn("new", F.lit(1))), kept))
+        release(earlier)
         if (graph.agg(F.sum("new")).first()[0] or 0) < settled * kept * n:
             break
-    if kept > k:
-        graph = _best(graph, k)
-    return graph.select(F.col("u").alias("cell_id"), F.col("v").alias("other"), F.sqrt("d").alias("distance"))
-
-
-def _drop_block(run):
-    def of(table: pa.Table) -> pa.Table:
-        return run(table.drop_columns(["_b"]))
-
-    return of
+    return graph
 
 
 def fuzzy_weights(distances: np.ndarray, k: int) -> np.ndarray:
@@ -190,9 +354,13 @@ def fuzzy_weights(distances: np.ndarray, k: int) -> np.ndarray:
 
 def fuzzy_links(graph: DataFrame, k: int = 15) -> DataFrame:
     """(a, b, weight), a < b: memberships p and q of either direction joined to p + q - pq."""
-    kind = graph.schema["cell_id"].dataType.simpleString()
     near = graph.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))
-    near = near.select("cell_id", F.col("near.other").alias("others"), F.col("near.distance").alias("ds"))
+    return _links_of(near.select("cell_id", F.col("near.other").alias("others"), F.col("near.distance").alias("ds")), k)
+
+
+def _links_of(near: DataFrame, k: int) -> DataFrame:
+    """``fuzzy_links`` of lists (cell_id, others, ds: distances)."""
+    kind = near.schema["cell_id"].dataType.simpleString()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -231,23 +399,28 @@ def curve(min_dist: float = 0.5, spread: float = 1.0) -> tuple[float, float]:
 def _moves(sample: np.ndarray, n: int, a: float, b: float, turn: int, rounds: int, steps: int, seed: str):
     """One round of a block: its points move ``steps`` times, others stand where they were at its start."""
 
-    def run(table: pa.Table) -> pa.Table:
-        head, there = _ids(table["cell_id"]), table["other"].is_valid().to_numpy()
-        own, first, of = np.unique(head, return_index=True, return_inverse=True)
+    def run(key: tuple[pa.Scalar, ...], mine: pa.Table, there: pa.Table) -> pa.Table:
+        head, links = _ids(mine["cell_id"]), mine["others"].combine_chunks()
+        own = np.sort(head)
         m = len(own)
-        y = np.stack([table["y0"].to_numpy()[first], table["y1"].to_numpy()[first]], 1)
-        linked = table.filter(table["other"].is_valid())
-        tail, w, of = _ids(linked["other"]), linked["weight"].to_numpy(), of[there]
+        sizes = pa.compute.list_value_length(links).to_numpy(zero_copy_only=False).astype(int)
+        of = np.repeat(np.searchsorted(own, head), sizes)
+        tail, w = _ids(links.flatten()), mine["ws"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
         order = np.lexsort((tail, of))
         tail, w, of = tail[order], w[order], of[order]
-        stand = np.stack([linked["t0"].to_numpy()[order], linked["t1"].to_numpy()[order]], 1)
+        spots, at = np.unique(_ids(there["cell_id"]), return_index=True)
+        where = np.stack([there["y0"].to_numpy()[at], there["y1"].to_numpy()[at]], 1)
+        y = where[np.searchsorted(spots, own)]
+        at = np.minimum(np.searchsorted(spots, tail), len(spots) - 1)
+        fine = spots[at] == tail
+        tail, w, of, stand = tail[fine], w[fine], of[fine], where[at[fine]]
         at = np.minimum(np.searchsorted(own, tail), m - 1)
         inside = own[at] == tail
         place = np.where(inside, at, m + np.arange(len(tail)))
         sums = np.concatenate([[0.0], np.cumsum(w)])
         lo, hi = np.searchsorted(of, np.arange(m)), np.searchsorted(of, np.arange(m), "right")
         movers = np.flatnonzero(sums[hi] > sums[lo])
-        rng = np.random.default_rng([zlib.crc32(seed.encode()), turn, int(table["_b"][0].as_py())])
+        rng = np.random.default_rng([zlib.crc32(seed.encode()), turn, int(key[0].as_py())])
         for step in range(steps):
             rate = 1 - (turn * steps + step) / (rounds * steps)
             now = np.concatenate([y, stand])
@@ -264,7 +437,7 @@ def _moves(sample: np.ndarray, n: int, a: float, b: float, turn: int, rounds: in
                 d2 = (apart**2).sum(1)
                 move += np.clip((2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * apart, -4, 4)
             y = y + rate * move
-        return pa.table({"cell_id": pa.array(own, table.schema.field("cell_id").type), "y0": y[:, 0], "y1": y[:, 1]})
+        return pa.table({"cell_id": pa.array(own, mine.schema.field("cell_id").type), "_b": pa.array(np.full(m, key[0].as_py()), pa.int64()), "y0": y[:, 0], "y1": y[:, 1]})
 
     return run
 
@@ -280,18 +453,33 @@ def layout(points: DataFrame, links: DataFrame, k: int = 15, rounds: int = 10, s
     n, most = start.agg(F.count("*"), F.max(F.greatest(F.abs("y0"), F.abs("y1")))).first()
     scale = 10 / most if most else 1.0
     noise = [(rand.uniform(f"layout{seed}{i}", F.col("cell_id")) - 0.5) * 0.001 for i in (0, 1)]
-    at = cut(start.select("cell_id", (F.col("y0") * scale + noise[0]).alias("y0"), (F.col("y1") * scale + noise[1]).alias("y1")))
+    if not n:
+        return start
+    # points that are near in x move together, so that most links stay within a block
+    tree = Tree(_sample(points, n, f"move{seed}"), n, block, np.random.default_rng(zlib.crc32(seed.encode())))
+    many = _tasks(points, n, tree.leaves)
+    blocks = cut(_with_leaf(points.select("cell_id", "x"), tree, f"move{seed}").drop("x"))
+    at = cut(start.join(blocks, "cell_id").select("cell_id", "_b", (F.col("y0") * scale + noise[0]).alias("y0"), (F.col("y1") * scale + noise[1]).alias("y1")))
     strongest = Window.partitionBy("cell_id").orderBy(F.desc("weight"), "other")
     ends = links.select(F.col("a").alias("cell_id"), F.col("b").alias("other"), "weight").unionByName(links.select(F.col("b").alias("cell_id"), F.col("a").alias("other"), "weight"))
-    ends = cut(ends.withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= 4 * k).drop("_n"))
+    ends = ends.withColumn("_n", F.row_number().over(strongest)).where(F.col("_n") <= 4 * k)
+    lists = ends.groupBy("cell_id").agg(F.collect_list("other").alias("others"), F.collect_list("weight").alias("ws"))
+    none = [F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c) for c in ("others", "ws")]
+    # both stay where they are in all rounds: a block's links, and the blocks that wait for a point's position
+    held = cut(blocks.join(lists, "cell_id", "left").select("_b", "cell_id", *none).repartition(many, "_b"))
+    wanted = held.select(F.explode("others").alias("cell_id"), F.col("_b").alias("_to")).distinct().join(blocks, "cell_id").where("_b <> _to")
+    wanted = cut(wanted.select("cell_id", "_to").repartition(many, "cell_id"))
     a, b = curve(min_dist)
-    for turn in range(rounds if n else 0):
+    for turn in range(rounds):
         drawn = at.orderBy(F.xxhash64(F.lit(turn), F.col("cell_id").cast("string")), "cell_id").limit(REPELLED)
         sample = np.array([(r["y0"], r["y1"]) for r in drawn.select("y0", "y1").collect()])
-        there = at.select(F.col("cell_id").alias("other"), F.col("y0").alias("t0"), F.col("y1").alias("t1"))
-        rows = at.join(ends.join(there, "other"), "cell_id", "left").withColumn("_b", _block(f"move{seed}", n, block))
-        at = cut(rows.groupBy("_b").applyInArrow(_moves(sample, n, a, b, turn, rounds, steps, seed), at.schema))
-    return at
+        sent = wanted.join(at.drop("_b"), "cell_id").select("cell_id", F.col("_to").alias("_b"), "y0", "y1")
+        there = at.unionByName(sent)
+        there = there.select(*[F.col(c).alias(c) for c in there.columns]).repartition(many, "_b")  # columns of its own, as both come from ``blocks``
+        moved = held.groupBy("_b").cogroup(there.groupBy("_b")).applyInArrow(_moves(sample, n, a, b, turn, rounds, steps, seed), at.schema)
+        earlier, at = at, cut(moved)
+        release(earlier)
+    return at.select("cell_id", "y0", "y1")
 
 
 def group_layout(matrix: DataFrame, cells: DataFrame, groups: DataFrame, names: list[str], is_binary: bool = False) -> DataFrame:
@@ -300,5 +488,6 @@ def group_layout(matrix: DataFrame, cells: DataFrame, groups: DataFrame, names:
     axes, k = (30, 10) if is_binary else (50, 15)
     reduced = results.group_embedding(matrix, cells, groups, names, is_binary, axes)
     points = cut(reduced.select("cell_id", F.col("coords").alias("x")))
-    links = fuzzy_links(neighbours(points, k), k)
+    lists = _near(points, k, 2, 15, 0.001, COMPARED, "1")
+    links = _links_of(lists.withColumn("ds", F.transform("ds", F.sqrt)), k)
     return cells.select("cell_id", "label").join(layout(points, links, k), "cell_id")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kernloom.functions.lineage import cut
 from kernloom.operators.evaluate import METRICS
 
 
@@ -149,13 +150,13 @@ def group_embedding(matrix: DataFrame, cells: DataFrame, groups: DataFrame, name
     from kernloom.operators import prep
 
     used = groups.where(F.col("group").isin(names)).select("feature").distinct()
-    rows = matrix.join(used, "feature", "left_semi")
+    rows = cut(matrix.join(used, "feature", "left_semi"))  # read five times: statistics, totals, entries
     if is_binary:
         rows = prep.tfidf(rows, cells)
     else:
         total = rows.groupBy("cell_id").agg(F.sum("value").alias("_t")).where("_t <> 0")
         rows = rows.join(total, "cell_id").select("cell_id", "feature", F.log1p(F.col("value") * 10_000 / F.col("_t")).alias("value"))
     one = used.select(F.lit("all").alias("group"), F.lit(0).alias("group_ord"), "feature")
-    vectors = prep.group_vectors(rows, cells, one, scale_data=is_binary)
+    vectors = cut(prep.group_vectors(rows, cells, one, scale_data=is_binary))
     reduced = prep.reduce_vectors(vectors, "svd" if is_binary else "pca", k + is_binary)
     return reduced.select("cell_id", "split", F.col("x").alias("coords"))

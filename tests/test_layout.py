@@ -149,3 +149,42 @@ def test_lists_without_a_new_member_stay_home(spark, monkeypatch):
     wide = points.withColumn("x", F.col("x").cast("array<double>"))
     found = [sorted(map(tuple, layout.neighbours(p, 3).collect())) for p in (points, wide)]
     assert seen[0]["x"].dataType.simpleString() == "array<float>" and found[0] == found[1]
+
+
+def recall(found, x, k):
+    """Share of the found links that are as near as the k nearest are."""
+    farthest = np.sort(exact(x), 1)[:, k - 1]
+    return sum(r["distance"] <= farthest[r["cell_id"]] * (1 + 1e-9) for r in found) / (k * len(x))
+
+
+def test_few_dimensions_need_no_descent(spark, monkeypatch):
+    """A point's vector travels once a tree, not to every list it is on; an earlier state's files don't stay."""
+    kept = []
+    monkeypatch.setattr(layout, "_descent", None)
+    monkeypatch.setattr(layout, "release", lambda rows, own=layout.release: kept.append(rows) or own(rows))
+    x, _ = blobs(2500)
+    found = layout.neighbours(frame(spark, list(range(2500)), x), 10, block=64).collect()
+    assert len(found) == 25000 and recall(found, x, 10) >= 0.9
+    assert 1 < len(kept) < layout.TREES
+    with pytest.raises(Exception, match="does not exist|No such file"):
+        kept[-1].count()
+
+
+def test_descent_goes_on_from_trees(spark, monkeypatch):
+    monkeypatch.setattr(layout, "TREES", 2)
+    x = np.random.default_rng(4).normal(size=(900, 24))
+    found = layout.neighbours(frame(spark, list(range(900)), x), 10, block=30).collect()
+    assert len(found) == 9000 and recall(found, x, 10) >= 0.9
+    assert all(math.isclose(r["distance"], np.linalg.norm(x[r["cell_id"]] - x[r["other"]])) for r in found[::97])
+
+
+@pytest.mark.parametrize("drawn", [5000, 100])
+def test_leaves_are_bounded(drawn):
+    """With half of the points equal and some NaN, and where the sample is too small for small leaves."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5000, 3))
+    x[:2500] = x[0]
+    tree = layout.Tree(x[rng.permutation(5000)[:drawn]], 5000, 200, rng)
+    x[2500:2600, 1] = np.nan
+    sizes = np.bincount(tree.leaf(x, rng.integers(0, 2**63, 5000)), minlength=tree.leaves)
+    assert len(sizes) == tree.leaves >= 5000 / 400 and sizes.max() <= 600
