@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, the files of a query's shuffles are removed when it is done, not at some later garbage collection."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -19,13 +33,8 @@ def cut(rows: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="kernloom-")
         context.setCheckpointDir(folder)
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a shuffle's files go with its job
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
+    with shuffles_removed(spark):
         return rows.checkpoint()
-    finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
 def release(rows: DataFrame) -> None:

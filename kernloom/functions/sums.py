@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from kernloom.functions.lineage import shuffles_removed
+
 BLOCK = 1 << 17
 
 
@@ -42,6 +44,8 @@ def summed(rows: DataFrame, of: Callable[[pd.DataFrame], dict[str, np.ndarray]])
 
     schema = "key string, at long, x binary"
     found: dict[str, list[tuple[int, bytes]]] = {}
-    for r in rows.mapInPandas(partial, schema).repartition("key", "at").mapInPandas(combine, schema).collect():
+    with shuffles_removed(rows.sparkSession):
+        sums = rows.mapInPandas(partial, schema).repartition("key", "at").mapInPandas(combine, schema).collect()
+    for r in sums:
         found.setdefault(r["key"], []).append((r["at"], r["x"]))
     return {key: np.concatenate([np.frombuffer(x) for _, x in sorted(blocks)]) for key, blocks in found.items()}

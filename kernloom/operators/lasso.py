@@ -145,6 +145,18 @@ def violations(w: np.ndarray, q: np.ndarray, lam: float, k: int) -> np.ndarray:
     return np.where(norms[:, 0] > 0, inside, np.maximum(np.linalg.norm(g, axis=1) - lam, 0)) / lam
 
 
+def _upper(gram: np.ndarray) -> np.ndarray:
+    """The upper half of a symmetric matrix, by rows: what travels of it."""
+    return gram[~np.tri(len(gram), k=-1, dtype=bool)]
+
+
+def _whole(flat: np.ndarray, size: int) -> np.ndarray:
+    out, mask = np.empty((size, size)), ~np.tri(size, k=-1, dtype=bool)
+    out[mask] = flat
+    out.T[mask] = flat
+    return out
+
+
 def _largest(gram: np.ndarray, k: int) -> list[float]:
     return [max(float(np.linalg.eigvalsh(gram[a : a + k, a : a + k])[-1]), 1e-12) for a in range(0, len(gram), k)]
 
@@ -385,14 +397,14 @@ class Problem:
                 continue
 
             def of(m: np.ndarray, y: np.ndarray, s: np.ndarray, share=share) -> dict[str, np.ndarray]:
-                return {str(t): (m[:, at] * s[:, [t]]).T @ m[:, at] for t, at in share.items()}
+                return {str(t): _upper((m[:, at] * s[:, [t]]).T @ m[:, at]) for t, at in share.items()}
 
             wide = max(len(at) for at in share.values())
             # a matrix a task: no more tasks than run at once, so what travels doesn't grow with the rows
             cores = self.blocks.sparkSession.sparkContext.defaultParallelism
             for t, flat in self._sum(of, max(1, min(cores, int(self.n.max()) // wide))).items():
                 at = share[int(t)]
-                gram = flat.reshape(len(at), -1) / self.n[int(t)] - np.outer(mean_z[int(t)][at], mean_z[int(t)][at])
+                gram = _whole(flat, len(at)) / self.n[int(t)] - np.outer(mean_z[int(t)][at], mean_z[int(t)][at])
                 self.kept[int(t), tuple(waiting[int(t)])] = gram
                 while sum(x.size for x in self.kept.values()) > KEPT and len(self.kept) > len(share):
                     del self.kept[next(iter(self.kept))]

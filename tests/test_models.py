@@ -420,6 +420,12 @@ def test_a_fold_scores_its_rows_once(spark, toy, monkeypatch):
     assert rows.value == 2 * cells.where("split = 'test'").count()
 
 
+def test_half_a_gram_matrix_travels():
+    a = np.random.default_rng(0).normal(size=(9, 5))
+    flat = lasso._upper(a.T @ a)
+    assert flat.shape == (15,) and np.array_equal(lasso._whole(flat, 5), np.where(np.tri(5, k=-1), (a.T @ a).T, a.T @ a))
+
+
 def test_unmade_z_is_that_of_calculate_z(spark, monkeypatch):
     """Overlapping groups, one feature without variance and a group of it alone; blocks keep vectors, not Z."""
     n, names = 60, [f"f{i}" for i in range(5)]
